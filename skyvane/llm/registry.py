@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from .chat import OP8_SQL, op8_chat_format
 from .sharding import op5_sharding
+from .simhash import op4_simhash
 from .token_counts import op2_token_counts
 
 QUERIES = {
     "op2_token_counts": op2_token_counts,
+    "op4_simhash": op4_simhash,
     "op5_sharding": op5_sharding,
     "op8_chat_format": op8_chat_format,
 }
