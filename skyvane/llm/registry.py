@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import OP8_SQL, op8_chat_format
+from .decontamination import op9_decontamination
 from .sharding import op5_sharding
 from .simhash import op4_simhash
 from .token_counts import op2_token_counts
@@ -12,5 +13,6 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_sharding": op5_sharding,
     "op8_chat_format": op8_chat_format,
+    "op9_decontamination": op9_decontamination,
 }
 SQL = {"op8_chat_format": OP8_SQL}
