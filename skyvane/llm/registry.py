@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import OP8_SQL, op8_chat_format
 from .decontamination import op9_decontamination
+from .packing import op6_packing
 from .sharding import op5_sharding
 from .simhash import op4_simhash
 from .token_counts import op2_token_counts
@@ -12,6 +13,7 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op4_simhash": op4_simhash,
     "op5_sharding": op5_sharding,
+    "op6_packing": op6_packing,
     "op8_chat_format": op8_chat_format,
     "op9_decontamination": op9_decontamination,
 }
