@@ -8,13 +8,15 @@ from .packing import op6_packing
 from .sharding import op5_sharding
 from .simhash import op4_simhash
 from .token_counts import op2_token_counts
+from .topk import OP7_SQL, op7_topk_search
 
 QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op4_simhash": op4_simhash,
     "op5_sharding": op5_sharding,
     "op6_packing": op6_packing,
+    "op7_topk_search": op7_topk_search,
     "op8_chat_format": op8_chat_format,
     "op9_decontamination": op9_decontamination,
 }
-SQL = {"op8_chat_format": OP8_SQL}
+SQL = {"op7_topk_search": OP7_SQL, "op8_chat_format": OP8_SQL}
