@@ -5,13 +5,17 @@ from __future__ import annotations
 from .chat import OP8_SQL, op8_chat_format
 from .decontamination import op9_decontamination
 from .packing import op6_packing
+from .quality import op3_quality
 from .sharding import op5_sharding
 from .simhash import op4_simhash
 from .token_counts import op2_token_counts
 from .topk import OP7_SQL, op7_topk_search
+from .toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
+    "op3_quality": op3_quality,
     "op4_simhash": op4_simhash,
     "op5_sharding": op5_sharding,
     "op6_packing": op6_packing,
