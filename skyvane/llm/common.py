@@ -58,21 +58,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, cap: int) ->
     )
 
 
-def map_texts(df: DataFrame, fn: Callable[[list[str]], dict[str, pa.Array | list]], out: list[tuple[str, str]], text: str = "text") -> DataFrame:
-    """Append columns computed by ``fn`` from lists of texts (null as '') to the other columns of df; text goes.
+def map_texts(df: DataFrame, fn: Callable[[list[str]], dict[str, pa.Array | list]], out: list[tuple[str, str]], text: str = "text", keep_text: bool = False) -> DataFrame:
+    """Append columns computed by ``fn`` from lists of texts (null as '') to the columns of df; the text goes, but for keep_text.
 
     ``fn`` gets slices of at most 2,000 texts or about 8 MB, whichever is less, so memory follows the longest text, not
     the batch. ``out`` gives the new columns as (name, Spark type). Columns of df with a new column's name give way.
     """
     names = [n for n, _ in out]
-    keep = [c for c in df.columns if c != text and c not in names]
-    src = df.select(*keep, F.col(text).alias("__text__"))
+    keep = [c for c in df.columns if (c != text or keep_text) and c not in names]
+    read = text if keep_text else "__text__"
+    src = df.select(*keep) if keep_text else df.select(*keep, F.col(text).alias(read))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in src.select(*keep).schema] + [f"`{n}` {t}" for n, t in out])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "__text__"):
-                col = part.column(part.schema.get_field_index("__text__"))
+            for part in slices(batch, read):
+                col = part.column(part.schema.get_field_index(read))
                 new = fn([x or "" for x in col.to_pylist()])
                 kept = [part.column(part.schema.get_field_index(k)) for k in keep]
                 yield pa.RecordBatch.from_arrays(kept + [as_array(new[n], t) for n, t in out], names=keep + names)

@@ -126,8 +126,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, cap: int = 12_000) -> Discri
     return train(np.array([r[2] for r in got], float).reshape(-1, n), np.array([r[3] for r in got], int))
 
 
-def score_quality(docs: DataFrame, model: Discriminant | Constant, threshold: float = 0.3, text: str = "text") -> DataFrame:
-    """Every column of docs but the text, with score (0 to 1) and predicted (1 from ``threshold`` on).
+def score_quality(docs: DataFrame, model: Discriminant | Constant, threshold: float = 0.3, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """Every column of docs (the text only with keep_text), with score (0 to 1) and predicted (1 from ``threshold`` on).
 
     Null and empty texts are scored by the statistics of the empty text. Rows are scored by themselves, equal texts
     alike; columns named score or predicted are replaced; an empty table stays empty. No shuffle.
@@ -138,14 +138,15 @@ def score_quality(docs: DataFrame, model: Discriminant | Constant, threshold: fl
         s = sent.value.score(np.array([statistics(t) for t in texts], float).reshape(len(texts), -1))
         return {"score": s.tolist(), "predicted": (s >= threshold).astype(int).tolist()}
 
-    return map_texts(docs, run, [("score", "double"), ("predicted", "int")], text)
+    return map_texts(docs, run, [("score", "double"), ("predicted", "int")], text, keep_text)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """docs without the rows whose score is under the threshold."""
-    kept = docs.withColumn("__whole__", F.col("text"))
-    scored = score_quality(kept, fit_quality(docs, labels), threshold).where("predicted = 1")
-    return scored.withColumnRenamed("__whole__", "text").select(*docs.columns)
+    # Under names of their own: docs may have columns called score or predicted.
+    named = docs.select(*[F.col(c).alias(f"__{c}" if c in ("score", "predicted") else c) for c in docs.columns])
+    scored = score_quality(named, fit_quality(docs, labels), threshold, keep_text=True).where("predicted = 1")
+    return scored.select(*[F.col(f"__{c}" if c in ("score", "predicted") else c).alias(c) for c in docs.columns])
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from .chat import OP8_SQL, op8_chat_format
 from .decontamination import op9_decontamination
 from .packing import op6_packing
 from .quality import op3_quality
+from .secrets import op10_secrets
 from .sharding import op5_sharding
 from .simhash import op4_simhash
 from .token_counts import op2_token_counts
@@ -22,5 +23,6 @@ QUERIES = {
     "op7_topk_search": op7_topk_search,
     "op8_chat_format": op8_chat_format,
     "op9_decontamination": op9_decontamination,
+    "op10_secrets": op10_secrets,
 }
 SQL = {"op7_topk_search": OP7_SQL, "op8_chat_format": OP8_SQL}

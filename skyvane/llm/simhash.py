@@ -159,19 +159,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", distance: int = 4,
 
     Null and empty texts have fingerprint 0 and link like any other. Copies share a fingerprint and are linked once, by
     it. Rows with a null id take part; a component of such rows only has component_id null. Repeated ids are so many
-    rows. Extra columns are kept unless named fp or component_id. Nothing of the corpus comes to the driver.
+    rows. Extra columns are kept unless named fp, component_id or root (the least fingerprint of the component, last). Nothing of the corpus comes to the driver.
     """
     if distance > 12:
         raise ValueError("at more than 12 bits the segments are too short to select")
-    kept = docs.select(*[c for c in docs.columns if c not in ("fp", "component_id")])
+    kept = docs.select(*[c for c in docs.columns if c not in ("fp", "component_id", "root")])
     marked = cut(fingerprints(kept, words_per_shingle, text=text))
     # Written, so that the join at the end exchanges both sides and can split a fingerprint with very many copies.
     fps = cut(marked.groupBy("fp").agg(F.min(id_col).alias("first")))
     roots = components(fingerprint_links(fps, distance, block))
     named = fps.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    answer = cut(named.join(least, "root").select("fp", "component_id"))
-    return marked.join(answer, "fp").select(*marked.columns, "component_id")
+    answer = cut(named.join(least, "root").select("fp", "component_id", "root"))
+    return marked.join(answer, "fp").select(*marked.columns, "component_id", "root")
+
+
+def one_per_group(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how: int) -> DataFrame:
+    """docs with one row of each component of ``near_duplicates``: that of the smallest id (null last), then by a hash
+    of the text; of rows alike in both, any one. Only ids, hashes and fingerprints are grouped; texts move once, to the
+    ids that stay."""
+    key = F.xxhash64(F.coalesce(text, F.lit("")))
+    ids = docs.select(F.col(id_col).alias("id"), key.alias("__h"), F.col(text).alias("text"))
+    marked = near_duplicates(ids, "id", text="text", **how)
+    alike = marked.groupBy("root", "id", "__h").agg(F.count("*").alias("n"))
+    first = alike.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "__h", "n")).alias("w"))
+    stay = cut(first.select(F.col("w.id").alias("__id"), F.col("w.__h").alias("__wh"), F.col("w.n").alias("__n")))
+    own = docs.withColumn("__key", key)
+    kept = own.join(stay.select("__id", "__wh"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__wh")), "left_semi")
+    if not stay.where("__n > 1").isEmpty():
+        kept = kept.dropDuplicates([id_col, "__key"])
+    return kept.select(*docs.columns)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,7 +100,7 @@ class PieceCounter:
 
 
 class JsonCounter:
-    """The same for a ``tokenizers`` file: its pre-tokens, of which whole vocabulary strings count one."""
+    """Counts by a ``tokenizers`` file, text by text, by that library itself."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer

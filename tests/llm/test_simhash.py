@@ -5,7 +5,7 @@ import numpy as np
 import xxhash
 
 from skyvane.llm.components import components
-from skyvane.llm.simhash import fingerprint, fingerprint_links, near_duplicates
+from skyvane.llm.simhash import fingerprint, fingerprint_links, near_duplicates, one_per_group
 
 
 def plain_fingerprint(text):
@@ -89,9 +89,13 @@ def test_documents_with_nulls_ties_copies_and_extra_columns(spark):
     rows = [(9, base, 1), (4, base.replace("w7 ", "w8 "), 2), (4, base, 3), (None, "alone here", 4), (12, None, 5), (11, "", 6), (30, "x", 7)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, component_id int")
     out = near_duplicates(df.withColumn("other", df.component_id)).collect()
-    assert len(out) == len(rows) and out[0].__fields__ == ["doc_id", "other", "fp", "component_id"]
+    assert len(out) == len(rows) and out[0].__fields__ == ["doc_id", "other", "fp", "component_id", "root"]
     fps = [plain_fingerprint(t) for _, t, _ in rows]
     want = groups(fps, 4)
     least = {g: min((rows[i][0] for i in range(len(rows)) if want[i] == g and rows[i][0] is not None), default=None) for g in want}
     assert {r.other: r.component_id for r in out} == {rows[i][2]: least[want[i]] for i in range(len(rows))}
     assert near_duplicates(df.limit(0)).count() == 0
+    kept = one_per_group(df.unionAll(df.limit(3))).collect()
+    first = {g: min(((rows[i][0] is None, rows[i][0] or 0) for i in range(len(rows)) if want[i] == g)) for g in want}
+    assert sorted(((r.doc_id is None, r.doc_id or 0) for r in kept)) == sorted(first.values())
+    assert one_per_group(df.limit(0)).count() == 0
