@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from skyvane.plans import report_queries
+
+QUERIES: dict = {**report_queries.QUERIES}
+SQL: dict = {**report_queries.SQL}
