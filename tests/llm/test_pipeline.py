@@ -5,7 +5,8 @@ from skyvane.llm.secrets import find_secrets
 from skyvane.llm.simhash import near_duplicates
 
 
-def test_every_stage_takes_effect(spark, small):
+def test_every_stage_takes_effect(spark):
+    small = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{small}/documents.parquet")
     bench = spark.read.parquet(f"{small}/benchmark.parquet")
     bad = {r[0] for r in spark.read.parquet(f"{small}/labels.parquet").where("quality = 0").select("doc_id").collect()}
