@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skyvane.plans import history_queries, report_queries
+from skyvane.plans import history_queries, report_queries, stateful_queries
 
-QUERIES: dict = {**report_queries.QUERIES, **history_queries.QUERIES}
-SQL: dict = {**report_queries.SQL, **history_queries.SQL}
+QUERIES: dict = {**report_queries.QUERIES, **history_queries.QUERIES, **stateful_queries.QUERIES}
+SQL: dict = {**report_queries.SQL, **history_queries.SQL, **stateful_queries.SQL}

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 QUALITIES = ["STABLE", "MULTIPATH", "LOW_QUALITY"]
 
@@ -57,7 +56,7 @@ def event_log(lines: DataFrame, names: list[str], line: str = "value") -> DataFr
     return m.select(get("session_id").alias("session_id"), F.try_to_timestamp(get("time")).alias("time"), get("event").alias("event"), F.map_filter("m", lambda k, _: ~k.isin("session_id", "time", "event")).alias("attrs")).where(F.col("event").isin(names) & F.col("session_id").isNotNull())
 
 
-EPISODE = T.StructType.fromDDL(
+EPISODE = (
     "version int, timestamp string, project string, session_id string, event string, episode_id int, observation_index int, reason string, "
     "summary struct<version:int,episode_id:int,status:string,start_index:bigint,end_index:bigint,end_reason:string,start_mean:double,latest_mean:double,max_support:bigint,degraded_seen:boolean>"
 )
