@@ -30,6 +30,8 @@ RULES = {
 #: Plain strings of which a text must hold one before a rule is tried; they are found far faster than a pattern.
 HINTS = {"private_key": ["private key"], "assigned": ["pass", "pwd", "secret", "token", "credential", "key", "auth"], "known_form": ["akia", "asia", "gh", "xox", "sk-", "eyj"]}
 DIGIT = re.compile("[0-9]")
+#: A redaction mark is no candidate.
+MARKED = re.compile(r"\[[A-Z_]+\]?")
 NEAR = 60
 
 # Words that stand for words in general, and words near secrets and near look-alikes.
@@ -116,7 +118,7 @@ def scan(text: str) -> list[tuple[int, int, str]]:
             a, b = m.span(1)
             while b > a and text[b - 1] in ".)]}":
                 b -= 1
-            if b - a >= 6 and (rule != "random" or DIGIT.search(text, a, b)):
+            if b - a >= 6 and not MARKED.fullmatch(text, a, b) and (rule != "random" or DIGIT.search(text, a, b)):
                 taken.append((a, b, rule))
     taken.sort(key=lambda x: x[0])
     order, out = {r: i for i, r in enumerate(RULES)}, []

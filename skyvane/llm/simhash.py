@@ -1,16 +1,25 @@
 """SimHash near-duplicates by deletion-variant signatures.
 
-Two fingerprints that differ in at most 4 of 64 bits differ in at most one bit of at least one of 3 segments (three
-segments with 2 differing bits each would make 6). So each fingerprint is indexed under the variants of each segment
-with one bit wiped out, 64 in all; equal variants are an equality join on (wiped bit, rest of the segment), and every
-pair met there is verified on all 64 bits. The join is done bucket by bucket over rows sorted by signature: a bucket's
-links go out as a spanning forest, never as all pairs. Buckets larger than ``block`` fingerprints are cut into blocks,
-and each pair of blocks is a bucket of its own, so no task holds more than two blocks and no link is lost.
+A ``Cut`` says which segments of a fingerprint are indexed. Each segment is indexed under its variants with one bit
+wiped out; equal variants are an equality join on (wiped bit, rest of the segment), which meets all pairs that differ
+in at most one bit of a segment, and every pair met is verified on the whole fingerprint.
+
+* ``exact_cut(4)``: two 64-bit fingerprints within 4 bits differ in at most one bit of one of 3 segments (three with 2
+  differing bits each would make 6), so no link is lost.
+* ``similar_cut(0.8)``: for similarities at which single bits differ too often for that, three 64-bit words and so many
+  short segments that a pair of the given Jaccard similarity meets with probability ``recall``. The link is the
+  fingerprint's estimate of the similarity, with one standard deviation of tolerance.
+
+The join is done bucket by bucket over rows sorted by signature: the many links of a bucket go out as a spanning forest,
+never as all pairs. Buckets larger than ``block`` fingerprints are cut into blocks, and each pair of blocks is a bucket
+of its own, so no task holds more than two blocks and no link is lost.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,58 +31,108 @@ from .common import cut, map_texts, table
 from .components import components
 
 
-def fingerprint(text: str, words_per_shingle: int = 4, seed: int = 42) -> int:
-    """64 bits; a bit is set if it is in over half of the shingles' XXH64. No words: 0. Fewer words than a shingle: all of them are one."""
-    words = text.encode().lower().split()  # bytes: lower() is A-Z only, split() is at \x20 and \x09-\x0D only
-    n = len(words)
-    if not n:
-        return 0
-    k = min(words_per_shingle, n)
-    total, count, digest = np.zeros(64, np.int64), n - k + 1, xxhash.xxh64_intdigest
+@dataclass(frozen=True)
+class Cut:
+    """Number of 64-bit words, segments as (word, first bit, bits), and the largest distance that links."""
+
+    words: int
+    segments: tuple[tuple[int, int, int], ...]
+    distance: int
+
+    @property
+    def names(self) -> list[str]:
+        return ["fp", *(f"fp{i}" for i in range(1, self.words))]
+
+
+def exact_cut(distance: int = 4) -> Cut:
+    """The fewest segments of 64 bits of which one has at most one of ``distance`` differing bits."""
+    if distance > 12:
+        raise ValueError("at more than 12 bits the segments are too short to select")
+    m = max(2, distance // 2 + 1)  # two at least: a bit's number is kept above the segment
+    edges = [64 * i // m for i in range(m + 1)]
+    return Cut(1, tuple((0, a, b - a) for a, b in zip(edges, edges[1:], strict=False)), distance)
+
+
+def similar_cut(similarity: float = 0.8, width: int = 12, recall: float = 0.99, words: int = 3) -> Cut:
+    """Segments for a Jaccard similarity of shingle sets: a bit differs with probability p = angle / pi."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    meets = (1 - p) ** width + width * p * (1 - p) ** (width - 1)
+    n, each = math.ceil(math.log(1 - recall) / math.log(1 - meets)), 64 // width
+    if n > each * words:
+        raise ValueError("too few words for so many segments")
+    bits = 64 * words
+    places = tuple((i % words, i // words * width, width) for i in range(n))
+    return Cut(words, places, math.floor(bits * p + math.sqrt(bits * p * (1 - p))))
+
+
+def mixed(h: np.ndarray, word: int) -> np.ndarray:
+    """Another 64-bit hash of each hash, by a multiply-xorshift finaliser; word 0 is the hash itself."""
+    if not word:
+        return h
+    x = h + np.uint64(word * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprint_words(text: str, shingle: int = 4, seed: int = 42, words: int = 1) -> np.ndarray:
+    """64 bits a word; a bit is set if it is in over half of the shingles' hashes (XXH64 for the first word). No words: 0.
+    Fewer words than a shingle: all of them are one."""
+    w = text.encode().lower().split()  # bytes: lower() is A-Z only, split() is at \x20 and \x09-\x0D only
+    if not w:
+        return np.zeros(words, np.uint64)
+    k = min(shingle, len(w))
+    total, count, digest = np.zeros((words, 64), np.int64), len(w) - k + 1, xxhash.xxh64_intdigest
     for at in range(0, count, 65536):
-        part = words[at : at + 65536 + k - 1]
-        hashes = [digest(s, seed) for s in map(b" ".join, zip(*(part[i:] for i in range(k)), strict=False))]
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        total += bits.sum(axis=0, dtype=np.int32)
-    return int(np.packbits(2 * total > count, bitorder="little").view("<u8")[0])
+        part = w[at : at + 65536 + k - 1]
+        h = np.array([digest(s, seed) for s in map(b" ".join, zip(*(part[i:] for i in range(k)), strict=False))], "<u8")
+        for j in range(words):
+            total[j] += np.unpackbits(mixed(h, j).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return np.packbits(2 * total > count, axis=1, bitorder="little").view("<u8")[:, 0]
+
 
+def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
+    return int(fingerprint_words(text, shingle, seed)[0])
 
-def fingerprints(docs: DataFrame, words_per_shingle: int = 4, seed: int = 42, text: str = "text") -> DataFrame:
-    """docs without the text, with fp: the fingerprint as a signed long."""
+
+def fingerprints(docs: DataFrame, cut_: Cut, shingle: int = 4, seed: int = 42, text: str = "text") -> DataFrame:
+    """docs without the text, with the words of its fingerprint (fp, fp1, ...) as signed longs."""
+    n = cut_.words
 
     def run(texts: list[str]) -> dict:
-        fp = np.array([fingerprint(t, words_per_shingle, seed) for t in texts], np.uint64)
-        return {"fp": pa.array(fp.view(np.int64))}
+        f = np.array([fingerprint_words(t, shingle, seed, n) for t in texts], np.uint64).reshape(-1, n).view(np.int64)
+        return {c: pa.array(np.ascontiguousarray(f[:, i])) for i, c in enumerate(cut_.names)}
 
-    return map_texts(docs, run, [("fp", "bigint")], text)
+    return map_texts(docs, run, [(c, "bigint") for c in cut_.names], text)
 
 
-def segments(distance: int) -> list[tuple[int, int]]:
-    """(first bit, bits) of the fewest segments of which one has at most one of ``distance`` differing bits."""
-    m = max(2, distance // 2 + 1)  # two at least: a bit's number is kept above the segment
-    edges = [64 * i // m for i in range(m + 1)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+def segment(cut_: Cut, i: int) -> Column:
+    word, start, width = cut_.segments[i]
+    return F.shiftrightunsigned(cut_.names[word], start).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def signatures(fp: Column, distance: int) -> Column:
-    """Array of 64 longs: for each bit, the rest of its segment under the bit's number."""
+def signatures(cut_: Cut) -> Column:
+    """Array of longs: for each bit of each segment, the rest of the segment under the numbers of both."""
     out = []
-    for start, width in segments(distance):
-        part = F.shiftrightunsigned(fp, start).bitwiseAND(F.lit((1 << width) - 1))
-        for i in range(width):
-            rest = part.bitwiseAND(F.lit(((1 << width) - 1) ^ (1 << i)))
-            out.append(rest.bitwiseOR(F.lit((start + i) << 56)))
+    for i, (_, _, width) in enumerate(cut_.segments):
+        for b in range(width):
+            out.append(segment(cut_, i).bitwiseAND(F.lit(((1 << width) - 1) ^ (1 << b))).bitwiseOR(F.lit((i * 64 + b) << 40)))
     return F.array(*out)
 
 
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits over all words (first axis)."""
+    return np.bitwise_count(a ^ b).sum(axis=0, dtype=np.int32) if len(a) > 1 else np.bitwise_count(a[0] ^ b[0])
+
+
 def forest(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning-forest edges (indices) of the links among distinct fingerprints of one bucket, by breadth-first search."""
-    a, b, left = [], [], np.arange(len(fp))
+    """Spanning-forest edges (indices) of the links among distinct fingerprints (words, n) of one bucket, by breadth-first search."""
+    a, b, left = [], [], np.arange(fp.shape[1])
     while len(left) > 1:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             x = queue.pop()
-            near = np.bitwise_count(fp[left] ^ fp[x]) <= distance
+            near = apart(fp[:, left], fp[:, x : x + 1]) <= distance
             if near.any():
                 found, left = left[near], left[~near]
                 a.append(np.full(len(found), x))
@@ -82,99 +141,102 @@ def forest(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, int), np.zeros(0, int))
 
 
+def linked(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what links connect in a bucket: the links themselves while they are few, else a forest."""
+    n = fp.shape[1]
+    if n > 512:
+        return forest(fp, distance)
+    i, j = np.nonzero(np.triu(apart(fp[:, :, None], fp[:, None, :]) <= distance, 1))
+    return (i, j) if len(i) <= 2 * n else forest(fp, distance)
+
+
 def bucket_links(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
     """Links of all buckets in a partition sorted by (sig, pair); the last bucket of a batch waits for the next batch."""
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    held: list[list[np.ndarray]] = []
 
-    def links(sig: np.ndarray, pair: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+    def links(cols: list[np.ndarray]) -> pa.RecordBatch:
+        sig, pair, fp = cols[0], cols[1], np.stack(cols[2:]).view(np.uint64)
         heads = np.flatnonzero(np.r_[True, (sig[1:] != sig[:-1]) | (pair[1:] != pair[:-1])])
         sizes = np.diff(np.r_[heads, len(sig)])
         run = np.repeat(np.arange(len(heads)), sizes)
-        a, b = [], []
         few = np.repeat(sizes <= 8, sizes)
+        none = np.zeros(0, np.uint64)
+        a, b = [none], [none]
         for lag in range(1, min(8, int(sizes.max(initial=1)))):
-            same = (run[lag:] == run[:-lag]) & few[lag:]
-            i = np.flatnonzero(same)
-            i = i[np.bitwise_count(fp[i] ^ fp[i + lag]) <= distance]
-            a.append(fp[i])
-            b.append(fp[i + lag])
+            i = np.flatnonzero((run[lag:] == run[:-lag]) & few[lag:])
+            i = i[apart(fp[:, i], fp[:, i + lag]) <= distance]
+            a.append(fp[0, i])
+            b.append(fp[0, i + lag])
         for h in np.flatnonzero(sizes > 8):
-            part = fp[heads[h] : heads[h] + sizes[h]]
-            x, y = forest(part, distance)
-            a.append(part[x])
-            b.append(part[y])
-        pairs = np.stack([np.concatenate(a), np.concatenate(b)], axis=1).view(np.int64) if a else np.zeros((0, 2), np.int64)
+            part = fp[:, heads[h] : heads[h] + sizes[h]]
+            x, y = linked(part, distance)
+            a.append(part[0, x])
+            b.append(part[0, y])
+        pairs = np.stack([np.concatenate(a), np.concatenate(b)], axis=1).view(np.int64)
         pairs.sort(axis=1)
-        pairs = np.unique(pairs, axis=0) if len(pairs) else pairs
+        pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     for batch in batches:
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         if not len(cols[0]):
             continue
+        if held and (held[0][0][0], held[0][1][0]) != (cols[0][0], cols[1][0]):
+            yield links([np.concatenate(c) for c in zip(*held, strict=True)])
+            held = []
         last = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])
-        split = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
+        split = 0 if last.all() else int(np.flatnonzero(~last)[-1]) + 1
         if split:
-            whole = [np.concatenate([h[i] for h in held] + [cols[i][:split]]) for i in range(3)]
-            held = [tuple(c[split:] for c in cols)]
-            yield links(whole[0], whole[1], whole[2].view(np.uint64))
-        elif held and (held[0][0][0], held[0][1][0]) != (cols[0][0], cols[1][0]):
-            whole = [np.concatenate([h[i] for h in held]) for i in range(3)]
-            held = [tuple(cols)]
-            yield links(whole[0], whole[1], whole[2].view(np.uint64))
-        else:
-            held.append(tuple(cols))
+            yield links([np.concatenate(c) for c in zip(*held, [c[:split] for c in cols], strict=True)])
+            held = []
+        held.append([c[split:] for c in cols])
     if held:
-        whole = [np.concatenate([h[i] for h in held]) for i in range(3)]
-        yield links(whole[0], whole[1], whole[2].view(np.uint64))
+        yield links([np.concatenate(c) for c in zip(*held, strict=True)])
 
 
-def fingerprint_links(fps: DataFrame, distance: int = 4, block: int = 4096) -> DataFrame:
-    """(a, b) links that connect the same components as all pairs of distinct ``fp`` within ``distance`` bits."""
-    sig = fps.select("fp", F.explode(signatures(F.col("fp"), distance)).alias("sig"))
+def fingerprint_links(fps: DataFrame, cut_: Cut, block: int = 4096) -> DataFrame:
+    """(a, b) first words of fingerprints: links that connect the same components as all pairs that the cut meets within its distance."""
+    sig = fps.select(*cut_.names, F.explode(signatures(cut_)).alias("sig"))
     # A variant's bucket is the union of two exact segment values. Of a bucket larger than a block one of them has over
     # half a block, so counting those values finds every large bucket; the other value has at most half a block more.
-    seg = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(w).alias("w"), F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)).alias("x")) for s, w in segments(distance)])
+    seg = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(w).alias("w"), segment(cut_, i).alias("x")) for i, (_, _, w) in enumerate(cut_.segments)])
     counts = fps.select(F.explode(seg).alias("g")).groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > block // 2)
-    bit = F.explode(F.sequence(F.lit(0), F.col("g.w") - 1)).alias("i")
-    near = counts.select("g", "n", bit).select(F.expr("shiftleft(cast(g.s + i as bigint), 56) | (g.x & ~shiftleft(1L, i))").alias("sig"), "n")
+    near = counts.select("g", "n", F.explode(F.sequence(F.lit(0), F.col("g.w") - 1)).alias("b"))
+    near = near.select(F.expr("shiftleft(cast(g.i * 64 + b as bigint), 40) | (g.x & ~shiftleft(1L, b))").alias("sig"), "n")
     large = cut(near.groupBy("sig").agg(F.sum("n").alias("n")).select("sig", F.ceil((F.col("n") + block // 2) * 2 / block).cast("int").alias("blocks")))
     if large.isEmpty():
-        dealt = sig.select("sig", F.lit(0).alias("pair"), "fp")
+        dealt = sig.select("sig", F.lit(0).alias("pair"), *cut_.names)
     else:
-        mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+        mine = F.pmod(F.xxhash64(*cut_.names), F.col("blocks")).cast("int")
         other = F.sequence(F.lit(0), F.col("blocks") - 1)
         pairs = F.transform(other, lambda j: F.least(j, F.col("mine")) * F.col("blocks") + F.greatest(j, F.col("mine")))
-        dealt = (
-            sig.join(large, "sig", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("mine", mine)
-            .select("sig", "fp", F.explode(pairs).alias("pair")).select("sig", "pair", "fp")
-        )
+        dealt = sig.join(large, "sig", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("mine", mine).select("sig", F.explode(pairs).alias("pair"), *cut_.names)
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = dealt.repartition(parts, "sig", "pair").sortWithinPartitions("sig", "pair")
-    return ordered.mapInArrow(lambda it: bucket_links(it, distance), "a bigint, b bigint")
+    return ordered.mapInArrow(lambda it: bucket_links(it, cut_.distance), "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", distance: int = 4, words_per_shingle: int = 4, block: int = 4096, text: str = "text") -> DataFrame:
-    """Columns of docs but the text, with fp and component_id: the smallest id reachable over links of ``distance`` bits.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", cut_: Cut | None = None, shingle: int = 4, block: int = 4096, text: str = "text") -> DataFrame:
+    """Columns of docs but the text, with fp, component_id (the smallest id reachable over links) and root.
 
-    Null and empty texts have fingerprint 0 and link like any other. Copies share a fingerprint and are linked once, by
-    it. Rows with a null id take part; a component of such rows only has component_id null. Repeated ids are so many
-    rows. Extra columns are kept unless named fp, component_id or root (the least fingerprint of the component, last). Nothing of the corpus comes to the driver.
+    cut_: by default ``exact_cut(4)``. Null and empty texts have fingerprint 0 and link like any other. Copies share a
+    fingerprint and are linked once, by it. Rows with a null id take part; a component of such rows only has
+    component_id null. Repeated ids are so many rows. Extra columns are kept unless named like a new one. root is the
+    least first word of the component's fingerprints. Nothing of the corpus comes to the driver.
     """
-    if distance > 12:
-        raise ValueError("at more than 12 bits the segments are too short to select")
-    kept = docs.select(*[c for c in docs.columns if c not in ("fp", "component_id", "root")])
-    marked = cut(fingerprints(kept, words_per_shingle, text=text))
+    cut_ = cut_ or exact_cut()
+    kept = docs.select(*[c for c in docs.columns if c not in (*cut_.names, "component_id", "root")])
+    marked = cut(fingerprints(kept, cut_, shingle, text=text))
     # Written, so that the join at the end exchanges both sides and can split a fingerprint with very many copies.
-    fps = cut(marked.groupBy("fp").agg(F.min(id_col).alias("first")))
-    roots = components(fingerprint_links(fps, distance, block))
-    named = fps.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    fps = cut(marked.groupBy(*cut_.names).agg(F.min(id_col).alias("first")))
+    roots = components(fingerprint_links(fps, cut_, block))
+    named = fps.select("fp", "first").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    answer = cut(named.join(least, "root").select("fp", "component_id", "root"))
-    return marked.join(answer, "fp").select(*marked.columns, "component_id", "root")
+    answer = cut(named.select("fp", "root").distinct().join(least, "root").select("fp", "component_id", "root"))
+    return marked.join(answer, "fp").select(*[c for c in marked.columns if c not in cut_.names[1:]], "component_id", "root")
 
 
-def one_per_group(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how: int) -> DataFrame:
+def one_per_group(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how: Cut | int) -> DataFrame:
     """docs with one row of each component of ``near_duplicates``: that of the smallest id (null last), then by a hash
     of the text; of rows alike in both, any one. Only ids, hashes and fingerprints are grouped; texts move once, to the
     ids that stay."""

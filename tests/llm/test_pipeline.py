@@ -2,7 +2,7 @@ import corpus_pipeline as p
 
 from skyvane.llm.decontamination import find_overlaps
 from skyvane.llm.secrets import find_secrets
-from skyvane.llm.simhash import near_duplicates
+from skyvane.llm.simhash import near_duplicates, similar_cut
 
 
 def test_every_stage_takes_effect(spark):
@@ -18,7 +18,7 @@ def test_every_stage_takes_effect(spark):
         docs = out
     (raw, good), (_, unique), (_, clean), (_, safe) = kept
     assert 0 < raw.count() - good.count() and len(bad & {r[0] for r in good.select("doc_id").collect()}) <= len(bad) / 4
-    assert unique.count() == near_duplicates(good).select("root").distinct().count() < good.count()
+    assert unique.count() == near_duplicates(good, cut_=similar_cut(0.8), shingle=5).select("root").distinct().count() < good.count()
     assert clean.count() == find_overlaps(unique, bench).where("n_hit = 0").count() < unique.count()
     assert safe.count() == clean.count() and find_secrets(safe).where("is_secret").count() == 0
     packed = p.STAGES[-1][1](spark, safe, small)

@@ -5,7 +5,7 @@ import numpy as np
 import xxhash
 
 from skyvane.llm.components import components
-from skyvane.llm.simhash import fingerprint, fingerprint_links, near_duplicates, one_per_group
+from skyvane.llm.simhash import exact_cut, fingerprint, fingerprint_links, near_duplicates, one_per_group, similar_cut
 
 
 def plain_fingerprint(text):
@@ -61,7 +61,7 @@ def test_links_connect_what_brute_force_connects(spark):
     df = spark.createDataFrame([(int(np.uint64(x).astype(np.int64)),) for x in fps], "fp bigint")
     want = groups(fps, 4)
     for block in (4096, 8):  # 8: nearly every bucket is cut into blocks
-        links = [(int(np.int64(r.a).astype(np.uint64)), int(np.int64(r.b).astype(np.uint64))) for r in fingerprint_links(df, 4, block).collect()]
+        links = [(int(np.int64(r.a).astype(np.uint64)), int(np.int64(r.b).astype(np.uint64))) for r in fingerprint_links(df, exact_cut(4), block).collect()]
         assert all((a ^ b).bit_count() <= 4 for a, b in links)
         at = {x: i for i, x in enumerate(fps)}
         root = list(range(len(fps)))
@@ -99,3 +99,30 @@ def test_documents_with_nulls_ties_copies_and_extra_columns(spark):
     first = {g: min(((rows[i][0] is None, rows[i][0] or 0) for i in range(len(rows)) if want[i] == g)) for g in want}
     assert sorted(((r.doc_id is None, r.doc_id or 0) for r in kept)) == sorted(first.values())
     assert one_per_group(df.limit(0)).count() == 0
+
+
+def jaccard(a, b, k=5):
+    x, y = ({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+def test_similar_texts_meet_and_unlike_ones_stay_apart(spark):
+    rng = random.Random(9)
+    rows, like = [], []
+    for i in range(0, 1200, 2):
+        base = [f"{rng.choice('abcdefgh')}{rng.randint(0, 3000)}" for _ in range(rng.randint(150, 500))]
+        copy = list(base)
+        for _ in range(rng.randint(0, len(base) // 30)):
+            copy[rng.randrange(len(copy))] = f"new{rng.randint(0, 99999)}"
+        rows += [(i, " ".join(base)), (i + 1, " ".join(copy))]
+        like.append(jaccard(*[t for _, t in rows[-2:]]))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for block in (4096, 16):
+        got = {r.doc_id: r.component_id for r in near_duplicates(docs, cut_=similar_cut(0.8), shingle=5, block=block).collect()}
+        together = [got[2 * i] == got[2 * i + 1] for i in range(len(like))]
+        sure = [t for t, s in zip(together, like, strict=True) if s >= 0.87]
+        some = [t for t, s in zip(together, like, strict=True) if s >= 0.8]
+        assert sum(sure) >= 0.97 * len(sure) and sum(some) >= 0.9 * len(some) and len(some) > 300
+        assert not any(t for t, s in zip(together, like, strict=True) if s < 0.5)
+        assert len(set(got.values())) >= len(like)  # bases are unlike each other
+    assert one_per_group(docs, cut_=similar_cut(0.8), shingle=5).count() == len(set(got.values()))
