@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from .chat import OP8_SQL, op8_chat_format
-from .decontamination import op9_decontamination
+from .decontamination import OP9_SQL, op9_decontamination
 from .packing import op6_packing
 from .quality import op3_quality
 from .secrets import op10_secrets
-from .sharding import op5_sharding
+from .sharding import OP5_SQL, op5_sharding
 from .simhash import op4_simhash
 from .token_counts import op2_token_counts
 from .topk import OP7_SQL, op7_topk_search
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_secrets": op10_secrets,
 }
-SQL = {"op7_topk_search": OP7_SQL, "op8_chat_format": OP8_SQL}
+SQL = {"op5_sharding": OP5_SQL, "op7_topk_search": OP7_SQL, "op8_chat_format": OP8_SQL, "op9_decontamination": OP9_SQL}

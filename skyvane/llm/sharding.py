@@ -85,3 +85,15 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Law ``bytes``: nothing is promised for one shard more, so grown_shard is null."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return assign_shards(docs).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+OP5_SQL = """
+WITH s0 AS (SELECT i, i::BIGINT AS c FROM range(256) t(i)),
+s1 AS (SELECT i, list_reduce([0, 1, 2, 3, 4, 5, 6, 7], lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, c) AS c FROM s0),
+tab AS (SELECT list(c ORDER BY i) AS t FROM s1),
+d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+r AS (SELECT doc_id, len(h) // 2 + 1 AS size, 4294967295 - list_reduce([('0x' || substr(h, 2 * i + 1, 2))::BIGINT FOR i IN range(0, len(h) // 2)], lambda c, b: xor(c // 256, t[(xor(c, b) % 256) + 1]), 4294967295::BIGINT) AS crc FROM d, tab),
+p AS (SELECT *, sum(size) OVER (ORDER BY doc_id) AS upto, sum(size) OVER () AS total FROM r),
+q AS (SELECT *, least((2 * upto - size) * 8 // (2 * total), 7)::INT AS shard FROM p)
+SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'bytes' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1)::BIGINT AS slot, NULL::INT AS grown_shard FROM q
+"""
