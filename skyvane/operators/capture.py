@@ -82,3 +82,21 @@ def ordered_markers_inside(markers: DataFrame, keys: list[str], start: Column, f
 def settings_change(a: Column, b: Column) -> Column:
     """A changed setting is an error, a changed revision a warning."""
     return F.when(~a["settings"].eqNullSafe(b["settings"]), "ERROR").when(~a["git_head"].eqNullSafe(b["git_head"]), "WARNING").otherwise("OK")
+
+
+def slot_events(events: DataFrame, keys: list[str], start: str, slots: int = 6, slot_ns: int = 30_000_000_000, lead_ns: int = 5_000_000_000) -> DataFrame:
+    """Activations against a timeline of half-open slots, each scheduled ``lead`` after its slot begins: lateness, or a problem.
+
+    events: keys, ordinal from 1, actual_ns and the column with the capture's start in nanoseconds.
+    """
+    begin = F.col(start) + (F.col("ordinal") - 1) * slot_ns
+    due = begin + lead_ns
+    problem = F.when(~F.col("ordinal").between(1, slots), "ORDINAL").when((F.col("actual_ns") < due) | (F.col("actual_ns") >= begin + slot_ns), "OUTSIDE_SLOT")
+    return events.withColumn("scheduled_ns", due).withColumn("problem", F.coalesce(problem, F.when(F.col("actual_ns").isNull(), "MISSING"))).withColumn("lateness_ns", F.when(F.col("problem").isNull(), F.col("actual_ns") - F.col("scheduled_ns")))
+
+
+def session_grid(observed: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
+    """Cells of an expected design that are missing, and observed ones that repeat or were not planned."""
+    have = observed.groupBy(*keys).agg(F.count("*").alias("n"))
+    both = expected.select(*keys).distinct().withColumn("__e", F.lit(1)).join(have, keys, "full")
+    return both.withColumn("problem", F.when(F.col("n").isNull(), "MISSING").when(F.col("__e").isNull(), "UNPLANNED").when(F.col("n") > 1, "REPEATED")).where("problem is not null").select(*keys, "problem")

@@ -64,5 +64,24 @@ def history_neighbours(rows: DataFrame, keys: list[str], order: str, features: l
     return pairs.withColumn("rank", rank).where(F.col("rank") <= neighbours).select(*keys, "target", "rank", "prior", "distance")
 
 
+def history_bundle(rows: DataFrame, keys: list[str], order: str, cluster: str, features: list[str]) -> DataFrame:
+    """Per row: how many earlier rows there are, in all and by the own cluster, the own cluster's earlier feature means,
+    and the differences to them; null without an earlier row of the cluster. Windows only, strictly earlier rows."""
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy(*keys, cluster).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumn("prior_count", F.count("*").over(w)).withColumn("same_cluster_count", F.count("*").over(own))
+    for f in features:
+        out = out.withColumn(f"mean_{f}", F.avg(f).over(own)).withColumn(f"delta_{f}", F.col(f) - F.avg(f).over(own))
+    return out.select(*keys, order, cluster, "prior_count", "same_cluster_count", *[f"{p}_{f}" for f in features for p in ("mean", "delta")])
+
+
+def prior_cluster_counts(rows: DataFrame, keys: list[str], order: str, cluster: str) -> DataFrame:
+    """Per row and cluster seen before it: how many earlier rows have that cluster."""
+    kinds = rows.select(*keys, cluster).distinct().groupBy(*keys).agg(F.collect_list(cluster).alias("__k"))
+    w = Window.partitionBy(*keys, "of_cluster").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    each = rows.join(kinds, keys).withColumn("of_cluster", F.explode("__k"))
+    return each.withColumn("n", F.count_if(F.col(cluster) == F.col("of_cluster")).over(w)).where("n > 0").select(*keys, order, "of_cluster", "n")
+
+
 def score_novelty(df: DataFrame) -> DataFrame:
     return df.withColumn("novelty", k.novelty("ratio"))

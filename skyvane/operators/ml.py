@@ -72,7 +72,7 @@ def adjusted_rand(df: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
     return both.select(*keys, F.when(F.coalesce(top == expected, F.lit(True)), 1.0).otherwise((F.col("s") - expected) / F.when(top != expected, top - expected)).alias("ari"))
 
 
-def consecutive_unique(df: DataFrame, key: str) -> DataFrame:
+def repeated_keys(df: DataFrame, key: str) -> DataFrame:
     """Keys that are not unique: a one-to-one join must find none on either side."""
     return df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
 
@@ -83,6 +83,14 @@ def append_ledger(ledger: DataFrame, new: DataFrame, key: str = "session_id") ->
     return new.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r").join(ledger.select(key), key, "left_anti")
 
 
+def finalize(features: DataFrame, session_id: str, names: list[str], params: DataFrame, model: DataFrame, ledger: DataFrame) -> DataFrame:
+    """The scored row of one session that is not in the ledger yet: one row to append, or none. The filter on the session
+    reaches below the aggregation that made the features."""
+    own = features.where(F.col("session_id") == session_id)
+    out = score(standardized(own, names, params), model).select("session_id", "cluster", "nearest", "second", "separation", "ratio", "novelty")
+    return append_ledger(ledger, out)
+
+
 def bounded(rows: list) -> np.ndarray:
     if len(rows) > MOST:
         raise ValueError(f"a model is fitted on at most {MOST} sessions")

@@ -10,7 +10,7 @@ from skyvane.operators import association as a
 from skyvane.operators import capture as c
 from skyvane.operators import families as fam
 from skyvane.operators import history as h
-from skyvane.operators import ml
+from skyvane.operators import ml, rollups
 from skyvane.plans import sqltext as q
 from skyvane.sources import logs
 from skyvane.sources.observations import bursts
@@ -174,6 +174,67 @@ def session_number(spark: SparkSession, sf: str) -> DataFrame:
 NUMBER = """WITH x AS (SELECT event_id, CASE WHEN event_id % 10 <> 0 AND event_id % 14 + 1 <= 12 AND NOT (event_id % 14 + 1 = 2 AND event_id % 28 + 1 > 28) THEN (event_id % 20)::INT END AS number FROM events)
 SELECT event_id, number, CASE WHEN number IN (5, 6, 7) THEN 'A' WHEN number IN (8, 9, 10) THEN 'B' WHEN number IN (11, 12, 13) THEN 'C' WHEN number IN (15, 16, 17) THEN 'D' END AS block FROM x"""
 
+
+
+def history_bundle(spark: SparkSession, sf: str) -> DataFrame:
+    b = bursts(spark, sf).withColumn("cluster", F.col("event_id") % 3)
+    out = h.history_bundle(b, ["session_id"], "event_id", "cluster", ["peak_power", "max_confidence"])
+    return rounded(out, *[f"{p}_{f}" for p in ("mean", "delta") for f in ("peak_power", "max_confidence")])
+
+
+BUNDLE = f"""WITH {B}, x AS (SELECT session_id, event_id, event_id % 3 AS cluster, peak_power, max_confidence FROM bursts)
+SELECT session_id, event_id, cluster, count(*) OVER w AS prior_count, count(*) OVER o AS same_cluster_count, {', '.join(show(f'avg({f}) OVER o') + f' AS mean_{f}, ' + show(f'{f} - avg({f}) OVER o') + f' AS delta_{f}' for f in ('peak_power', 'max_confidence'))} FROM x
+WINDOW w AS (PARTITION BY session_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), o AS (PARTITION BY session_id, cluster ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
+
+
+def prior_cluster_counts(spark: SparkSession, sf: str) -> DataFrame:
+    b = bursts(spark, sf).withColumn("cluster", F.col("event_id") % 3)
+    return h.prior_cluster_counts(b, ["session_id"], "event_id", "cluster")
+
+
+PRIOR = f"""WITH {B}, x AS (SELECT session_id, event_id, event_id % 3 AS cluster FROM bursts), k AS (SELECT DISTINCT session_id, cluster AS of_cluster FROM x),
+c AS (SELECT x.session_id, x.event_id, k.of_cluster, count(*) FILTER (x.cluster = k.of_cluster) OVER (PARTITION BY x.session_id, k.of_cluster ORDER BY x.event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n FROM x JOIN k USING (session_id))
+SELECT * FROM c WHERE n > 0"""
+
+
+def track_spacings(spark: SparkSession, sf: str) -> DataFrame:
+    item = read(spark, sf, "lineitem").where("l_orderkey % 3 = 0").groupBy(F.col("l_orderkey").alias("episode"), (F.col("l_suppkey") % 4).alias("track_id"), F.col("l_linenumber").alias("fragment")).agg(F.min("l_partkey").cast("double").alias("frequency_hz"))
+    return rollups.track_spacings(item, ["episode"])
+
+
+SPACINGS = """WITH m AS (SELECT l_orderkey AS episode, l_suppkey % 4 AS track_id, l_linenumber AS fragment, min(l_partkey)::DOUBLE AS f FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY ALL)
+SELECT a.episode, a.track_id AS lower, b.track_id AS higher, count(*)::BIGINT AS common, median(b.f - a.f) AS median_hz, min(b.f - a.f) AS min_hz, max(b.f - a.f) AS max_hz FROM m a JOIN m b ON a.episode = b.episode AND a.fragment = b.fragment AND a.track_id < b.track_id GROUP BY ALL HAVING count(*) >= 2"""
+
+
+def sample_median(spark: SparkSession, sf: str) -> DataFrame:
+    return rollups.sample_median(read(spark, sf, "lineitem"), ["l_suppkey"], "l_quantity")
+
+
+MEDIAN = "SELECT l_suppkey, median(l_quantity) AS median FROM lineitem GROUP BY 1"
+
+
+def fragments(spark: SparkSession, sf: str) -> DataFrame:
+    item = read(spark, sf, "lineitem")
+    return item.select((F.col("l_orderkey") % 500).alias("episode"), (F.col("l_quantity") * 100).cast("bigint").alias("samples"), (F.col("l_discount") + 1).alias("rms"), (F.col("l_tax") + 1).alias("mean"), F.col("l_discount").alias("peak"), (F.col("l_partkey") % 997).cast("double").alias("strongest_hz"))
+
+
+def episode_magnitudes(spark: SparkSession, sf: str) -> DataFrame:
+    out = rollups.magnitude_episodes(fragments(spark, sf), ["episode"])
+    return rounded(out, *[c for c in out.columns if c not in ("episode", "fragments", "samples")])
+
+
+MAGNITUDES = f"""WITH f AS (SELECT l_orderkey % 500 AS episode, (l_quantity * 100)::BIGINT AS samples, l_discount + 1 AS rms, l_tax + 1 AS mean, l_discount AS peak, (l_partkey % 997)::DOUBLE AS strongest FROM lineitem)
+SELECT episode, count(*)::BIGINT AS fragments, sum(samples)::BIGINT AS samples, {', '.join(show(x) + f' AS {n}' for n, x in (('duration_s', 'sum(samples) / 25000'), ('min_duration_s', 'min(samples) / 25000'), ('max_duration_s', 'max(samples) / 25000'), ('median_duration_s', 'median(samples / 25000)'), ('rms', 'sqrt(sum(rms * rms * samples) / sum(samples))'), ('mean', 'sum(mean * samples) / sum(samples)'), ('peak', 'max(peak)'), ('median_offset_hz', 'median(strongest)'), ('min_offset_hz', 'min(strongest)'), ('max_offset_hz', 'max(strongest)'), ('offset_spread_hz', 'max(strongest) - min(strongest)')))} FROM f GROUP BY 1"""
+
+
+def slot_events(spark: SparkSession, sf: str) -> DataFrame:
+    e = read(spark, sf, "events").select("event_id", (F.col("event_id") % 8).alias("ordinal"), F.lit(1000).cast("bigint").alias("start_ns"), (F.col("event_id") * 20_000_000).alias("actual_ns"))
+    return c.slot_events(e, ["event_id"], "start_ns").select("event_id", "scheduled_ns", "problem", "lateness_ns")
+
+
+SLOTS = """WITH x AS (SELECT event_id, event_id % 8 AS o, event_id * 20000000 AS a FROM events), y AS (SELECT *, 1000 + (o - 1) * 30000000000 AS b FROM x)
+SELECT event_id, b + 5000000000 AS scheduled_ns, CASE WHEN o NOT BETWEEN 1 AND 6 THEN 'ORDINAL' WHEN a < b + 5000000000 OR a >= b + 30000000000 THEN 'OUTSIDE_SLOT' END AS problem, CASE WHEN o BETWEEN 1 AND 6 AND a >= b + 5000000000 AND a < b + 30000000000 THEN a - b - 5000000000 END AS lateness_ns FROM y"""
+
 DIMS = [f"f{i}" for i in range(11)]
 
 
@@ -352,12 +413,14 @@ QUERIES = {
     "activation_position": activation_position, "history_knn": history_knn, "history_scope": history_scope, "cluster_transitions": cluster_transitions, "block_summary": block_summary, "common_clusters": common_clusters,
     "session_number": session_number, "score_sessions": score_sessions, "ari": ari, "assoc_edges": assoc_edges, "track_groups": track_groups, "association_exact": association_exact, "peak_pairwise": peak_pairwise,
     "family_recurrence": family_recurrence, "family_class": family_class, "dice_concordance": dice_concordance, "capture_delta": capture_delta, "contrast_runs": contrast_runs, "envelope_events": envelope_events,
-    "multiset_equal": multiset_equal, "parameter_matrix": parameter_matrix,
+    "multiset_equal": multiset_equal, "parameter_matrix": parameter_matrix, "history_bundle": history_bundle, "prior_cluster_counts": prior_cluster_counts, "track_spacings": track_spacings, "sample_median": sample_median,
+    "episode_magnitudes": episode_magnitudes, "slot_events": slot_events,
 }
 SQL = {
     "kv_lenient": KV, "file_episodes": FILE_EPISODES, "manifest_diff": DIFF, "verify_files": VERIFY, "activation_acquired": ACQUIRED, "acquisition_completeness": COMPLETENESS,
     "activation_position": POSITION, "history_knn": KNN, "history_scope": SCOPE, "cluster_transitions": TRANSITIONS, "block_summary": BLOCKS, "common_clusters": COMMON,
     "session_number": NUMBER, "score_sessions": SCORE, "ari": ARI, "assoc_edges": f"WITH {COMP}, {EDGE} SELECT * FROM ed", "track_groups": GROUPS, "peak_pairwise": PAIRS,
     "family_recurrence": f"{RECUR} SELECT sensor, capture, centre, hits, {show('fraction')} AS fraction FROM fr", "family_class": FAMILY, "dice_concordance": DICE, "capture_delta": DELTA, "contrast_runs": RUNS, "envelope_events": EVENTS,
-    "multiset_equal": BAGS, "parameter_matrix": MATRIX,
+    "multiset_equal": BAGS, "parameter_matrix": MATRIX, "history_bundle": BUNDLE, "prior_cluster_counts": PRIOR, "track_spacings": SPACINGS, "sample_median": MEDIAN,
+    "episode_magnitudes": MAGNITUDES, "slot_events": SLOTS,
 }

@@ -126,3 +126,21 @@ def kv_text(df: DataFrame, fields: list[str]) -> DataFrame:
 def canonical_jsonl(df: DataFrame) -> DataFrame:
     """Rows as JSON objects without spaces, keys of the top level sorted; nulls are written."""
     return df.select(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def strict_records(lines: DataFrame, line: str = "value") -> DataFrame:
+    """lines with m, the record's map; the first line that is no strict record fails the query with its place.
+
+    Session markers are no records and left out. lines: path, line_no, value.
+    """
+    body = lines.where(~F.startswith(F.col(line), F.lit("SESSION_")))
+    why = strict_error(F.col(line))
+    checked = F.when(why.isNotNull(), F.raise_error(F.concat(F.col("path"), F.lit(": line "), F.col("line_no").cast("string"), F.lit(": "), why)).cast("map<string,string>")).otherwise(lenient_map(F.col(line)))
+    return body.withColumn("m", checked)
+
+
+def present(spark: SparkSession, paths: list[str]) -> tuple[list[str], list[str]]:
+    """The paths that are there, and those that are missing, by the file systems they name."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    there = [jvm.org.apache.hadoop.fs.Path(p).getFileSystem(conf).exists(jvm.org.apache.hadoop.fs.Path(p)) for p in paths]
+    return [p for p, t in zip(paths, there, strict=True) if t], [p for p, t in zip(paths, there, strict=True) if not t]
