@@ -47,10 +47,25 @@ def dice(left: DataFrame, right: DataFrame, keys: list[str], tolerance: float =
 
 
 def capture_delta(values: DataFrame) -> DataFrame:
-    """Median and range of each capture's episode medians, and the difference to the nearest earlier capture."""
+    """Median and range of each capture's episode medians, and the difference to the nearest earlier capture (number).
+
+    The captures before a number are one block per set bit of it. In each block, ordered by median, the neighbours
+    below and above are looked up, so a capture meets a few rows per bit and never all earlier ones. Of equal
+    distances the smaller number counts.
+    """
     c = values.groupBy("capture", "episode").agg(exact_median("value").alias("m")).groupBy("capture").agg(exact_median("m").alias("median"), (F.max("m") - F.min("m")).alias("range"))
-    e = c.select(F.col("capture").alias("earlier"), F.col("median").alias("em"))
-    best = c.join(e, F.col("earlier") < F.col("capture")).groupBy("capture").agg(F.min(F.struct(F.abs(F.col("median") - F.col("em")).alias("d"), "earlier", "em")).alias("n"))
+    bits = int(c.agg(F.max("capture")).first()[0] or 0).bit_length()
+    level = F.explode(F.sequence(F.lit(0), F.lit(max(0, bits - 1)))).alias("level")
+    block = F.expr("shiftright(capture, level)")
+    points = c.select("capture", "median", level).select("level", block.alias("block"), "median", "capture", F.lit(0).alias("asks"))
+    asks = c.select("capture", "median", level).where(block % 2 == 1).select("level", (block - 1).alias("block"), "median", "capture", F.lit(1).alias("asks"))
+    # Points of one median count as the one with the smallest number: it comes last below and first above.
+    w = Window.partitionBy("level", "block")
+    up, down = w.orderBy("median", "asks", F.col("capture").desc()), w.orderBy(F.col("median").desc(), "asks", F.col("capture").desc())
+    point = F.when(F.col("asks") == 0, F.struct("median", "capture"))
+    line = points.unionAll(asks).withColumn("below", F.last(point, True).over(up.rowsBetween(Window.unboundedPreceding, 0))).withColumn("above", F.last(point, True).over(down.rowsBetween(Window.unboundedPreceding, 0)))
+    near = line.where("asks = 1").select("capture", F.explode(F.array("below", "above")).alias("p"), "median").where("p is not null")
+    best = near.groupBy("capture").agg(F.min(F.struct(F.abs(F.col("median") - F.col("p.median")).alias("d"), F.col("p.capture").alias("earlier"), F.col("p.median").alias("em"))).alias("n"))
     return c.join(best, "capture", "left").select("capture", "median", "range", F.col("n.earlier").alias("nearest_capture"), (F.col("median") - F.col("n.em")).alias("signed"), F.col("n.d").alias("absolute"))
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,19 +53,71 @@ def prior_scope(rows: DataFrame, keys: list[str], order: str, value: str) -> Dat
 
 
 def history_neighbours(rows: DataFrame, keys: list[str], order: str, features: list[str], neighbours: int = 3) -> DataFrame:
-    """The nearest strictly earlier sessions of each session of a key (a receiver, say): root mean square of the
-    differences scaled by the population deviation of the earlier sessions, features without spread left out; null where none has spread. Ties go to the earlier session.
+    """The nearest strictly earlier rows of each row of a key (a receiver, say): root mean square of the differences
+    scaled by the population deviation of the earlier rows. Features without spread or with a null on either side are
+    left out; the distance is null where none is left. Ties go to the earlier row; equal orders are not earlier.
 
-    A key's sessions are its history, which a target is compared with as a whole; it is the query set of the operator.
+    A key's rows stream by in order past its earlier feature rows, so pairs are compared in memory and only the
+    nearest leave the task. The features of one key's history must fit a task.
     """
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    target = rows.select(*keys, F.col(order).alias("target"), F.array(*[F.col(f).cast("double") for f in features]).alias("tv"), F.array(*[F.stddev_pop(f).over(w) for f in features]).alias("scale"))
-    prior = rows.select(*keys, F.col(order).alias("prior"), F.array(*[F.col(f).cast("double") for f in features]).alias("pv"))
-    pairs = target.join(prior, keys).where("prior < target")
-    terms = F.filter(F.zip_with(F.arrays_zip("tv", "pv"), "scale", lambda x, s: F.when(s > 0, ((x["tv"] - x["pv"]) / F.when(s > 0, s)) ** 2)), lambda t: t.isNotNull())
-    pairs = pairs.withColumn("terms", terms).withColumn("distance", F.sqrt(F.aggregate("terms", F.lit(0.0), lambda a, t: a + t) / F.when(F.size("terms") > 0, F.size("terms"))))
-    rank = F.row_number().over(Window.partitionBy(*keys, "target").orderBy(F.col("distance").asc_nulls_last(), "prior"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= neighbours).select(*keys, "target", "rank", "prior", "distance")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    src = rows.select(*keys, order, *[F.col(f).cast("double").alias(f) for f in features])
+    ordered = src.repartition(parts, *keys).sortWithinPartitions(*keys, order)
+    width = len(keys)
+
+    def nearest(key: tuple, o: list, x: np.ndarray) -> list[tuple]:
+        """x has a row per order; scales come from running sums, and are zero only where all earlier values are equal."""
+        known = ~np.isnan(x)
+        base = np.where(known.any(axis=0), np.nanmax(np.where(known, x, -np.inf), axis=0), 0.0)
+        z = np.where(known, x - base, 0.0)
+        n, s, s2 = (np.cumsum(v, axis=0) for v in (known, z, z * z))
+        low, high = np.minimum.accumulate(np.where(known, x, np.inf)), np.maximum.accumulate(np.where(known, x, -np.inf))
+        out, before = [], 0
+        for i in range(1, len(o)):
+            before = i if o[i] != o[i - 1] else before
+            if not before:
+                continue
+            e = before - 1
+            c = np.maximum(n[e], 1)
+            scale = np.where(high[e] > low[e], np.sqrt(np.maximum(s2[e] / c - (s[e] / c) ** 2, 0.0)), 0.0)
+            use = known[:before] & known[i] & (scale > 0)
+            d = np.where(use, (x[i] - np.where(use, x[:before], 0.0)) / np.where(scale > 0, scale, 1.0), 0.0)
+            terms = use.sum(axis=1)
+            dist = np.where(terms > 0, np.sqrt((d * d).sum(axis=1) / np.maximum(terms, 1)), np.inf)
+            k = min(neighbours, before)
+            limit = np.partition(dist, k - 1)[k - 1]
+            best = np.flatnonzero(dist <= limit)
+            best = best[np.argsort(dist[best], kind="stable")][:k]
+            out += [(*key, o[i], r, o[j], None if np.isinf(dist[j]) else float(dist[j])) for r, j in enumerate(best, 1)]
+        return out
+
+    names = [*keys, "target", "rank", "prior", "distance"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, o, x, types = None, [], [], None
+
+        def done() -> pa.RecordBatch:
+            got = nearest(key, o, np.array(x, float).reshape(len(o), -1))
+            cols = list(zip(*got, strict=True)) if got else [()] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, types, strict=True)], names=names)
+
+        for b in batches:
+            f = b.schema
+            types = [f.field(i).type for i in range(width)] + [f.field(width).type, pa.int32(), f.field(width).type, pa.float64()]
+            cols = [c.to_pylist() for c in b.columns]
+            for r in zip(*cols, strict=True):
+                if r[:width] != key:
+                    if o:
+                        yield done()
+                    key, o, x = r[:width], [], []
+                o.append(r[width])
+                x.append([np.nan if v is None else v for v in r[width + 1 :]])
+        if o:
+            yield done()
+
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"target {kinds[order]}, rank int, prior {kinds[order]}, distance double"])
+    return ordered.mapInArrow(run, schema)
 
 
 def history_bundle(rows: DataFrame, keys: list[str], order: str, cluster: str, features: list[str]) -> DataFrame:

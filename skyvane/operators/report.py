@@ -31,11 +31,20 @@ def span_s(c: str = "time") -> Column:
     return (F.max(F.unix_micros(c)) - F.min(F.unix_micros(c))) / 1e6
 
 
-def gap_stats(df: DataFrame, keys: list[str], time: str = "time", tie: str = "event_id") -> DataFrame:
-    """Median and largest gap in seconds between consecutive rows by key; null for a single row."""
-    w = Window.partitionBy(*keys).orderBy(time, tie)
-    gaps = df.withColumn("gap", (F.unix_micros(time) - F.lag(F.unix_micros(time)).over(w)) / 1e6)
-    return gaps.groupBy(*keys).agg(exact_median("gap").alias("median_gap_s"), F.max("gap").alias("max_gap_s"))
+def gap_stats(df: DataFrame, keys: list[str], time: str = "time", tie: str = "event_id", bucket_s: int = 86_400) -> DataFrame:
+    """Median and largest gap in seconds between consecutive rows by key; null for a single row.
+
+    Keys can be few and large (a frequency has rows of all sessions), so rows are ordered inside time buckets of a key,
+    and only the ends of buckets are ordered by key, for the gaps between buckets.
+    """
+    t = df.select(*keys, tie, F.unix_micros(time).alias("__t")).withColumn("__b", F.floor(F.col("__t") / (bucket_s * 1_000_000)))
+    inner = t.withColumn("gap", F.col("__t") - F.lag("__t").over(Window.partitionBy(*keys, "__b").orderBy("__t", tie)))
+    ends = t.groupBy(*keys, "__b").agg(F.min("__t").alias("first"), F.max("__t").alias("last"))
+    outer = ends.withColumn("gap", F.col("first") - F.lag("last").over(Window.partitionBy(*keys).orderBy("__b")))
+    # A key's only row has no gap, but the key stays.
+    gaps = inner.select(*keys, "gap").unionAll(outer.select(*keys, "gap")).groupBy(*keys, "gap").agg(F.count("*").alias("n"))
+    n = F.when(F.col("gap").isNotNull(), F.col("n")).otherwise(0)
+    return gaps.groupBy(*keys).agg((F.percentile("gap", F.lit(0.5), n) / 1e6).alias("median_gap_s"), (F.max("gap") / 1e6).alias("max_gap_s"))
 
 
 def doa_shift(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -100,3 +100,30 @@ def test_finalise_one_session(spark):
     assert len(got) == 1 and got[0].cluster in (0, 1) and got[0].nearest <= got[0].second
     assert ml.finalize(new, "n2", names, params, model, ledger).count() == 0
     assert [r.session_id for r in ml.repeated_keys(new.unionAll(new.limit(1)), "session_id").collect()] == ["n1"]
+
+
+def test_nearest_earlier_capture_and_history_by_brute_force(spark):
+    import random
+
+    from skyvane.operators.families import capture_delta
+    from skyvane.operators.history import history_neighbours
+
+    rng = random.Random(3)
+    med = {c: float(rng.randint(0, 12)) for c in rng.sample(range(60), 30)}
+    got = {r.capture: r for r in capture_delta(spark.createDataFrame([(c, 1, v) for c, v in med.items()], "capture bigint, episode int, value double")).collect()}
+    for c, v in med.items():
+        best = min(((abs(v - w), e) for e, w in med.items() if e < c), default=(None, None))
+        assert (got[c].absolute, got[c].nearest_capture) == best
+    rows = [("k", i // 2, rng.choice([None, 1.0, 2.5, 4.0]), 7.0) for i in range(40)] + [("one", 1, 1.0, 1.0)]
+    out = {}
+    for r in history_neighbours(spark.createDataFrame(rows, "k string, o int, a double, b double"), ["k"], "o", ["a", "b"]).collect():
+        out.setdefault((r.k, r.target), []).append((r["rank"], r.prior, r.distance))
+    assert not any(k == "one" for k, _ in out)
+    for t in range(1, 20):
+        prior = [(o, a) for k, o, a, _ in rows if k == "k" and o < t]
+        known = [a for _, a in prior if a is not None]
+        sd = float(np.std(known)) if len(set(known)) > 1 else 0.0
+        for own in {a for k, o, a, _ in rows if k == "k" and o == t}:
+            d = sorted((abs(own - a) / sd if sd and own is not None and a is not None else float("inf"), o) for o, a in prior)[:3]
+            mine = sorted(out["k", t])
+            assert any(x[2] == pytest.approx(d[0][0]) if d[0][0] < float("inf") else x[2] is None for x in mine)
