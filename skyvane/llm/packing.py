@@ -4,7 +4,8 @@ Pieces of one length are interchangeable, so best-fit decreasing over all pieces
 each length: at most ``capacity`` counts, whatever the corpus. ``plan`` runs it over these counts with a segment tree
 over the remaining capacities that finds the tightest open bin in logarithmic time, and writes down runs: the ranks
 r .. r + bins * each of a length go to bins b .. b + bins. Executors give each piece its rank in its length and look its
-run up. Ranks are counted in salted parts of a length, so a length that a third of all pieces have is no hot key.
+run up. Ranks are counted in salted parts of a length, so many that no part has much over 1 / PARTS of all pieces: a
+length that a third of all pieces have is no hot key, and there are at most PARTS + capacity parts, whatever the corpus.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, slices, table
 
-SALTS = 64
+PARTS = 8192
 SHIFT = 44
 #: Runs of one kind of character that tiktoken merges in quadratic time; the tokenizers library does not.
 LONG = re.compile(r"\S{2000}|\s{2000}")
@@ -170,32 +171,33 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0, id_col:
     no rows. Other columns are not returned. ids_crc32 is over the ids as little-endian unsigned 32-bit numbers.
     """
     made = cut(cut_pieces(docs, path, capacity, end, id_col, text, ranks, pattern, with_ids))
-    salt = F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(SALTS)).cast("int")
-    made = made.withColumn("__salt", salt)
-    counts = cut(made.groupBy("length", "__salt").agg(F.count("*").alias("__n")))
-    # At most ``capacity`` counts come to the driver; the offsets have at most SALTS times as many rows.
-    runs = plan({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("__n").alias("n")).collect()}, capacity)
-    before = Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("length", "__salt", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    # At most ``capacity`` counts come to the driver, and then those of at most PARTS + capacity parts.
+    counts = {r["length"]: r["n"] for r in made.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    runs, total = plan(counts, capacity), max(1, sum(counts.values()))
+    salts = docs.sparkSession.createDataFrame([(n, -(-c * PARTS // total)) for n, c in counts.items()], "length bigint, __salts bigint")
+    made = made.join(F.broadcast(salts), "length").withColumn("__salt", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), "__salts")).drop("__salts")
+    parts = sorted((r["length"], r["__salt"], r["n"]) for r in made.groupBy("length", "__salt").agg(F.count("*").alias("n")).collect())
+    part = np.array(parts, np.int64).reshape(-1, 3)
+    upto = np.cumsum(part[:, 2]) - part[:, 2]
+    first = upto - (upto[np.searchsorted(part[:, 0], part[:, 0], "left")] if len(part) else 0)  # pieces of the length in the parts before
     rank = F.row_number().over(Window.partitionBy("length", "__salt").orderBy(id_col, "piece", "ids_crc32")) - 1
-    ranked = made.withColumn("__rank", rank).join(F.broadcast(offsets), ["length", "__salt"]).withColumn("__rank", F.col("__rank") + F.col("__before")).drop("__before", "__salt")
-    order = np.lexsort((runs[:, 1], runs[:, 0]))
-    runs = runs[order]
-    sent = docs.sparkSession.sparkContext.broadcast(runs)
+    runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))]
+    sent = docs.sparkSession.sparkContext.broadcast((runs, part[:, 0] << SHIFT | part[:, 1], first))
     names = [id_col, "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in made.select(*names).schema) + ", sequence_id bigint, offset bigint"
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run = sent.value
+        run, salted, before = sent.value
         keys = run[:, 0] << SHIFT | run[:, 1]
         for b in batches:
-            length, rank = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("length", "__rank"))
+            length, salt, rank = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("length", "__salt", "__rank"))
+            rank = rank + before[np.searchsorted(salted, length << SHIFT | salt)]
             r = run[np.searchsorted(keys, length << SHIFT | rank, "right") - 1]
             nth = rank - r[:, 1]
             new = [pa.array(r[:, 3] + nth % r[:, 2]), pa.array(r[:, 4] + nth // r[:, 2] * length)]
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in names] + new, names=[*names, "sequence_id", "offset"])
 
-    return ranked.select(*names, "__rank").mapInArrow(place, schema)
+    return made.withColumn("__rank", rank).select(*names, "__salt", "__rank").mapInArrow(place, schema)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
