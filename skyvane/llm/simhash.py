@@ -6,7 +6,7 @@ in at most one bit of a segment, and every pair met is verified on the whole fin
 
 * ``exact_cut(4)``: two 64-bit fingerprints within 4 bits differ in at most one bit of one of 3 segments (three with 2
   differing bits each would make 6), so no link is lost.
-* ``similar_cut(0.8)``: for similarities at which single bits differ too often for that, three 64-bit words and so many
+* ``similar_cut(0.8)``: for similarities at which single bits differ too often for that, six 64-bit words and so many
   short segments that a pair of the given Jaccard similarity meets with probability ``recall``. The link is the
   fingerprint's estimate of the similarity, with one standard deviation of tolerance.
 
@@ -53,7 +53,7 @@ def exact_cut(distance: int = 4) -> Cut:
     return Cut(1, tuple((0, a, b - a) for a, b in zip(edges, edges[1:], strict=False)), distance)
 
 
-def similar_cut(similarity: float = 0.8, width: int = 12, recall: float = 0.99, words: int = 3) -> Cut:
+def similar_cut(similarity: float = 0.8, width: int = 12, recall: float = 0.99, words: int = 6) -> Cut:
     """Segments for a Jaccard similarity of shingle sets: a bit differs with probability p = angle / pi."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     meets = (1 - p) ** width + width * p * (1 - p) ** (width - 1)
