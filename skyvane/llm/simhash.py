@@ -231,7 +231,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", cut_: Cut | None =
     fps = cut(marked.groupBy(*cut_.names).agg(F.min(id_col).alias("first")))
     roots = components(fingerprint_links(fps, cut_, block))
     named = fps.select("fp", "first").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    least = cut(named.groupBy("root").agg(F.min("first").alias("component_id")))  # written for the same reason
     answer = cut(named.select("fp", "root").distinct().join(least, "root").select("fp", "component_id", "root"))
     return marked.join(answer, "fp").select(*[c for c in marked.columns if c not in cut_.names[1:]], "component_id", "root")
 
