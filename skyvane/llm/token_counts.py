@@ -13,7 +13,6 @@ import re
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .common import map_texts, table
 
