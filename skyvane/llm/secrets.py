@@ -22,9 +22,9 @@ from .common import slices, table
 KEYS = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|credential|api[_-]?key|access[_-]?key|private[_-]?key|auth)"
 #: What can be a secret. Only the group of a match is the candidate; recall is wanted here, the forest rejects.
 RULES = {
-    "private_key": re.compile(r"(-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*(?:-----END [A-Z ]*PRIVATE KEY-----)?)"),
-    "assigned": re.compile(rf"(?i)\b[\w.-]{{0,40}}{KEYS}[\w.-]{{0,20}}[\"']?\s{{0,3}}(?::=|=>|[:=])\s{{0,3}}[\"']?([^\s\"'<>,;]{{6,512}})"),
-    "known_form": re.compile(r"(?<![A-Za-z0-9])((?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,255}|xox[baprs]-[A-Za-z0-9-]{10,200}|sk-[A-Za-z0-9_-]{20,200}|eyJ[\w-]{8,2000}\.[\w-]{8,2000}\.[\w-]{8,2000})(?![A-Za-z0-9])"),
+    "private_key": re.compile(r"(-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----(?:(?:(?!-----BEGIN )[\s\S])*?-----END [A-Z ]*PRIVATE KEY(?: BLOCK)?-----|(?:\s*[A-Za-z-]+:[^\n]*\n)*[^-]*))"),
+    "assigned": re.compile(rf"(?i)\b[\w.-]{{0,40}}{KEYS}[\w.-]{{0,20}}[\"']?\s{{0,3}}(?::=|=>|[:=])\s{{0,3}}[\"']?([^\s\"'<>,;]{{6,}})"),
+    "known_form": re.compile(r"(?<![A-Za-z0-9])((?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,}+|xox[baprs]-[A-Za-z0-9-]{10,}+|sk-[A-Za-z0-9_-]{20,}+|eyJ[\w-]{8,}+(?:\.[\w-]{8,}+){2,})(?![A-Za-z0-9])"),
     "random": re.compile(r"(?<![\w+/=-])([A-Za-z0-9+/_-]{20,}={0,2})(?![\w+/=-])"),
 }
 #: Plain strings of which a text must hold one before a rule is tried; they are found far faster than a pattern.
@@ -106,7 +106,7 @@ FEATURES = 20
 
 
 def scan(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, rule) of candidates, left to right; of overlapping ones the first rule's counts."""
+    """(start, end, rule) of candidates, left to right; overlapping ones are one candidate, their union, under the first rule."""
     if not text:
         return []
     low, digits = text.lower(), DIGIT.search(text) is not None
@@ -124,8 +124,7 @@ def scan(text: str) -> list[tuple[int, int, str]]:
     order, out = {r: i for i, r in enumerate(RULES)}, []
     for a, b, rule in taken:
         if out and a < out[-1][1]:
-            if order[rule] < order[out[-1][2]]:
-                out[-1] = (min(a, out[-1][0]), max(b, out[-1][1]), rule)
+            out[-1] = (out[-1][0], max(b, out[-1][1]), min(rule, out[-1][2], key=order.__getitem__))
             continue
         out.append((a, b, rule))
     return out
