@@ -278,23 +278,24 @@ SELECT trial, {show('(s - sa * sb / t) / ((sa + sb) / 2 - sa * sb / t)')} AS ari
 
 
 def components(spark: SparkSession, sf: str) -> DataFrame:
-    item = read(spark, sf, "lineitem").where("l_orderkey % 2 = 0")
-    return item.select(
+    return read(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("episode"), F.concat_ws("-", F.lit("c"), "l_linenumber", "l_partkey", "l_suppkey").alias("candidate_id"),
         (F.col("l_linenumber") - F.col("l_suppkey") % 2).cast("int").alias("fragment"), (F.col("l_partkey") * 37 % 160).cast("double").alias("frequency_hz"), (F.col("l_partkey") % 9 > 0).alias("eligible")).distinct()
 
 
+#: The episodes that the SQL below covers.
+IN_SQL = "episode % 2 = 0"
 COMP = "co AS (SELECT DISTINCT l_orderkey AS episode, 'c-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS candidate_id, (l_linenumber - l_suppkey % 2)::INT AS fragment, (l_partkey * 37 % 160)::DOUBLE AS frequency_hz, l_partkey % 9 > 0 AS eligible FROM lineitem WHERE l_orderkey % 2 = 0)"
 EDGE = "ed AS (SELECT a.episode, a.candidate_id AS from_id, b.candidate_id AS to_id, b.fragment - a.fragment AS gap, b.frequency_hz - a.frequency_hz AS difference_hz FROM co a JOIN co b ON a.episode = b.episode AND b.fragment - a.fragment IN (1, 2) AND abs(b.frequency_hz - a.frequency_hz) <= 50 AND a.eligible AND b.eligible)"
 
 
 def assoc_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return a.association_edges(components(spark, sf), ["episode"])
+    return a.association_edges(components(spark, sf).where(IN_SQL), ["episode"])
 
 
 def track_groups(spark: SparkSession, sf: str) -> DataFrame:
     """Connected groups of every episode with their support, range and verdicts."""
-    comp = components(spark, sf)
+    comp = components(spark, sf).where(IN_SQL)
     out = a.track_episodes(comp, comp.select("episode", "fragment", F.lit(True).alias("usable")), ["episode"])
     t = out.select("episode", "status", F.explode_outer("tracks").alias("t")).where("t is not null")
     return rounded(t.select("episode", "status", "t.track_id", F.array_join(F.array_sort("t.members"), ",").alias("members"), "t.support", "t.coverage", "t.median_hz", "t.range_hz", "t.coherent", "t.persistent"), "coverage", "median_hz", "range_hz")
