@@ -58,15 +58,16 @@ SELECT session_id, max(event_id) FILTER (f IS NULL OR event_id < f) AS edge FROM
 
 def made_files(spark: SparkSession, sf: str) -> DataFrame:
     """Sample files in memory: a tone per vector, its frequency and noise taken from the vector."""
-    e = spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 25 = 0").select("vec_id", "embedding")
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for v in b.column(1).to_pylist():
-                n, x = 4096, np.resize(np.array(v), 4096)
-                out.append((np.exp(2j * np.pi * (2000 + 4000 * v[0]) * np.arange(n) / 25_000) * 0.2 + 0.02 * (x + 1j * x[::-1])).astype("<c16").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["vec_id", "content"])
+        for batch in batches:
+            for b in (batch.slice(at, 64) for at in range(0, batch.num_rows, 64)):  # 4 MB of samples at a time
+                out = []
+                for v in b.column(1).to_pylist():
+                    n, x = 4096, np.resize(np.array(v), 4096)
+                    out.append((np.exp(2j * np.pi * (2000 + 4000 * v[0]) * np.arange(n) / 25_000) * 0.2 + 0.02 * (x + 1j * x[::-1])).astype("<c16").tobytes())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["vec_id", "content"])
 
     return e.mapInArrow(run, "vec_id bigint, content binary")
 

@@ -1,5 +1,7 @@
 """Queries without SQL reach every row of their tables."""
 
+import pytest
+
 from skyvane.catalog import QUERIES
 
 
@@ -10,3 +12,9 @@ def ids(spark, small, table, column):
 def test_every_episode_is_associated(spark, small):
     got = [r[0] for r in QUERIES["association_exact"](spark, small).select("episode").collect()]
     assert sorted(got) == ids(spark, small, "lineitem", "l_orderkey")
+
+
+@pytest.mark.parametrize("name", ["magnitude", "strongest", "spectrum", "instantaneous", "dominant", "envelope", "events", "components"])
+def test_every_vector_is_measured(spark, small, name):
+    got = [r[0] for r in QUERIES[f"iq_{name}"](spark, small).select("vec_id").collect()]
+    assert sorted(got) == ids(spark, small, "embeddings", "vec_id")
