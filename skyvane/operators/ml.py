@@ -97,49 +97,73 @@ def bounded(rows: list) -> np.ndarray:
     return np.array(rows, float)
 
 
-def ward(x: np.ndarray, clusters: int) -> np.ndarray:
-    """Ward clustering by Lance-Williams updates of squared distances; labels are numbered by first member."""
-    x = bounded(x)
-    n = len(x)
-    d = ((x[:, None] - x[None]) ** 2).sum(-1)
-    np.fill_diagonal(d, np.inf)
-    size, members, alive = np.ones(n), [[i] for i in range(n)], np.ones(n, bool)
-    for _ in range(n - clusters):
-        i, j = divmod(int(np.argmin(d)), n)
+def ward_merges(x: np.ndarray) -> list[tuple[float, int, int]]:
+    """Ward's merges as (squared height, a member of each side), by nearest-neighbour chains; memory grows with the rows, not their pairs."""
+    c, n = bounded(x).copy(), len(x)
+    size, chain, out = np.ones(n), [], []
+    while len(out) < n - 1:
+        if not chain:
+            chain = [int(np.isfinite(c[:, 0]).argmax())]
+        while True:
+            i = chain[-1]
+            d = ((c - c[i]) ** 2).sum(1) * (2 * size * size[i] / (size + size[i]))
+            d[i] = np.inf
+            j = int(d.argmin())
+            if len(chain) > 1 and d[chain[-2]] <= d[j]:
+                j = chain[-2]
+                break
+            chain.append(j)
+        del chain[-2:]
+        out.append((float(d[j]), i, j))
         i, j = min(i, j), max(i, j)
-        t = size[i] + size[j] + size
-        merged = ((size[i] + size) * d[i] + (size[j] + size) * d[j] - size * d[i, j]) / t
-        d[i], d[:, i] = merged, merged
-        d[i, i] = np.inf
-        d[j], d[:, j] = np.inf, np.inf
-        d[i, ~alive] = d[~alive, i] = np.inf
-        alive[j] = False
-        d[i, j] = d[j, i] = np.inf
+        c[i] = (size[i] * c[i] + size[j] * c[j]) / (size[i] + size[j])
         size[i] += size[j]
-        members[i] += members[j]
-    out = np.zeros(n, int)
-    for label, m in enumerate(sorted((members[i] for i in np.flatnonzero(alive)), key=min)):
-        out[m] = label
-    return out
+        c[j] = np.inf  # out of reach
+    return sorted(out, key=lambda m: m[0])
+
+
+def merged_labels(merges: list[tuple[float, int, int]], n: int, clusters: int) -> np.ndarray:
+    """Labels after the lowest n - clusters merges, numbered by first member."""
+    root = list(range(n))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for _, i, j in merges[: max(0, n - clusters)]:
+        i, j = sorted((find(i), find(j)))
+        root[j] = i
+    return np.unique([find(i) for i in range(n)], return_inverse=True)[1]
+
+
+def ward(x: np.ndarray, clusters: int) -> np.ndarray:
+    """Ward clustering; labels are numbered by first member."""
+    return merged_labels(ward_merges(x), len(x), clusters)
 
 
 def silhouette(x: np.ndarray, labels: np.ndarray) -> float:
-    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
-    kinds = np.unique(labels)
-    s = np.zeros(len(x))
-    for i in range(len(x)):
-        own = labels == labels[i]
-        if own.sum() > 1:
-            a = d[i, own].sum() / (own.sum() - 1)
-            b = min(d[i, labels == c].mean() for c in kinds if c != labels[i])
-            s[i] = (b - a) / max(a, b) if max(a, b) else 0.0
+    kinds, own = np.unique(labels, return_inverse=True)
+    hot = np.eye(len(kinds))[own]
+    count, step, s = hot.sum(axis=0), max(1, 4_000_000 // max(1, x.size)), np.zeros(len(x))
+    for at in range(0, len(x), step):
+        part, mine = slice(at, at + step), own[at : at + step]
+        sums = np.sqrt(((x[part, None] - x[None]) ** 2).sum(-1)) @ hot
+        rows = np.arange(len(mine))
+        a = sums[rows, mine] / np.maximum(1, count[mine] - 1)
+        other = sums / count
+        other[rows, mine] = np.inf
+        b = other.min(axis=1)
+        top = np.maximum(a, b)
+        s[part] = np.where((count[mine] > 1) & (top > 0), (b - a) / np.where(top > 0, top, 1), 0.0)
     return float(s.mean())
 
 
 def choose_clusters(x: np.ndarray, most: int = 5) -> tuple[int, np.ndarray]:
     """The first k of 2..min(most, n - 1) with the best silhouette."""
-    best = max(range(2, min(most, len(x) - 1) + 1), key=lambda c: (silhouette(x, ward(x, c)), -c))
-    return best, ward(x, best)
+    merges = ward_merges(x)
+    best = max(range(2, min(most, len(x) - 1) + 1), key=lambda c: (silhouette(x, merged_labels(merges, len(x), c)), -c))
+    return best, merged_labels(merges, len(x), best)
 
 
 def principal_components(x: np.ndarray, n: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -81,8 +81,8 @@ def kernel(name: str, *fields: str):
 
 
 def cluster_study(spark: SparkSession, sf: str) -> DataFrame:
-    """Clusters of the first vectors by Ward's method, with isolation scores and two principal components."""
-    v = vectors(spark, sf).where("vec_id < 60").drop("cluster")
+    """Clusters of all vectors by Ward's method, with isolation scores and two principal components."""
+    v = vectors(spark, sf).drop("cluster")
     rows = ml.standardized(v, DIMS, ml.model_params(v, DIMS)).orderBy("vec_id").select("vec_id", "x").collect()
     x = ml.bounded([r["x"] for r in rows])
     _, labels = ml.choose_clusters(x)
@@ -91,7 +91,7 @@ def cluster_study(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def perturbation(spark: SparkSession, sf: str) -> DataFrame:
-    v = vectors(spark, sf).where("vec_id < 40").drop("cluster")
+    v = vectors(spark, sf).drop("cluster")
     rows = ml.standardized(v, DIMS, ml.model_params(v, DIMS)).orderBy("vec_id").select("x").collect()
     x = ml.bounded([r["x"] for r in rows])
     return ml.perturbation_trials(spark, x, ml.ward(x, 3), trials=50)
