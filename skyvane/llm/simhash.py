@@ -7,8 +7,9 @@ in at most one bit of a segment, and every pair met is verified on the whole fin
 * ``exact_cut(4)``: two 64-bit fingerprints within 4 bits differ in at most one bit of one of 3 segments (three with 2
   differing bits each would make 6), so no link is lost.
 * ``similar_cut(0.8)``: for similarities at which single bits differ too often for that, six 64-bit words and so many
-  short segments that a pair of the given Jaccard similarity meets with probability ``recall``. The link is the
-  fingerprint's estimate of the similarity, with one standard deviation of tolerance.
+  short segments that a pair of the given Jaccard similarity meets with probability ``recall``. The fingerprint's
+  estimate of the similarity, with three standard deviations of tolerance, only proposes: components of proposed links
+  are then linked anew by the similarity of their shingle sets themselves (``similar_groups``).
 
 The join is done bucket by bucket over rows sorted by signature: the many links of a bucket go out as a spanning forest,
 never as all pairs. Buckets larger than ``block`` fingerprints are cut into blocks, and each pair of blocks is a bucket
@@ -33,11 +34,13 @@ from .components import components
 
 @dataclass(frozen=True)
 class Cut:
-    """Number of 64-bit words, segments as (word, first bit, bits), and the largest distance that links."""
+    """Number of 64-bit words, segments as (word, first bit, bits), the largest distance that links, and the similarity
+    of shingle sets that a link must have as well."""
 
     words: int
     segments: tuple[tuple[int, int, int], ...]
     distance: int
+    similarity: float | None = None
 
     @property
     def names(self) -> list[str]:
@@ -53,7 +56,7 @@ def exact_cut(distance: int = 4) -> Cut:
     return Cut(1, tuple((0, a, b - a) for a, b in zip(edges, edges[1:], strict=False)), distance)
 
 
-def similar_cut(similarity: float = 0.8, width: int = 12, recall: float = 0.99, words: int = 6) -> Cut:
+def similar_cut(similarity: float = 0.8, width: int = 12, recall: float = 0.999, words: int = 6) -> Cut:
     """Segments for a Jaccard similarity of shingle sets: a bit differs with probability p = angle / pi."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     meets = (1 - p) ** width + width * p * (1 - p) ** (width - 1)
@@ -62,7 +65,7 @@ def similar_cut(similarity: float = 0.8, width: int = 12, recall: float = 0.99,
         raise ValueError("too few words for so many segments")
     bits = 64 * words
     places = tuple((i % words, i // words * width, width) for i in range(n))
-    return Cut(words, places, math.floor(bits * p + math.sqrt(bits * p * (1 - p))))
+    return Cut(words, places, math.floor(bits * p + 3 * math.sqrt(bits * p * (1 - p))), similarity)
 
 
 def mixed(h: np.ndarray, word: int) -> np.ndarray:
@@ -75,9 +78,9 @@ def mixed(h: np.ndarray, word: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprint_words(text: str, shingle: int = 4, seed: int = 42, words: int = 1) -> np.ndarray:
+def fingerprint_words(text: str, shingle: int = 4, seed: int = 42, words: int = 1, seen: list[np.ndarray] | None = None) -> np.ndarray:
     """64 bits a word; a bit is set if it is in over half of the shingles' hashes (XXH64 for the first word). No words: 0.
-    Fewer words than a shingle: all of them are one."""
+    Fewer words than a shingle: all of them are one. ``seen`` takes the hashes, if given."""
     w = text.encode().lower().split()  # bytes: lower() is A-Z only, split() is at \x20 and \x09-\x0D only
     if not w:
         return np.zeros(words, np.uint64)
@@ -86,6 +89,8 @@ def fingerprint_words(text: str, shingle: int = 4, seed: int = 42, words: int =
     for at in range(0, count, 65536):
         part = w[at : at + 65536 + k - 1]
         h = np.array([digest(s, seed) for s in map(b" ".join, zip(*(part[i:] for i in range(k)), strict=False))], "<u8")
+        if seen is not None:
+            seen.append(h)
         for j in range(words):
             total[j] += np.unpackbits(mixed(h, j).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
     return np.packbits(2 * total > count, axis=1, bitorder="little").view("<u8")[:, 0]
@@ -95,15 +100,31 @@ def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
     return int(fingerprint_words(text, shingle, seed)[0])
 
 
+def shingle_set(text: str, shingle: int = 4, seed: int = 42, words: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of a text's shingles in order, and its fingerprint."""
+    seen = [np.zeros(0, "<u8")]
+    fp = fingerprint_words(text, shingle, seed, words, seen)
+    return np.unique(np.concatenate(seen)), fp
+
+
 def fingerprints(docs: DataFrame, cut_: Cut, shingle: int = 4, seed: int = 42, text: str = "text") -> DataFrame:
-    """docs without the text, with the words of its fingerprint (fp, fp1, ...) as signed longs."""
+    """docs without the text, with the words of its fingerprint (fp, fp1, ...) as signed longs; for a cut with a
+    similarity also with a hash of its shingle set (__set)."""
     n = cut_.words
+    own = ["__set"] if cut_.similarity is not None else []
 
     def run(texts: list[str]) -> dict:
-        f = np.array([fingerprint_words(t, shingle, seed, n) for t in texts], np.uint64).reshape(-1, n).view(np.int64)
-        return {c: pa.array(np.ascontiguousarray(f[:, i])) for i, c in enumerate(cut_.names)}
+        f = np.zeros((len(texts), n + len(own)), np.uint64)
+        for i, t in enumerate(texts):
+            if own:
+                shingles, f[i, :n] = shingle_set(t, shingle, seed, n)
+                f[i, n] = xxhash.xxh64_intdigest(shingles.tobytes())
+            else:
+                f[i] = fingerprint_words(t, shingle, seed, n)
+        f = f.view(np.int64)
+        return {c: pa.array(np.ascontiguousarray(f[:, i])) for i, c in enumerate([*cut_.names, *own])}
 
-    return map_texts(docs, run, [(c, "bigint") for c in cut_.names], text)
+    return map_texts(docs, run, [(c, "bigint") for c in [*cut_.names, *own]], text)
 
 
 def segment(cut_: Cut, i: int) -> Column:
@@ -216,16 +237,94 @@ def fingerprint_links(fps: DataFrame, cut_: Cut, block: int = 4096) -> DataFrame
     return ordered.mapInArrow(lambda it: bucket_links(it, cut_.distance), "a bigint, b bigint")
 
 
+def alike(sets: list[np.ndarray], similarity: float) -> list[int]:
+    """For each set one of its group: groups are what all pairs of sets of that Jaccard similarity or more connect.
+
+    Sets that are so similar share one of their rarest members (as many as may be missing, and one more), so only sets
+    that meet there are compared, and of these only those that are not connected yet.
+    """
+    _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rare = np.empty(len(count), np.int64)
+    rare[np.argsort(count, kind="stable")] = np.arange(len(count))
+    ranks = [np.sort(r) for r in np.split(rare[place], np.cumsum([len(s) for s in sets])[:-1])]
+    root, met = list(range(len(sets))), {}
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for x in sorted(range(len(sets)), key=lambda i: len(sets[i])):
+        n, mine, tried = len(ranks[x]), x, set()
+        for r in ranks[x][: n - math.ceil(similarity * n - 1e-9) + 1].tolist():
+            for y in met.setdefault(r, []):
+                if y not in tried and len(ranks[y]) >= similarity * n - 1e-9:
+                    tried.add(y)
+                    if (other := find(y)) != mine:
+                        both = len(np.intersect1d(ranks[x], ranks[y], assume_unique=True))
+                        if both / (n + len(ranks[y]) - both) >= similarity:
+                            root[mine] = mine = other
+            met[r].append(x)
+    return [find(i) for i in range(len(sets))]
+
+
+def verified_groups(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """(node, root) of shingle sets (root, __set, shingles) in a partition sorted by root; the new root is the group's least set."""
+
+    def groups(held: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        held.sort()
+        ids = np.array([i for i, _ in held], np.int64)
+        _, first, group = np.unique(alike([np.frombuffer(b, "<u8") for _, b in held], similarity), return_index=True, return_inverse=True)
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[first[group]])], names=["node", "root"])
+
+    at, held = None, []
+    for batch in batches:
+        for r, i, b in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            if r != at and held:
+                yield groups(held)
+                held = []
+            at = r
+            held.append((i, b))
+    if held:
+        yield groups(held)
+
+
+def similar_groups(docs: DataFrame, sets: DataFrame, cut_: Cut, shingle: int, block: int, text: str) -> DataFrame:
+    """(node, root) of shingle sets in groups that links of the cut's similarity or more connect, within the components
+    of the fingerprints' links. Fingerprints of one set are linked as well, so a set is in one component. Texts of
+    components of several sets move once; a task holds one component."""
+    same = sets.groupBy("__set").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").join(sets.select("__set", F.col("fp").alias("b")), "__set").select("a", "b")
+    roots = components(fingerprint_links(cut(sets.select(*cut_.names).distinct()), cut_, block).unionAll(same))
+    held = sets.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp")).groupBy("root", "__set").agg(F.min("__key").alias("__key"))
+    held = cut(held)
+    several = held.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
+    texts = docs.select(F.xxhash64(F.coalesce(text, F.lit(""))).alias("__key"), F.coalesce(text, F.lit("")).alias("text")).groupBy("__key").agg(F.min("text").alias("text"))
+    run = lambda found: {"shingles": pa.array([shingle_set(t, shingle)[0].tobytes() for t in found], pa.binary())}
+    own = map_texts(texts.join(held.join(several, "root"), "__key").select("root", "__set", "text"), run, [("shingles", "binary")])
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    similarity = cut_.similarity
+    return own.repartition(parts, "root").sortWithinPartitions("root").mapInArrow(lambda it: verified_groups(it, similarity), "node bigint, root bigint")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", cut_: Cut | None = None, shingle: int = 4, block: int = 4096, text: str = "text") -> DataFrame:
     """Columns of docs but the text, with fp, component_id (the smallest id reachable over links) and root.
 
     cut_: by default ``exact_cut(4)``. Null and empty texts have fingerprint 0 and link like any other. Copies share a
     fingerprint and are linked once, by it. Rows with a null id take part; a component of such rows only has
     component_id null. Repeated ids are so many rows. Extra columns are kept unless named like a new one. root is the
-    least first word of the component's fingerprints. Nothing of the corpus comes to the driver.
+    least first word of the component's fingerprints; for a cut with a similarity, where links are between shingle sets,
+    the least hash of these. Nothing of the corpus comes to the driver.
     """
     cut_ = cut_ or exact_cut()
     kept = docs.select(*[c for c in docs.columns if c not in (*cut_.names, "component_id", "root")])
+    if cut_.similarity is not None:
+        marked = cut(fingerprints(kept.withColumn("__key", F.xxhash64(F.coalesce(text, F.lit("")))), cut_, shingle, text=text))
+        sets = cut(marked.groupBy(*cut_.names, "__set").agg(F.min(id_col).alias("first"), F.min("__key").alias("__key")))
+        roots = cut(similar_groups(docs, sets, cut_, shingle, block, text))
+        named = sets.join(roots.select(F.col("node").alias("__set"), "root"), "__set", "left").withColumn("root", F.coalesce("root", "__set"))
+        least = cut(named.groupBy("root").agg(F.min("first").alias("component_id")))
+        answer = cut(named.select("__set", "root").distinct().join(least, "root").select("__set", "component_id", "root"))
+        return marked.join(answer, "__set").select(*[c for c in marked.columns if c not in (*cut_.names[1:], "__set", "__key")], "component_id", "root")
     marked = cut(fingerprints(kept, cut_, shingle, text=text))
     # Written, so that the join at the end exchanges both sides and can split a fingerprint with very many copies.
     fps = cut(marked.groupBy(*cut_.names).agg(F.min(id_col).alias("first")))

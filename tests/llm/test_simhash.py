@@ -126,3 +126,36 @@ def test_similar_texts_meet_and_unlike_ones_stay_apart(spark):
         assert not any(t for t, s in zip(together, like, strict=True) if s < 0.5)
         assert len(set(got.values())) >= len(like)  # bases are unlike each other
     assert one_per_group(docs, cut_=similar_cut(0.8), shingle=5).count() == len(set(got.values()))
+
+
+def test_groups_are_those_of_the_exact_similarity(spark):
+    rng = random.Random(21)
+    word = lambda: f"{rng.choice('abcdefgh')}{rng.randint(0, 3000)}"
+    texts = []
+    for _ in range(60):  # pairs around the mark, below it and above
+        base = [word() for _ in range(200)]
+        texts.append(" ".join(base))
+        for changed in (3, 4, 5, 6, 9):
+            copy = list(base)
+            for at in rng.sample(range(0, 196, 6), changed):
+                copy[at] = word() + "x"
+            texts.append(" ".join(copy))
+    line = [word() for _ in range(12)]
+    texts += [" ".join(line * 60 + [word() for _ in range(80)]) for _ in range(3)]  # a repeated line rules the fingerprint
+    sim = {(i, j): jaccard(texts[i], texts[j]) for i in range(len(texts)) for j in range(max(0, i - 6), i)}
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for (i, j), s in sim.items():
+        if s >= 0.8:
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    assert sum(0.7 <= s < 0.8 for s in sim.values()) > 50 and sum(0.8 <= s < 0.85 for s in sim.values()) > 30
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for block in (4096, 16):
+        got = {r.doc_id: r.component_id for r in near_duplicates(docs, cut_=similar_cut(0.8), shingle=5, block=block).collect()}
+        assert got == {i: find(i) for i in range(len(texts))}
