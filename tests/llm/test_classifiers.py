@@ -50,8 +50,26 @@ def test_planted_insults_are_found_by_compression():
     docs += [(" ".join([*rng.choice(words, 15), "blockhead", *rng.choice(words, 15), "nitwits"]), 1) for _ in range(60)]
     order = rng.permutation(len(docs))
     m = toxicity.train([docs[i] for i in order])
-    assert m.score("you are a blockhead") > 0.5 > max(m.score(clean[0]), m.score(""), m.score("x" * 5000))
-    assert m.word("blockhead") >= m.full > m.word("village")
+    found, plain, empty, odd = m.score(["you are a blockhead", clean[0], "", "x" * 5000])
+    assert found > 0.5 > max(plain, empty, odd)
+    far, near = m.distances(toxicity.windows(["blockhead village"]))
+    assert far >= min(toxicity.THRESHOLDS) > near
+
+
+def test_windows_cover_every_word_and_long_texts_alike():
+    w = toxicity.windows(["", "one two", "  ", "é" * 100, "a\tb\nc"])
+    assert w.doc.tolist() == [1, 1, 3, 3, 3, 4, 4, 4]
+    assert (w.length // 4).tolist() == [3, 3, 48, 48, 4, 1, 1, 1]
+    assert w.take(np.array([0])).samples(9) == toxicity.windows(["one"]).samples(9)
+    again = toxicity.windows(["x one two y", "z one two z", "x one two y"])
+    assert again.first_in_context().tolist() == [0, 1, 2, 3, 4, 5, 6, 7]
+    rng = np.random.default_rng(2)
+    words = ["".join(rng.choice(list("abcdef"), 5)) for _ in range(400_000)]
+    m = toxicity.Model(b"".join(toxicity.windows([" ".join(words[:500])]).samples(500)), b"".join(toxicity.windows([" ".join(words[500:600])]).samples(500)), (0.0, 1.0, 0, 0, 0, 0, 0, 0))
+    long = " ".join(words)
+    assert len(long) > 2 * toxicity.PART
+    apart = sum(m.counts([" ".join(words[i : i + 50_000])])[0] for i in range(0, 400_000, 50_000))
+    assert (m.counts(["a", long, "b"])[1] == apart).all()
 
 
 def test_odd_rows_and_missing_labels(spark):
