@@ -75,13 +75,12 @@ class Discriminant:
             self.means.append(z[y == c].mean(axis=0))
             self.factors.append(f)
             self.logdets.append(2 * np.log(np.diag(f)).sum())
-        self.inverse = [np.linalg.inv(f) for f in self.factors]  # triangular and small; one product a batch
         self.slope, self.offset = 1.0, float(np.log(max(1, (y == 1).sum()) / max(1, (y == 0).sum())))
 
     def difference(self, x: np.ndarray) -> np.ndarray:
         """log density under class 1 less that under class 0, pressed together so that far outliers stay comparable."""
         z = (x - self.centre) / self.scale
-        far = [(((z - m) @ i.T) ** 2).sum(axis=1) + d for m, i, d in zip(self.means, self.inverse, self.logdets, strict=True)]
+        far = [(np.linalg.solve(f, (z - m).T) ** 2).sum(axis=0) + d for m, f, d in zip(self.means, self.factors, self.logdets, strict=True)]
         return np.arcsinh((far[0] - far[1]) / 2)
 
     def score(self, x: np.ndarray) -> np.ndarray:
