@@ -2,10 +2,12 @@
 
 The documents are cut into shards (bounded slices of Arrow batches). A shard's words become numbers, equal words equal
 numbers, and its suffix array orders the starts of all its suffixes. Words that occur in no benchmark item share the
-number 0, at which every match ends, so suffixes that begin with it are left out. Every suffix of every test item is
-binary-searched in every shard's array; its run of equal neighbours are its occurrences. Numbers are packed five to a
-word for comparison: the array is ordered by the first packed word, and where a test suffix's run in it is longer than
-five words it is ordered further, so only parts that a search reaches are ever compared to full depth.
+number 0, at which every match ends, so suffixes that begin with it are left out. Every test suffix is binary-searched
+in every shard's array as deep as a window; its run of equal neighbours are its occurrences. An occurrence is continued
+along its diagonal, where the next suffix of the same item occurs at the next word, to the longest verbatim match, which
+no word on either side extends. Numbers are packed five to a word for comparison: the array is ordered by the first
+packed word, and where a test suffix's run in it is longer than five words it is ordered further, so only parts that a
+search reaches are ever compared to full depth.
 """
 
 from __future__ import annotations
@@ -18,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import cut, slices, table
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 PACK = 5
 BITS = 12
-#: Bytes of test text held at once; larger test sets are searched block by block.
+#: Bytes of test text that are sent to the executors at once; a larger test set is searched block by block.
 BLOCK = 16_000_000
 
 
@@ -31,43 +33,47 @@ def words(text: str | None) -> list[bytes]:
     return WORD.findall(text.encode().lower()) if text else []  # bytes: lower() is A-Z only
 
 
+def ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (count[0] of them), first[1], ..."""
+    return np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
+
+
 class TestSet:
-    """Test windows of one block: ``window`` words from each start of an item, or all words of a shorter item."""
+    """Distinct test windows of one block in order, with all their places: ``window`` words from each start of an item,
+    or all words of a shorter item."""
 
     __test__ = False
 
     def __init__(self, items: list[tuple[str, str]], window: int):
         self.window = window
-        cut = [(i, words(t)) for i, t in items]
-        self.vocab: dict[bytes, int] = {}
-        for _, w in cut:
-            for x in w:
-                self.vocab.setdefault(x, len(self.vocab) + 1)
-        seen: dict[tuple[int, ...], set[str]] = {}
-        for i, w in cut:
-            ids = [self.vocab[x] for x in w]
-            for s in range(max(1, len(ids) - window + 1)) if ids else ():
-                seen.setdefault(tuple(ids[s : s + window]), set()).add(i)
-        self.items = sorted({i for i, w in cut if w})
+        texts = [(i, w) for i, t in items if (w := words(t))]
+        self.items = sorted({i for i, _ in texts})
         at = {i: n for n, i in enumerate(self.items)}
-        self.windows = list(seen)
-        self.owners = [np.array(sorted(at[i] for i in seen[w]), np.int64) for w in self.windows]
+        self.item = np.array([at[i] for i, _ in texts], np.int64)  # of each row of the block
+        self.vocab: dict[bytes, int] = {}
+        flat = np.array([self.vocab.setdefault(x, len(self.vocab) + 1) for _, w in texts for x in w], np.int64)
+        size = np.array([len(w) for _, w in texts], np.int64)
+        count = np.maximum(1, size - window + 1)
+        row = np.repeat(np.arange(len(size)), count)
+        start = ranges(np.zeros(len(size), np.int64), count)
+        place, length = np.repeat(np.cumsum(size) - size, count) + start, np.minimum(size[row], window)
         self.bits = max(BITS, (len(self.vocab) + 1).bit_length())
         self.per = min(PACK, 62 // self.bits)
         self.parts = -(-window // self.per)
-        self.lengths = np.array([len(w) for w in self.windows], np.int64)
-        low = np.zeros((len(self.windows), self.parts * self.per), np.int64)
-        high = np.full_like(low, (1 << self.bits) - 1)
-        for n, w in enumerate(self.windows):
-            low[n, : len(w)] = high[n, : len(w)] = w
-        self.low, self.high = self.pack(low), self.pack(high)
-
-    def pack(self, m: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(m), self.parts), np.int64)
-        for p in range(self.parts):
-            for j in range(self.per):
-                out[:, p] = out[:, p] << self.bits | m[:, p * self.per + j]
-        return out
+        low, high = np.zeros((2, self.parts, len(place)), np.int64)
+        for j in range(self.parts * self.per):
+            inside = j < length
+            word = np.where(inside, flat[np.where(inside, place + j, 0)], 0) if len(flat) else place
+            p = j // self.per
+            low[p] = low[p] << self.bits | word
+            high[p] = high[p] << self.bits | np.where(inside, word, (1 << self.bits) - 1)
+        order = np.lexsort((start, row, *high[::-1], *low[::-1]))
+        low, high = low[:, order], high[:, order]
+        new = np.r_[True, (low[:, 1:] != low[:, :-1]).any(axis=0) | (high[:, 1:] != high[:, :-1]).any(axis=0)] if len(order) else np.zeros(0, bool)
+        heads = np.flatnonzero(new)
+        self.low, self.high, self.lengths = low[:, heads].T, high[:, heads].T, length[order][heads]
+        self.row, self.start = row[order], start[order]  # places, those of window w from first[w] on
+        self.first = np.r_[heads, len(order)]
 
 
 class SuffixArray:
@@ -88,6 +94,8 @@ class SuffixArray:
     def search(self) -> Iterator[tuple[int, np.ndarray]]:
         """(test window, its starts in the shard) for the windows that occur."""
         t = self.test
+        if not len(t.low):
+            return
         lo = np.searchsorted(self.sorted, t.low[:, 0], "left")
         hi = np.searchsorted(self.sorted, t.high[:, 0], "right")
         refined: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray]] = {}
@@ -107,26 +115,39 @@ class SuffixArray:
                 yield int(w), run
 
 
-def shard_hits(texts: list[list[bytes]], test: TestSet, most: int = 1_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, int, np.ndarray]]]:
-    """Word offsets of the documents, the numbers, a mask of hit words and the occurrences (starts, window, owners)."""
-    ends = np.cumsum([len(w) + 1 for w in texts]) if texts else np.zeros(0, np.int64)  # a 0 stands between documents
-    ids = np.zeros(int(ends[-1]) if len(ends) else 0, np.int64)
-    get, starts = test.vocab.get, np.r_[0, ends[:-1]].astype(np.int64) if len(ends) else np.zeros(0, np.int64)
+def occurrences(texts: list[list[bytes]], test: TestSet, most: int = 1_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The offset of each document in the shard, and of every occurrence its first word's place in the shard and its window."""
+    ends = np.cumsum([len(w) + 1 for w in texts])  # a 0 stands between documents
+    starts = np.r_[0, ends[:-1]]
+    ids, get = np.zeros(int(ends[-1]), np.int64), test.vocab.get
     for s, w in zip(starts, texts, strict=True):
         ids[s : s + len(w)] = [get(x, 0) for x in w]
-    edge, found = np.zeros(len(ids) + 1, np.int64), []
+    none = np.zeros(0, np.int64)
+    place, window = [none], [none]
     for at in range(0, len(ids), most):  # a long shard is cut, with the overlap that windows need
-        part = ids[at : at + most + test.window - 1]
-        for w, run in SuffixArray(part, test).search():
+        for w, run in SuffixArray(ids[at : at + most + test.window - 1], test).search():
             run = run[run < most] + at
-            np.add.at(edge, run, 1)
-            np.add.at(edge, run + test.lengths[w], -1)
-            found.append((run, w, test.owners[w]))
-    return starts, ends, np.cumsum(edge[:-1]) > 0, found
+            place.append(run)
+            window.append(np.full(len(run), w))
+    return starts, np.concatenate(place), np.concatenate(window)
+
+
+def longest_matches(place: np.ndarray, window: np.ndarray, test: TestSet) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row of the block, its first word, first word's place in the shard, words) of all matches that no word extends."""
+    count = test.first[window + 1] - test.first[window]
+    owner = ranges(test.first[window], count)
+    place, length = np.repeat(place, count), np.repeat(test.lengths[window], count)
+    row, start = test.row[owner], test.start[owner]
+    order = np.lexsort((place, place - start, row))
+    row, start, place, length = row[order], start[order], place[order], length[order]
+    follows = (row[1:] == row[:-1]) & (place[1:] == place[:-1] + 1) & (start[1:] == start[:-1] + 1)
+    head = np.flatnonzero(np.r_[True, ~follows]) if len(row) else np.zeros(0, np.int64)
+    size = np.diff(np.r_[head, len(row)]) - 1
+    return row[head], start[head], place[head], length[head] + size
 
 
 def test_blocks(bench: DataFrame, id_col: str, text: str, size: int) -> Iterator[list[tuple[str, str]]]:
-    """The test items in blocks of at most ``size`` bytes of text, read partition by partition."""
+    """The test items in blocks of at most ``size`` bytes of text, read partition by partition; at least one block."""
     block, held = [], 0
     for r in bench.where(F.col(text).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("string"), text).toLocalIterator():
         if block and held + len(r[1]) > size:
@@ -137,92 +158,104 @@ def test_blocks(bench: DataFrame, id_col: str, text: str, size: int) -> Iterator
     yield block
 
 
-def find_overlaps(docs: DataFrame, bench: DataFrame, window: int = 10, id_col: str = "item_id", text: str = "text", block: int = BLOCK, spans: bool = False) -> DataFrame:
-    """Every column of docs with n_words, n_hit, n_items and items, an array of the ids (as text, sorted) of the items met.
+MATCH = pa.struct([("item", pa.string()), ("item_start", pa.int64()), ("start", pa.int64()), ("length", pa.int64())])
+KINDS = {"n_words": pa.int64(), "n_hit": pa.int64(), "n_items": pa.int64(), "longest": pa.int64(), "items": pa.list_(pa.string()), "matches": pa.list_(MATCH), "__hit": pa.list_(pa.int64())}
 
-    A test window is ``window`` consecutive words of an item, or all words of an item with fewer; a document word inside
-    any occurrence counts once in n_hit. With ``spans`` an array matches of (item, start, length) follows: the longest
-    verbatim matches, that is occurrences of one item joined where they overlap in the document. Null and empty texts
-    have no words and no hits; test items with null id or no words take no part, items alike are all named. Rows are
-    treated one by one, so repeated ids are so many rows; columns of docs named like a new one are replaced. No shuffle: the test set goes to the
-    executors in blocks of ``block`` bytes of text (one, for a test set within that), which are searched in turn.
-    """
-    sc = docs.sparkSession.sparkContext
-    sent = [sc.broadcast(TestSet(b, window)) for b in test_blocks(bench, id_col, text, block)]
-    own = ["n_words", "n_hit", "n_items", "items"] + ["matches"] * spans
-    keep = [c for c in docs.columns if c not in own]
-    src = docs.select(*keep)
-    match = "array<struct<item:string,start:bigint,length:bigint>>"
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema] + ["n_words bigint, n_hit bigint, n_items bigint, items array<string>"] + [f"matches {match}"] * spans)
+
+def search_block(docs: DataFrame, block: list[tuple[str, str]], window: int, text: str, own: list[str], more: bool) -> DataFrame:
+    """docs with what the block adds to the columns ``own`` (made, where docs lack them), and the hit words if more blocks follow."""
+    sent = docs.sparkSession.sparkContext.broadcast(TestSet(block, window))
+    given = {c for c in own if c in docs.columns}
+    keep = [c for c in docs.columns if c not in (*own, "__hit")]
+    new = own + ["__hit"] * more
+    spark_type = {"items": "array<string>", "matches": "array<struct<item:string,item_start:bigint,start:bigint,length:bigint>>", "__hit": "array<bigint>"}
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + [f"`{c}` {spark_type.get(c, 'bigint')}" for c in new])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test = sent.value
         for batch in batches:
             for part in slices(batch, text):
-                cut = [words(t) for t in part.column(part.schema.get_field_index(text)).to_pylist()]
-                n = len(cut)
-                hit: np.ndarray | None = None
-                items: list[set[str]] = [set() for _ in range(n)]
-                matches: list[list[dict]] = [[] for _ in range(n)]
-                for b in sent:
-                    test = b.value
-                    starts, ends, mask, found = shard_hits(cut, test)
-                    hit = mask if hit is None else hit | mask
-                    for at, w, owners in found:
-                        for d in np.unique(np.searchsorted(ends, at, "right")):
-                            items[d].update(test.items[o] for o in owners)
-                    if spans:
-                        joined(matches, test, ends, starts, found)
-                    if len(sent) > 1:
-                        del test
-                        b._value = None  # one block in memory at a time
-                        del b._value
-                hits = np.add.reduceat(hit, starts) if len(hit) else np.zeros(n, np.int64)
-                new = [pa.array([len(w) for w in cut], pa.int64()), pa.array(hits.astype(np.int64)), pa.array([len(x) for x in items], pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
-                if spans:
-                    new.append(pa.array(matches, pa.list_(pa.struct([("item", pa.string()), ("start", pa.int64()), ("length", pa.int64())]))))
-                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *own])
-
-    return src.mapInArrow(run, schema)
-
-
-def joined(matches: list[list[dict]], test: TestSet, ends: np.ndarray, starts: np.ndarray, found: list) -> None:
-    """Add to each document its longest matches by item."""
-    by: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for at, w, owners in found:
-        for d, a in zip(np.searchsorted(ends, at, "right"), at, strict=True):
-            for o in owners:
-                by.setdefault((int(d), int(o)), []).append((int(a - starts[d]), int(a - starts[d] + test.lengths[w])))
-    for (d, o), runs in sorted(by.items()):
-        runs.sort()
-        first, last = runs[0]
-        for a, b in [*runs[1:], (1 << 62, 0)]:
-            if a > last:
-                matches[d].append({"item": test.items[o], "start": first, "length": last - first})
-                first, last = a, b
-            last = max(last, b)
+                before = {c: part.column(part.schema.get_field_index(c)).to_pylist() for c in part.schema.names if c in given or c == "__hit"}
+                texts = [words(t) for t in part.column(part.schema.get_field_index(text)).to_pylist()]
+                starts, place, of = occurrences(texts, test)
+                doc = lambda at: np.searchsorted(starts, at, "right") - 1  # noqa: E731, B023
+                edge = np.zeros(int(starts[-1]) + len(texts[-1]) + 2, np.int64)
+                np.add.at(edge, place, 1)
+                np.add.at(edge, place + test.lengths[of], -1)
+                hit = np.cumsum(edge[:-1]) > 0
+                for d, places in enumerate(before.get("__hit", ())):
+                    hit[np.array(places, np.int64) + starts[d]] = True
+                row, first, at, length = longest_matches(place, of, test)
+                d = doc(at)
+                longest = np.array(before.get("longest", [0] * len(texts)), np.int64)
+                np.maximum.at(longest, d, length)
+                items = [set(x) for x in before["items"]] if before else [set() for _ in texts]
+                for i, k in np.unique(np.stack([d, test.item[row]], axis=1), axis=0).tolist():
+                    items[i].add(test.items[k])
+                out = {
+                    "n_words": [len(w) for w in texts], "n_hit": np.add.reduceat(hit.astype(np.int64), starts),
+                    "n_items": [len(x) for x in items], "longest": longest, "items": [sorted(x) for x in items],
+                }
+                if "matches" in own:
+                    out["matches"] = before["matches"] if before else [[] for _ in texts]
+                    for i, r, f, a, n in zip(d.tolist(), row.tolist(), first.tolist(), at.tolist(), length.tolist(), strict=True):
+                        out["matches"][i].append({"item": test.items[test.item[r]], "item_start": f, "start": a - int(starts[i]), "length": n})
+                    out["matches"] = [sorted(m, key=lambda x: (x["item"], x["start"], x["item_start"], x["length"])) for m in out["matches"]]
+                if more:
+                    out["__hit"] = [np.flatnonzero(hit[s : s + len(w)]) for s, w in zip(starts, texts, strict=True)]
+                kept = [part.column(part.schema.get_field_index(c)) for c in keep]
+                yield pa.RecordBatch.from_arrays([*kept, *(pa.array(out[c], KINDS[c]) for c in new)], names=[*keep, *new])
+
+    return docs.mapInArrow(run, schema)
+
+
+def find_overlaps(docs: DataFrame, bench: DataFrame, window: int = 10, id_col: str = "item_id", text: str = "text", block: int = BLOCK, spans: bool = False) -> DataFrame:
+    """Every column of docs with n_words, n_hit, n_items, longest (words of the longest verbatim match) and items, an array
+    of the ids (as text, sorted) of the items met.
+
+    A test window is ``window`` consecutive words of an item, or all words of an item with fewer; a document word inside
+    any occurrence counts once in n_hit. With ``spans`` an array matches of (item, item_start, start, length) follows,
+    in words from 0: every verbatim match of at least a window that no word on either side extends, so a run of equal
+    words matches at many offsets. Null and empty texts have no words and no hits; test items with null id or no words
+    take no part, items alike are all named. Rows are treated one by one, so repeated ids are so many rows; columns of
+    docs named like a new one are replaced. No shuffle: a test set within ``block`` bytes of text goes to the executors
+    whole; a larger one block by block, with the documents and what was found written to the shared folder in between.
+    """
+    own = ["n_words", "n_hit", "n_items", "longest", "items"] + ["matches"] * spans
+    out = docs.select(*[c for c in docs.columns if c not in (*own, "__hit")])
+    blocks = test_blocks(bench, id_col, text, block)
+    held = next(blocks)
+    for after in blocks:
+        out, held = cut(search_block(out, held, window, text, own, True)), after
+    return search_block(out, held, window, text, own, False)
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, window: int = 10) -> DataFrame:
-    """docs without the rows that hold a test window."""
-    return find_overlaps(docs, bench, window).where("n_hit = 0").select(*docs.columns)
+    """docs without the rows that hold a test window, every column as it was, also those named like a result. Null and
+    empty texts stay, copies go or stay together, an empty test set or table removes nothing."""
+    named = docs.toDF(*[c if c == "text" else f"__own_{c}" for c in docs.columns])
+    found = find_overlaps(named, bench, window).where("n_hit = 0").select(*named.columns)
+    return found.toDF(*docs.columns)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document; nulls, repeated rows and short items as in ``find_overlaps``. ``longest`` is the
+    longest verbatim match in words."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = find_overlaps(docs, table(spark, sf_dir, "benchmark"))
     ids = F.array_join("items", ",")
-    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(ids, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
-
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(ids, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "longest")
 
 
 OP9_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-i AS (SELECT item_id::VARCHAR AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
-b AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[s:s + 9], ' ') AS k FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM i WHERE len(w) > 0)),
+i AS (SELECT row_number() OVER () AS r, item_id::VARCHAR AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+b AS (SELECT r, item_id, t, least(len(w), 10) AS n, array_to_string(w[t:t + 9], ' ') AS k FROM (SELECT r, item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS t FROM i WHERE len(w) > 0)),
 p AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM b)),
-h AS (SELECT p.doc_id, p.s, p.n, b.item_id FROM p JOIN b ON b.n = p.n AND b.k = array_to_string(p.w[p.s:p.s + p.n - 1], ' ')),
+h AS (SELECT p.doc_id, p.s, p.n, b.item_id, b.r, b.t FROM p JOIN b ON b.n = p.n AND b.k = array_to_string(p.w[p.s:p.s + p.n - 1], ' ')),
 c AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS x FROM h) GROUP BY 1),
-m AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY 1)
-SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)
+m AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY 1),
+g AS (SELECT doc_id, max(longest) AS longest FROM (SELECT doc_id, count(*) + any_value(n) - 1 AS longest FROM (SELECT *, s - row_number() OVER (PARTITION BY doc_id, r, s - t ORDER BY s) AS island FROM h) GROUP BY doc_id, r, s - t, island) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(longest, 0)::BIGINT AS longest
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN g USING (doc_id)
 """
