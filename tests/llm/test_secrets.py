@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from skyvane.llm.secrets import Forest, default_forest, find_secrets, findings, redact_secrets, scan
+from skyvane.llm.secrets import Forest, Generator, default_forest, find_secrets, findings, redact_secrets, scan
 
 HEX = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
 CASES = [
@@ -71,3 +71,40 @@ def test_overlapping_candidates_become_their_union():
     t = f"token=abc123,{key} and {key}+secret=xyz12345"
     met = scan(t)
     assert all(a[1] <= b[0] for a, b in zip(met, met[1:], strict=False)) and any(t[a:b] == key for a, b, _ in met)
+
+
+def test_quoted_values_names_and_blocks_of_any_length():
+    name = "x" * 80 + "_password_" + "y" * 60
+    body = "\n".join("mQENBF" + "Ab9/" * 14 for _ in range(40))
+    block = f"-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: 1 - test\n\n{body}\n=aB3d\n-----END PGP PRIVATE KEY BLOCK-----"
+    for text, value in ((f"{name} = Zq81kd93, end", "Zq81kd93"), ('password: "it has spaces, and; marks 9" end', "it has spaces, and; marks 9"), (f"a {block} b", block), ("see QwErTyUiOpAsDfGhJkLzXcVb here", "QwErTyUiOpAsDfGhJkLzXcVb")):
+        assert [text[a:b] for a, b, _ in scan(text) if b - a >= 6] == [value]
+    assert scan("pass" * 300_000) == [] and len(scan("token=" * 1000 + "abc def")) <= 1
+
+
+def test_families_that_the_forest_has_not_seen():
+    g = Generator(0)
+    right = {}
+    for family in [*g.secrets, *g.harmless]:
+        x, y = findings(150, seed=5, only=(family,))
+        if len(y) >= 30:
+            s = Forest(*findings(3000, without=(family,)), trees=20).score(x)
+            right[family] = ((s >= 0.5) == y).mean()
+    assert np.mean([v for f, v in right.items() if f in g.secrets]) >= 0.8, right
+    assert np.mean([v for f, v in right.items() if f in g.harmless]) >= 0.8, right
+
+
+def test_precision_and_recall_among_look_alikes_in_real_documents(spark, small):
+    texts = [r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect() if r.text]
+    g, docs, truth = Generator(77), [], {}
+    for i, t in enumerate(texts):
+        families = [*g.secrets] if i % 2 else [*g.harmless]
+        lead, v, after = g.finding(families[i // 2 % len(families)])
+        lead, cut = lead.split("\n")[-1].split(" ")[-2:], len(t) // 2
+        before = t[:cut] + " " + " ".join(lead)
+        docs.append((i, before + v + after))
+        truth[i] = (len(before), len(before) + len(v), i % 2)
+    got = find_secrets(spark.createDataFrame(docs, "doc_id int, text string")).where("is_secret").collect()
+    hit = {r.doc_id for r in got if r.start < truth[r.doc_id][1] and r.start + r.length > truth[r.doc_id][0]}
+    secret = {i for i, x in truth.items() if x[2]}
+    assert len(hit & secret) / len(secret) >= 0.9 and len(hit & secret) / len(hit) >= 0.9
