@@ -6,10 +6,11 @@ in at most one bit of a segment, and every pair met is verified on the whole fin
 
 * ``exact_cut(4)``: two 64-bit fingerprints within 4 bits differ in at most one bit of one of 3 segments (three with 2
   differing bits each would make 6), so no link is lost.
-* ``similar_cut(0.8)``: for similarities at which single bits differ too often for that, six 64-bit words and so many
-  short segments that a pair of the given Jaccard similarity meets with probability ``recall``. The fingerprint's
-  estimate of the similarity, with three standard deviations of tolerance, only proposes: components of proposed links
-  are then linked anew by the similarity of their shingle sets themselves (``similar_groups``).
+* ``similar_cut(0.8)``: for similarities at which single bits differ too often for that, six 64-bit words or more and so
+  many short segments that a pair of the given Jaccard similarity meets with probability ``recall``. The fingerprint's
+  estimate of the similarity, with three standard deviations of tolerance, only proposes: what links is the similarity
+  of the shingle sets themselves, compared for each proposed pair (``verified``). Segments get longer with the number of
+  documents, so that the number of unlike documents that one meets by chance stays bounded.
 
 The join is done bucket by bucket over rows sorted by signature: the many links of a bucket go out as a spanning forest,
 never as all pairs. Buckets larger than ``block`` fingerprints are cut into blocks, and each pair of blocks is a bucket
@@ -56,13 +57,16 @@ def exact_cut(distance: int = 4) -> Cut:
     return Cut(1, tuple((0, a, b - a) for a, b in zip(edges, edges[1:], strict=False)), distance)
 
 
-def similar_cut(similarity: float = 0.8, width: int = 12, recall: float = 0.999, words: int = 6) -> Cut:
-    """Segments for a Jaccard similarity of shingle sets: a bit differs with probability p = angle / pi."""
+def similar_cut(similarity: float = 0.8, documents: int = 0, recall: float = 0.999, words: int = 6, chance: int = 200_000) -> Cut:
+    """Segments for a Jaccard similarity of shingle sets: a bit differs with probability p = angle / pi. Their width is the
+    least from 12 on at which one of ``documents`` unlike fingerprints meets at most ``chance`` others."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    meets = (1 - p) ** width + width * p * (1 - p) ** (width - 1)
-    n, each = math.ceil(math.log(1 - recall) / math.log(1 - meets)), 64 // width
-    if n > each * words:
-        raise ValueError("too few words for so many segments")
+    for width in range(12, 33, 2):
+        meets = (1 - p) ** width + width * p * (1 - p) ** (width - 1)
+        n, each = math.ceil(math.log(1 - recall) / math.log(1 - meets)), 64 // width
+        if documents * n * width * 2 / 2**width <= chance:
+            break
+    words = max(words, -(-n // each))
     bits = 64 * words
     places = tuple((i % words, i // words * width, width) for i in range(n))
     return Cut(words, places, math.floor(bits * p + 3 * math.sqrt(bits * p * (1 - p))), similarity)
@@ -162,41 +166,59 @@ def forest(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, int), np.zeros(0, int))
 
 
-def linked(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+def nearest_tree(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (indices) of a minimum spanning forest of the links in one bucket, so that each follows nearest neighbours."""
+    n = fp.shape[1]
+    near, parent, left = np.full(n, 1 << 20), np.full(n, -1), np.ones(n, bool)
+    for _ in range(n):
+        x = int(np.where(left, near, 1 << 21).argmin())
+        left[x] = False
+        d = apart(fp, fp[:, x : x + 1])
+        closer = left & (d < near) & (d <= distance)
+        near[closer], parent[closer] = d[closer], x
+    at = np.flatnonzero(parent >= 0)
+    return parent[at], at
+
+
+def linked(fp: np.ndarray, distance: int, tree=forest) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect what links connect in a bucket: the links themselves while they are few, else a forest."""
     n = fp.shape[1]
     if n > 512:
-        return forest(fp, distance)
+        return tree(fp, distance)
     i, j = np.nonzero(np.triu(apart(fp[:, :, None], fp[:, None, :]) <= distance, 1))
-    return (i, j) if len(i) <= 2 * n else forest(fp, distance)
+    return (i, j) if len(i) <= 2 * n else tree(fp, distance)
+
 
+def bucket_links(batches: Iterator[pa.RecordBatch], distance: int, similar: bool) -> Iterator[pa.RecordBatch]:
+    """Links of all buckets in a partition sorted by (sig, pair); the last bucket of a batch waits for the next batch.
 
-def bucket_links(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
-    """Links of all buckets in a partition sorted by (sig, pair); the last bucket of a batch waits for the next batch."""
+    Columns are sig, pair, the words, and for ``similar`` the node before the words, where links are given with their
+    distance; else the first word is the node."""
     held: list[list[np.ndarray]] = []
 
     def links(cols: list[np.ndarray]) -> pa.RecordBatch:
-        sig, pair, fp = cols[0], cols[1], np.stack(cols[2:]).view(np.uint64)
+        sig, pair, node, fp = cols[0], cols[1], cols[2].view(np.uint64), np.stack(cols[3 if similar else 2 :]).view(np.uint64)
         heads = np.flatnonzero(np.r_[True, (sig[1:] != sig[:-1]) | (pair[1:] != pair[:-1])])
         sizes = np.diff(np.r_[heads, len(sig)])
         run = np.repeat(np.arange(len(heads)), sizes)
         few = np.repeat(sizes <= 8, sizes)
-        none = np.zeros(0, np.uint64)
-        a, b = [none], [none]
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for lag in range(1, min(8, int(sizes.max(initial=1)))):
             i = np.flatnonzero((run[lag:] == run[:-lag]) & few[lag:])
             i = i[apart(fp[:, i], fp[:, i + lag]) <= distance]
-            a.append(fp[0, i])
-            b.append(fp[0, i + lag])
+            a.append(i)
+            b.append(i + lag)
         for h in np.flatnonzero(sizes > 8):
-            part = fp[:, heads[h] : heads[h] + sizes[h]]
-            x, y = linked(part, distance)
-            a.append(part[0, x])
-            b.append(part[0, y])
-        pairs = np.stack([np.concatenate(a), np.concatenate(b)], axis=1).view(np.int64)
+            x, y = linked(fp[:, heads[h] : heads[h] + sizes[h]], distance, nearest_tree if similar else forest)
+            a.append(x + heads[h])
+            b.append(y + heads[h])
+        a, b = np.concatenate(a), np.concatenate(b)
+        pairs = np.stack([node[a], node[b]], axis=1).view(np.int64)
         pairs.sort(axis=1)
+        if similar:
+            pairs = np.c_[pairs, apart(fp[:, a], fp[:, b])]
         pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in pairs.T.astype(np.int64)], names=["a", "b", "d"][: pairs.shape[1]])
 
     for batch in batches:
         cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
@@ -216,8 +238,12 @@ def bucket_links(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[p
 
 
 def fingerprint_links(fps: DataFrame, cut_: Cut, block: int = 4096) -> DataFrame:
-    """(a, b) first words of fingerprints: links that connect the same components as all pairs that the cut meets within its distance."""
-    sig = fps.select(*cut_.names, F.explode(signatures(cut_)).alias("sig"))
+    """(a, b) first words of fingerprints: links that connect the same components as all pairs that the cut meets within
+    its distance. For a cut with a similarity a and b are nodes (column node of fps), and d is the distance of the pair."""
+    similar, parts = cut_.similarity is not None, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cols = ["node"] * similar + cut_.names
+    fps = fps.select(*cols).repartition(parts)  # what was written may be few files, and each row becomes many
+    sig = fps.select(*cols, F.explode(signatures(cut_)).alias("sig"))
     # A variant's bucket is the union of two exact segment values. Of a bucket larger than a block one of them has over
     # half a block, so counting those values finds every large bucket; the other value has at most half a block more.
     seg = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(w).alias("w"), segment(cut_, i).alias("x")) for i, (_, _, w) in enumerate(cut_.segments)])
@@ -226,84 +252,60 @@ def fingerprint_links(fps: DataFrame, cut_: Cut, block: int = 4096) -> DataFrame
     near = near.select(F.expr("shiftleft(cast(g.i * 64 + b as bigint), 40) | (g.x & ~shiftleft(1L, b))").alias("sig"), "n")
     large = cut(near.groupBy("sig").agg(F.sum("n").alias("n")).select("sig", F.ceil((F.col("n") + block // 2) * 2 / block).cast("int").alias("blocks")))
     if large.isEmpty():
-        dealt = sig.select("sig", F.lit(0).alias("pair"), *cut_.names)
+        dealt = sig.select("sig", F.lit(0).alias("pair"), *cols)
     else:
         mine = F.pmod(F.xxhash64(*cut_.names), F.col("blocks")).cast("int")
         other = F.sequence(F.lit(0), F.col("blocks") - 1)
         pairs = F.transform(other, lambda j: F.least(j, F.col("mine")) * F.col("blocks") + F.greatest(j, F.col("mine")))
-        dealt = sig.join(large, "sig", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("mine", mine).select("sig", F.explode(pairs).alias("pair"), *cut_.names)
-    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = sig.join(large, "sig", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("mine", mine).select("sig", F.explode(pairs).alias("pair"), *cols)
     ordered = dealt.repartition(parts, "sig", "pair").sortWithinPartitions("sig", "pair")
-    return ordered.mapInArrow(lambda it: bucket_links(it, cut_.distance), "a bigint, b bigint")
+    distance = cut_.distance
+    return ordered.mapInArrow(lambda it: bucket_links(it, distance, similar), "a bigint, b bigint" + ", d bigint" * similar)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets (node, shingles: sorted hashes as bytes) have the Jaccard similarity or more.
+    Each row is compared by itself, so no task holds a group."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                both = np.concatenate([x, y])
+                both.sort()
+                same = int((both[1:] == both[:-1]).sum())
+                keep.append(same >= similarity * (len(both) - same))
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("a", "b")], names=["a", "b"])
 
-def alike(sets: list[np.ndarray], similarity: float) -> list[int]:
-    """For each set one of its group: groups are what all pairs of sets of that Jaccard similarity or more connect.
+    met = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    met = met.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    return met.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
-    Sets that are so similar share one of their rarest members (as many as may be missing, and one more), so only sets
-    that meet there are compared, and of these only those that are not connected yet.
+
+def similar_groups(docs: DataFrame, fps: DataFrame, cut_: Cut, shingle: int, block: int, text: str) -> DataFrame:
+    """(node, root) of the nodes (distinct shingle sets) in groups that verified links connect.
+
+    Of the proposed pairs each node's nearest is compared first; then those that these links have not connected. The text
+    of one document of each proposed node moves once to make its set, and a set moves to the pairs that need it.
     """
-    _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rare = np.empty(len(count), np.int64)
-    rare[np.argsort(count, kind="stable")] = np.arange(len(count))
-    ranks = [np.sort(r) for r in np.split(rare[place], np.cumsum([len(s) for s in sets])[:-1])]
-    root, met = list(range(len(sets))), {}
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = i = root[root[i]]
-        return i
-
-    for x in sorted(range(len(sets)), key=lambda i: len(sets[i])):
-        n, mine, tried = len(ranks[x]), x, set()
-        for r in ranks[x][: n - math.ceil(similarity * n - 1e-9) + 1].tolist():
-            for y in met.setdefault(r, []):
-                if y not in tried and len(ranks[y]) >= similarity * n - 1e-9:
-                    tried.add(y)
-                    if (other := find(y)) != mine:
-                        both = len(np.intersect1d(ranks[x], ranks[y], assume_unique=True))
-                        if both / (n + len(ranks[y]) - both) >= similarity:
-                            root[mine] = mine = other
-            met[r].append(x)
-    return [find(i) for i in range(len(sets))]
-
-
-def verified_groups(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """(node, root) of shingle sets (root, __set, shingles) in a partition sorted by root; the new root is the group's least set."""
-
-    def groups(held: list[tuple[int, bytes]]) -> pa.RecordBatch:
-        held.sort()
-        ids = np.array([i for i, _ in held], np.int64)
-        _, first, group = np.unique(alike([np.frombuffer(b, "<u8") for _, b in held], similarity), return_index=True, return_inverse=True)
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[first[group]])], names=["node", "root"])
-
-    at, held = None, []
-    for batch in batches:
-        for r, i, b in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            if r != at and held:
-                yield groups(held)
-                held = []
-            at = r
-            held.append((i, b))
-    if held:
-        yield groups(held)
-
-
-def similar_groups(docs: DataFrame, sets: DataFrame, cut_: Cut, shingle: int, block: int, text: str) -> DataFrame:
-    """(node, root) of shingle sets in groups that links of the cut's similarity or more connect, within the components
-    of the fingerprints' links. Fingerprints of one set are linked as well, so a set is in one component. Texts of
-    components of several sets move once; a task holds one component."""
-    same = sets.groupBy("__set").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").join(sets.select("__set", F.col("fp").alias("b")), "__set").select("a", "b")
-    roots = components(fingerprint_links(cut(sets.select(*cut_.names).distinct()), cut_, block).unionAll(same))
-    held = sets.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp")).groupBy("root", "__set").agg(F.min("__key").alias("__key"))
-    held = cut(held)
-    several = held.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
-    texts = docs.select(F.xxhash64(F.coalesce(text, F.lit(""))).alias("__key"), F.coalesce(text, F.lit("")).alias("text")).groupBy("__key").agg(F.min("text").alias("text"))
+    pairs = cut(fingerprint_links(fps, cut_, block).distinct())
+    ends = pairs.select(F.col("a").alias("node"), F.col("b").alias("other"), "d").unionAll(pairs.select("b", "a", "d"))
+    nearest = ends.groupBy("node").agg(F.min(F.struct("d", "other")).alias("n")).select("node", "n.other")
+    keys = fps.join(nearest.select("node"), "node", "left_semi").select("node", "__key")
+    texts = docs.select(F.xxhash64(F.coalesce(text, F.lit(""))).alias("__key"), F.coalesce(text, F.lit("")).alias("text"))
     run = lambda found: {"shingles": pa.array([shingle_set(t, shingle)[0].tobytes() for t in found], pa.binary())}
-    own = map_texts(texts.join(held.join(several, "root"), "__key").select("root", "__set", "text"), run, [("shingles", "binary")])
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    similarity = cut_.similarity
-    return own.repartition(parts, "root").sortWithinPartitions("root").mapInArrow(lambda it: verified_groups(it, similarity), "node bigint, root bigint")
+    one = texts.join(cut(keys), "__key").groupBy("node").agg(F.min("text").alias("text"))
+    sets = cut(map_texts(one, run, [("shingles", "binary")]))
+    first = nearest.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    links = cut(verified(first, sets, cut_.similarity))
+    roots = cut(components(links))
+    side = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    apart_ = pairs.join(first, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
+    rest = apart_.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    more = cut(verified(rest, sets, cut_.similarity))
+    return roots if more.isEmpty() else components(links.unionAll(more))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", cut_: Cut | None = None, shingle: int = 4, block: int = 4096, text: str = "text") -> DataFrame:
@@ -319,11 +321,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", cut_: Cut | None =
     kept = docs.select(*[c for c in docs.columns if c not in (*cut_.names, "component_id", "root")])
     if cut_.similarity is not None:
         marked = cut(fingerprints(kept.withColumn("__key", F.xxhash64(F.coalesce(text, F.lit("")))), cut_, shingle, text=text))
-        sets = cut(marked.groupBy(*cut_.names, "__set").agg(F.min(id_col).alias("first"), F.min("__key").alias("__key")))
-        roots = cut(similar_groups(docs, sets, cut_, shingle, block, text))
-        named = sets.join(roots.select(F.col("node").alias("__set"), "root"), "__set", "left").withColumn("root", F.coalesce("root", "__set"))
+        least = F.min(F.struct(*cut_.names)).alias("w")  # sets alike may differ in what repeats
+        sets = cut(marked.groupBy(F.col("__set").alias("node")).agg(F.min(id_col).alias("first"), F.min("__key").alias("__key"), least).select("node", "first", "__key", "w.*"))
+        roots = similar_groups(docs, sets, cut_, shingle, block, text)
+        named = sets.join(roots, "node", "left").select(F.col("node").alias("__set"), F.coalesce("root", "node").alias("root"), "first")
+        named = cut(named)
         least = cut(named.groupBy("root").agg(F.min("first").alias("component_id")))
-        answer = cut(named.select("__set", "root").distinct().join(least, "root").select("__set", "component_id", "root"))
+        answer = cut(named.join(least, "root").select("__set", "component_id", "root"))
         return marked.join(answer, "__set").select(*[c for c in marked.columns if c not in (*cut_.names[1:], "__set", "__key")], "component_id", "root")
     marked = cut(fingerprints(kept, cut_, shingle, text=text))
     # Written, so that the join at the end exchanges both sides and can split a fingerprint with very many copies.
