@@ -264,14 +264,14 @@ def fingerprint_links(fps: DataFrame, cut_: Cut, block: int = 4096) -> DataFrame
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets (node, shingles: sorted hashes as bytes) have the Jaccard similarity or more.
-    Each row is compared by itself, so no task holds a group."""
+    """The pairs (a, b) of nodes whose sets (node, shingles: distinct 32-bit hashes as bytes) have the Jaccard similarity or
+    more. Each row is compared by itself, so no task holds a group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                x, y = np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")
                 both = np.concatenate([x, y])
                 both.sort()
                 same = int((both[1:] == both[:-1]).sum())
@@ -292,20 +292,29 @@ def similar_groups(docs: DataFrame, fps: DataFrame, cut_: Cut, shingle: int, blo
     """
     pairs = cut(fingerprint_links(fps, cut_, block).distinct())
     ends = pairs.select(F.col("a").alias("node"), F.col("b").alias("other"), "d").unionAll(pairs.select("b", "a", "d"))
-    nearest = ends.groupBy("node").agg(F.min(F.struct("d", "other")).alias("n")).select("node", "n.other")
-    keys = fps.join(nearest.select("node"), "node", "left_semi").select("node", "__key")
+    nearest = cut(ends.groupBy("node").agg(F.min(F.struct("d", "other")).alias("n")).select("node", "n.other"))
     texts = docs.select(F.xxhash64(F.coalesce(text, F.lit(""))).alias("__key"), F.coalesce(text, F.lit("")).alias("text"))
-    run = lambda found: {"shingles": pa.array([shingle_set(t, shingle)[0].tobytes() for t in found], pa.binary())}
-    one = texts.join(cut(keys), "__key").groupBy("node").agg(F.min("text").alias("text"))
-    sets = cut(map_texts(one, run, [("shingles", "binary")]))
+    run = lambda found: {"shingles": pa.array([np.unique(shingle_set(t, shingle)[0].astype("<u4")).tobytes() for t in found], pa.binary())}
+    keys = small(cut(fps.join(nearest.select("node"), "node", "left_semi").select("node", "__key")))
+    sets = cut(map_texts(texts.join(keys, "__key").groupBy("node").agg(F.min("text").alias("text")), run, [("shingles", "binary")]))
     first = nearest.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
     links = cut(verified(first, sets, cut_.similarity))
-    roots = cut(components(links))
-    side = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    apart_ = pairs.join(first, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
-    rest = apart_.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    more = cut(verified(rest, sets, cut_.similarity))
-    return roots if more.isEmpty() else components(links.unionAll(more))
+    # Pairs whose ends have one least neighbour are connected by now; the others are compared, too.
+    both = links.unionAll(links.select("b", "a"))
+    star = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+    side = lambda c: star.select(F.col("a").alias(c), F.col("m").alias(f"least_{c}"))
+    rest = pairs.join(first, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
+    rest = cut(rest.where(F.coalesce("least_a", "a") != F.coalesce("least_b", "b")).select("a", "b"))
+    if rest.isEmpty():
+        return components(links)
+    needed = small(cut(rest.select(F.col("a").alias("node")).unionAll(rest.select("b")).distinct()))
+    more = verified(rest, sets.join(needed, "node", "left_semi"), cut_.similarity)
+    return components(links.unionAll(more))
+
+
+def small(written: DataFrame, most: int = 500_000) -> DataFrame:
+    """A written table of a few numbers a row, to be broadcast if it has at most ``most`` rows (some 20 MB); else as it is."""
+    return F.broadcast(written) if written.count() <= most else written
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", cut_: Cut | None = None, shingle: int = 4, block: int = 4096, text: str = "text") -> DataFrame:
