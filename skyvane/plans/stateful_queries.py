@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from skyvane.functions import classify as k
 from skyvane.functions.stats import shown
-from skyvane.operators import evidence, ml
+from skyvane.operators import guards, ml
 from skyvane.operators.families import contiguous_edge
 from skyvane.plans.history_queries import DIMS, vectors
 from skyvane.sources import samples
@@ -97,9 +97,23 @@ def perturbation(spark: SparkSession, sf: str) -> DataFrame:
     return ml.perturbation_trials(spark, x, ml.ward(x, 3), trials=50)
 
 
+IDENTITY, CAUSE, DIRECTION, CLASSES, STEADY, CLUSTER = "device or fingerprint identity", "unsupported causal explanation", "directional accuracy", "classification or separation capability", "physical source reliability or stability", "physical conclusion from a cluster"
+#: Sentences of every family of claim, with denials, and what they claim by a reader's judgement.
+GUARD_CASES = [
+    ("This identifies the transmitter.", [IDENTITY]), ("It does not establish device identity.", []), ("The device has been identified.", [IDENTITY]), ("A unique RF fingerprint was met.", [IDENTITY]), ("No evidence of a device fingerprint.", []),
+    ("Multipath caused the drift.", [CAUSE]), ("The spread reflects interference.", [CAUSE]), ("The drift is not due to multipath.", []), ("The change results from heating.", [CAUSE]), ("The values are plain.", []),
+    ("The directional accuracy is known.", [DIRECTION]), ("The bearing was not calibrated.", []), ("The true azimuth is 40.", [DIRECTION]), ("The bearing agrees with ground truth.", [DIRECTION]), ("The bearing spread is 4 degrees.", []),
+    ("Both features separate the classes.", [CLASSES]), ("The devices are distinguishable.", [CLASSES]), ("Do not claim discrimination.", []), ("Results confirm class separation.", [CLASSES]), ("Burst classifications were counted.", []),
+    ("The emitter remains stable.", [STEADY]), ("A reliable source was found.", [STEADY]), ("Reliability of the source is unsupported.", []), ("This never proves device stability.", []), ("Counts were stable.", []),
+    ("Cluster C1 represents a vehicle.", [CLUSTER]), ("C2 means interference.", [CLUSTER]), ("Cluster C0 has ten sessions.", []), ("The source is reliable, and C1 identifies a sensor.", [STEADY, CLUSTER]), ("It does not explain this but it is the device.", [IDENTITY]),
+]
+
+
 def claim_guard(spark: SparkSession, sf: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 3 == 0, ". This identifies the transmitter.").otherwise(". It does not establish device identity.")).alias("text"))
-    return d.select("doc_id", F.size(evidence.guard_column("text")).alias("violations"))
+    """Claims in every document's whole text followed by one of the sentences."""
+    case = F.element_at(F.array(*[F.lit(t) for t, _ in GUARD_CASES]), (F.col("doc_id") % len(GUARD_CASES) + 1).cast("int"))
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.concat_ws("\n", F.coalesce("text", F.lit("")), case).alias("text"))
+    return d.select("doc_id", F.array_join(guards.guard_column("text"), "; ").alias("claims"))
 
 
 QUERIES = {
@@ -110,5 +124,5 @@ QUERIES = {
 }
 SQL = {
     "track_policy": STREAK, "contiguous_edge": EDGES,
-    "claim_guard": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END::INT AS violations FROM documents",
+    "claim_guard": f"SELECT doc_id, list_extract([{', '.join(repr('; '.join(c)) for _, c in GUARD_CASES)}], (doc_id % {len(GUARD_CASES)} + 1)::INT) AS claims FROM documents",
 }

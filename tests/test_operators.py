@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from skyvane.functions import spectral as sp
 from skyvane.operators import association as a
-from skyvane.operators import evidence, ml
+from skyvane.operators import evidence, guards, ml
 from skyvane.operators.bursts import aggregate_bursts, decode_frames
 from skyvane.operators.capture import ordered_markers_inside
 from skyvane.operators.sessions import session_features
@@ -204,7 +204,7 @@ def test_models(spark):
     ("The drift is due to multipath, but no evidence of device classification.", 1), ("A stable source.", 1), ("Cluster C1 represents a device.", 1), ("", 0), ("Repeat the measurement ten times.", 0),
 ])
 def test_claims(text, found):
-    assert len(evidence.violations(text)) == found
+    assert len(guards.violations(text)) == found
 
 
 def test_json_hashes_and_artifacts(spark):
@@ -216,7 +216,7 @@ def test_json_hashes_and_artifacts(spark):
     assert evidence.artifact_problems(art) == []
     assert evidence.artifact_problems(art | {"payload": {"n": 2}}) == ["payload_sha256", "envelope_sha256"]
     assert "path" in evidence.artifact_problems(evidence.artifact("x", {}, {"../up": "1"})) and evidence.artifact_problems({}) == ["fields"]
-    assert evidence.suggestion_problems("Measure it again.") == [] and evidence.suggestion_problems("x" * 2000) == ["too long", "no measurable action"]
+    assert guards.suggestion_problems("Measure it again.") == [] and guards.suggestion_problems("x" * 2000) == ["too long", "no measurable action"]
     nums = spark.createDataFrame([(5,), (6,), (6,)], "number int")
     assert sorted(map(tuple, evidence.prefix_problem(nums, [5, 6, 7, 8], 7).collect())) == [(6, "REPEATED"), (7, "MISSING")]
 
