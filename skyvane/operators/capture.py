@@ -28,9 +28,12 @@ def manifest_diff(before: DataFrame, after: DataFrame, key: str, fields: list[st
 
 
 def verify_files(manifest: DataFrame, disk: DataFrame) -> DataFrame:
-    """Every manifest file against the disk: MISSING, else SIZE-FAIL, else HASH-FAIL, else OK."""
-    d = disk.select("path", F.col("size_bytes").alias("found_size"), F.col("sha256").alias("found_sha"))
-    verdict = F.when(F.col("found_size").isNull(), "MISSING").when(F.col("found_size") != F.col("size_bytes"), "SIZE-FAIL").when(F.col("found_sha") != F.col("sha256"), "HASH-FAIL").otherwise("OK")
+    """Every manifest file against the disk: MISSING, else SIZE-FAIL, else HASH-FAIL (also where one side lacks the value),
+    else UNKNOWN if neither side has it, else OK."""
+    d = disk.select("path", F.col("size_bytes").alias("found_size"), F.col("sha256").alias("found_sha"), F.lit(True).alias("found"))
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    verdict = F.when(F.col("found").isNull(), "MISSING").when(~same("found_size", "size_bytes"), "SIZE-FAIL").when(~same("found_sha", "sha256"), "HASH-FAIL")
+    verdict = verdict.when(F.col("size_bytes").isNull() | F.col("sha256").isNull(), "UNKNOWN").otherwise("OK")
     return manifest.join(d, "path", "left").select("path", verdict.alias("verdict"))
 
 

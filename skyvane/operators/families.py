@@ -16,8 +16,9 @@ def peak_pairs(peaks: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def recurrence(spacings: DataFrame, tolerance: float = 50.0) -> DataFrame:
-    """Fraction of each capture's events with a spacing within the tolerance of each centre; centres are all observed spacings.
+    """Fraction of each capture's events with a spacing within the tolerance of each centre, and the captures of its sensor.
 
+    Centres are all observed spacings; a capture without such an event has no row for a centre, which stands for 0.
     Events meet centres by an equality join on blocks of the tolerance's width (own and neighbouring).
     """
     block = lambda c: F.floor(F.col(c) / tolerance)
@@ -25,15 +26,18 @@ def recurrence(spacings: DataFrame, tolerance: float = 50.0) -> DataFrame:
     near = centres.withColumn("b", F.explode(F.array(*[block("centre") + i for i in (-1, 0, 1)])))
     per = spacings.select("sensor", "capture", "event", "spacing_hz").distinct().withColumn("b", block("spacing_hz"))
     hits = per.join(near, "b").where(F.abs(F.col("spacing_hz") - F.col("centre")) <= tolerance).groupBy("sensor", "capture", "centre").agg(F.count_distinct("event").alias("hits"))
-    grid = spacings.groupBy("sensor", "capture").agg(F.count_distinct("event").alias("n")).crossJoin(centres)  # captures by centres is the result itself
-    out = grid.join(hits, ["sensor", "capture", "centre"], "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
-    return out.select("sensor", "capture", "centre", "hits", (F.col("hits") / F.col("n")).alias("fraction"))
+    events = spacings.groupBy("sensor", "capture").agg(F.count_distinct("event").alias("n"))
+    events = events.join(events.groupBy("sensor").agg(F.count("*").alias("captures")), "sensor")
+    return hits.join(events, ["sensor", "capture"]).select("sensor", "capture", "centre", "hits", (F.col("hits") / F.col("n")).alias("fraction"), "captures")
 
 
 def classify(rec: DataFrame, high: float = 0.6, low: float = 0.4) -> DataFrame:
-    """Families by sensor: SHARED if all captures of both reach ``high``, one sensor's if all of the other stay under ``low``, else UNSTABLE."""
-    side = lambda s: F.when(F.col("sensor") == s, F.col("fraction"))
-    x = rec.groupBy("centre").agg(F.min(side("S1")).alias("low1"), F.max(side("S1")).alias("top1"), F.min(side("S2")).alias("low2"), F.max(side("S2")).alias("top2"))
+    """Families by sensor: SHARED if all captures of both reach ``high``, one sensor's if all of the other stay under ``low``,
+    else UNSTABLE. A capture without a row for a centre has the fraction 0 there."""
+    side = lambda s, c="fraction": F.when(F.col("sensor") == s, F.col(c))
+    least = lambda s: F.when(F.count(side(s)) == F.max(side(s, "captures")), F.min(side(s))).otherwise(0.0)
+    top = lambda s: F.coalesce(F.max(side(s)), F.lit(0.0))
+    x = rec.groupBy("centre").agg(least("S1").alias("low1"), top("S1").alias("top1"), least("S2").alias("low2"), top("S2").alias("top2"))
     one, two = F.col("low1") >= high, F.col("low2") >= high
     return x.select("centre", F.when(one & two, "SHARED").when(one & (F.col("top2") < low), "S1_ONLY").when(two & (F.col("top1") < low), "S2_ONLY").otherwise("UNSTABLE").alias("family"))
 

@@ -1,7 +1,7 @@
 """Behaviour models over session features: exact scaling, clustering, freezing, scoring, robustness.
 
-What touches every session is DataFrame work. Model fitting runs on the training sessions, a bounded table: it raises
-beyond ``MOST`` rows instead of sampling.
+What touches every session is DataFrame work. Model fitting runs on a bounded table: it raises beyond ``MOST`` rows, and
+``study`` fits on a stated sample and then scores every row.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 from itertools import permutations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ from skyvane.functions import classify as k
 from skyvane.functions.stats import exact_median
 
 MOST = 20_000
+#: Rows that a study over more of them is fitted on.
+STUDY = 4_000
 
 
 def model_params(df: DataFrame, features: list[str]) -> DataFrame:
@@ -78,9 +81,10 @@ def repeated_keys(df: DataFrame, key: str) -> DataFrame:
 
 
 def append_ledger(ledger: DataFrame, new: DataFrame, key: str = "session_id") -> DataFrame:
-    """The rows of ``new`` that may be appended: keys not in the ledger, of repeated ones the first by content."""
+    """The rows of ``new`` that may be appended: keys not in the ledger, of repeated ones the first by content. A row without
+    a key can never be told from another one and is not appended."""
     w = Window.partitionBy(key).orderBy(*[c for c in new.columns if c != key])
-    return new.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r").join(ledger.select(key), key, "left_anti")
+    return new.where(F.col(key).isNotNull()).withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r").join(ledger.select(key), key, "left_anti")
 
 
 def finalize(features: DataFrame, session_id: str, names: list[str], params: DataFrame, model: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -97,6 +101,41 @@ def bounded(rows: list) -> np.ndarray:
     return np.array(rows, float)
 
 
+def study_sample(rows: DataFrame, key: str, most: int = STUDY) -> DataFrame:
+    """At most ``most`` rows, in the order of a hash of their key: the documented bound of what a study is fitted on."""
+    return rows.orderBy(F.xxhash64(key), key).limit(most)
+
+
+def study(rows: DataFrame, key: str, x: str = "x", most: int = STUDY, trees: int = 500) -> DataFrame:
+    """(key, cluster, isolation, pc1, pc2) of every row. Ward clusters, isolation trees and principal components are fitted
+    on ``study_sample``; a row of the sample keeps its cluster, any other gets that of the nearest cluster mean. Rows
+    with a null key or vector are left out; nothing is returned for an empty table. Keys are whole numbers."""
+    rows = rows.where(F.col(key).isNotNull() & F.col(x).isNotNull()).select(key, x)
+    got = sorted((r[0], r[1]) for r in study_sample(rows, key, most).collect())
+    fit = bounded([v for _, v in got])
+    schema = f"`{key}` bigint, cluster int, isolation double, pc1 double, pc2 double"
+    if len(fit) < 3:
+        return rows.sparkSession.createDataFrame([(int(k), 0, 0.0, 0.0, 0.0) for k, _ in got], schema)
+    _, labels = choose_clusters(fit)
+    own = {k: int(c) for (k, _), c in zip(got, labels, strict=True)}
+    means = np.stack([fit[labels == c].mean(axis=0) for c in range(labels.max() + 1)])
+    _, loadings, _ = principal_components(fit)
+    sent = rows.sparkSession.sparkContext.broadcast((fit, own, means, loadings))
+
+    def run(batches):
+        fit, own, means, loadings = sent.value
+        for batch in batches:
+            keys, v = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), float)
+            if len(keys):
+                near = np.stack([((v - m) ** 2).sum(axis=1) for m in means], axis=1).argmin(axis=1)
+                cluster = [own.get(k, int(c)) for k, c in zip(keys, near, strict=True)]
+                pc = (v - fit.mean(axis=0)) @ loadings.T
+                iso = isolation_scores(fit, trees, of=v)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(cluster, pa.int32()), pa.array(iso), pa.array(pc[:, 0]), pa.array(pc[:, 1] if pc.shape[1] > 1 else np.zeros(len(v)))], names=[key, "cluster", "isolation", "pc1", "pc2"])
+
+    return rows.mapInArrow(run, schema)
+
+
 def ward_merges(x: np.ndarray) -> list[tuple[float, int, int]]:
     """Ward's merges as (squared height, a member of each side), by nearest-neighbour chains; memory grows with the rows, not their pairs."""
     c, n = bounded(x).copy(), len(x)
@@ -173,12 +212,14 @@ def principal_components(x: np.ndarray, n: int = 2) -> tuple[np.ndarray, np.ndar
     return (u * s * sign)[:, :n], (v * sign[:, None])[:n], (s**2 / (s**2).sum())[:n]
 
 
-def isolation_scores(x: np.ndarray, trees: int = 500, sample: int = 256, seed: int = 42) -> np.ndarray:
-    """Isolation-forest anomaly scores, from 0 to 1; equal in distribution, not in value, to other libraries'."""
+def isolation_scores(x: np.ndarray, trees: int = 500, sample: int = 256, seed: int = 42, of: np.ndarray | None = None) -> np.ndarray:
+    """Isolation-forest anomaly scores, from 0 to 1, of the rows ``of`` (by default x) in trees grown from x; equal in
+    distribution, not in value, to other libraries'. The trees depend on x and seed alone."""
+    of = x if of is None else of
     rng = np.random.default_rng(seed)
     m = min(sample, len(x))
     c = lambda n: 2 * (np.log(n - 1) + np.euler_gamma) - 2 * (n - 1) / n if n > 2 else float(n == 2)
-    depth = np.zeros(len(x))
+    depth = np.zeros(len(of))
 
     def drop(rows: np.ndarray, probe: np.ndarray, level: int, limit: int) -> None:
         span = np.ptp(x[rows], axis=0) if len(rows) else np.zeros(x.shape[1])
@@ -188,11 +229,11 @@ def isolation_scores(x: np.ndarray, trees: int = 500, sample: int = 256, seed: i
             return
         f = rng.choice(open_)
         at = rng.uniform(x[rows, f].min(), x[rows, f].max())
-        drop(rows[x[rows, f] < at], probe[x[probe, f] < at], level + 1, limit)
-        drop(rows[x[rows, f] >= at], probe[x[probe, f] >= at], level + 1, limit)
+        drop(rows[x[rows, f] < at], probe[of[probe, f] < at], level + 1, limit)
+        drop(rows[x[rows, f] >= at], probe[of[probe, f] >= at], level + 1, limit)
 
     for _ in range(trees):
-        drop(rng.choice(len(x), m, replace=False), np.arange(len(x)), 0, int(np.ceil(np.log2(max(2, m)))))
+        drop(rng.choice(len(x), m, replace=False), np.arange(len(of)), 0, int(np.ceil(np.log2(max(2, m)))))
     return 2 ** (-depth / trees / max(c(m), 1e-9))
 
 

@@ -42,7 +42,10 @@ def spectral_episodes(fragments: DataFrame, keys: list[str], order: str = "mtime
     w = Window.partitionBy(*keys).orderBy(order)
     f = fragments.withColumn("gap_s", (F.col(order) - F.lag(order).over(w)) / 1e9)
     nearest = F.array_min(F.transform("offsets_hz", lambda x: F.abs(x)))
-    f = f.withColumn("nearest_offset_hz", nearest).withColumn("spacing_hz", F.when(F.size("spacings_hz") > 0, F.get(F.array_sort("spacings_hz"), ((F.size("spacings_hz") - 1) / 2).cast("int"))))
+    own = F.array_sort(F.filter("spacings_hz", lambda x: x.isNotNull()))
+    f = f.withColumn("nearest_offset_hz", nearest).withColumn("__s", own).withColumn("__n", F.size("__s"))
+    middle = (F.get("__s", F.floor((F.col("__n") - 1) / 2).cast("int")) + F.get("__s", F.floor(F.col("__n") / 2).cast("int"))) / 2
+    f = f.withColumn("spacing_hz", F.when(F.col("__n") > 0, middle))
     names = ["centroid_hz", "spread_hz", "entropy", "occupied_hz", "nearest_offset_hz", "spacing_hz", "gap_s"]
     return f.groupBy(*keys).agg(F.count("*").alias("fragments"), *[exact_median(n).alias(n) for n in names])
 

@@ -198,11 +198,11 @@ SELECT * FROM c WHERE n > 0"""
 
 
 def track_spacings(spark: SparkSession, sf: str) -> DataFrame:
-    item = read(spark, sf, "lineitem").where("l_orderkey % 3 = 0").groupBy(F.col("l_orderkey").alias("episode"), (F.col("l_suppkey") % 4).alias("track_id"), F.col("l_linenumber").alias("fragment")).agg(F.min("l_partkey").cast("double").alias("frequency_hz"))
+    item = read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("episode"), (F.col("l_suppkey") % 4).alias("track_id"), F.col("l_linenumber").alias("fragment")).agg(F.min("l_partkey").cast("double").alias("frequency_hz"))
     return rollups.track_spacings(item, ["episode"])
 
 
-SPACINGS = """WITH m AS (SELECT l_orderkey AS episode, l_suppkey % 4 AS track_id, l_linenumber AS fragment, min(l_partkey)::DOUBLE AS f FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY ALL)
+SPACINGS = """WITH m AS (SELECT l_orderkey AS episode, l_suppkey % 4 AS track_id, l_linenumber AS fragment, min(l_partkey)::DOUBLE AS f FROM lineitem GROUP BY ALL)
 SELECT a.episode, a.track_id AS lower, b.track_id AS higher, count(*)::BIGINT AS common, median(b.f - a.f) AS median_hz, min(b.f - a.f) AS min_hz, max(b.f - a.f) AS max_hz FROM m a JOIN m b ON a.episode = b.episode AND a.fragment = b.fragment AND a.track_id < b.track_id GROUP BY ALL HAVING count(*) >= 2"""
 
 
@@ -283,19 +283,17 @@ def components(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("l_linenumber") - F.col("l_suppkey") % 2).cast("int").alias("fragment"), (F.col("l_partkey") * 37 % 160).cast("double").alias("frequency_hz"), (F.col("l_partkey") % 9 > 0).alias("eligible")).distinct()
 
 
-#: The episodes that the SQL below covers.
-IN_SQL = "episode % 2 = 0"
-COMP = "co AS (SELECT DISTINCT l_orderkey AS episode, 'c-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS candidate_id, (l_linenumber - l_suppkey % 2)::INT AS fragment, (l_partkey * 37 % 160)::DOUBLE AS frequency_hz, l_partkey % 9 > 0 AS eligible FROM lineitem WHERE l_orderkey % 2 = 0)"
+COMP = "co AS (SELECT DISTINCT l_orderkey AS episode, 'c-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS candidate_id, (l_linenumber - l_suppkey % 2)::INT AS fragment, (l_partkey * 37 % 160)::DOUBLE AS frequency_hz, l_partkey % 9 > 0 AS eligible FROM lineitem)"
 EDGE = "ed AS (SELECT a.episode, a.candidate_id AS from_id, b.candidate_id AS to_id, b.fragment - a.fragment AS gap, b.frequency_hz - a.frequency_hz AS difference_hz FROM co a JOIN co b ON a.episode = b.episode AND b.fragment - a.fragment IN (1, 2) AND abs(b.frequency_hz - a.frequency_hz) <= 50 AND a.eligible AND b.eligible)"
 
 
 def assoc_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return a.association_edges(components(spark, sf).where(IN_SQL), ["episode"])
+    return a.association_edges(components(spark, sf), ["episode"])
 
 
 def track_groups(spark: SparkSession, sf: str) -> DataFrame:
     """Connected groups of every episode with their support, range and verdicts."""
-    comp = components(spark, sf).where(IN_SQL)
+    comp = components(spark, sf)
     out = a.track_episodes(comp, comp.select("episode", "fragment", F.lit(True).alias("usable")), ["episode"])
     t = out.select("episode", "status", F.explode_outer("tracks").alias("t")).where("t is not null")
     return rounded(t.select("episode", "status", "t.track_id", F.array_join(F.array_sort("t.members"), ",").alias("members"), "t.support", "t.coverage", "t.median_hz", "t.range_hz", "t.coherent", "t.persistent"), "coverage", "median_hz", "range_hz")
@@ -319,19 +317,19 @@ def association_exact(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def peak_pairwise(spark: SparkSession, sf: str) -> DataFrame:
-    item = read(spark, sf, "lineitem").where("l_orderkey % 4 = 1")
+    item = read(spark, sf, "lineitem")
     return fam.peak_pairs(item.select(F.col("l_orderkey").alias("event"), F.col("l_linenumber").alias("rank"), (F.col("l_partkey") % 5000 - 2500).cast("double").alias("frequency_hz")), ["event"])
 
 
-PAIRS = "WITH p AS (SELECT l_orderkey AS event, l_linenumber AS rank, (l_partkey % 5000 - 2500)::DOUBLE AS f FROM lineitem WHERE l_orderkey % 4 = 1) SELECT a.event, a.rank AS rank_a, b.rank AS rank_b, b.f - a.f AS difference_hz, abs(b.f - a.f) AS spacing_hz FROM p a JOIN p b ON a.event = b.event AND a.rank < b.rank"
+PAIRS = "WITH p AS (SELECT l_orderkey AS event, l_linenumber AS rank, (l_partkey % 5000 - 2500)::DOUBLE AS f FROM lineitem) SELECT a.event, a.rank AS rank_a, b.rank AS rank_b, b.f - a.f AS difference_hz, abs(b.f - a.f) AS spacing_hz FROM p a JOIN p b ON a.event = b.event AND a.rank < b.rank"
 
 
 def spacings(spark: SparkSession, sf: str) -> DataFrame:
     item = read(spark, sf, "lineitem")
-    return item.select(F.concat(F.lit("S"), F.col("l_suppkey") % 2 + 1).alias("sensor"), (F.col("l_suppkey") % 6).alias("capture"), F.col("l_orderkey").alias("event"), F.floor(F.col("l_partkey") * 13 % 4000 / 20).cast("double").alias("spacing_hz")).where("event % 3 = 0")
+    return item.select(F.concat(F.lit("S"), F.col("l_suppkey") % 2 + 1).alias("sensor"), (F.col("l_suppkey") % 6).alias("capture"), F.col("l_orderkey").alias("event"), F.floor(F.col("l_partkey") * 13 % 4000 / 20).cast("double").alias("spacing_hz"))
 
 
-SPACE = "sp AS (SELECT 'S' || (l_suppkey % 2 + 1) AS sensor, l_suppkey % 6 AS capture, l_orderkey AS event, floor((l_partkey * 13 % 4000)::DOUBLE / 20) AS spacing_hz FROM lineitem WHERE l_orderkey % 3 = 0)"
+SPACE = "sp AS (SELECT 'S' || (l_suppkey % 2 + 1) AS sensor, l_suppkey % 6 AS capture, l_orderkey AS event, floor((l_partkey * 13 % 4000)::DOUBLE / 20) AS spacing_hz FROM lineitem)"
 RECUR = f"""
 WITH {SPACE}, ce AS (SELECT DISTINCT spacing_hz AS centre FROM sp), ev AS (SELECT sensor, capture, count(DISTINCT event) AS n FROM sp GROUP BY ALL),
 hi AS (SELECT s.sensor, s.capture, c.centre, count(DISTINCT s.event) AS hits FROM sp s JOIN ce c ON abs(s.spacing_hz - c.centre) <= 5 GROUP BY ALL),
@@ -339,7 +337,7 @@ fr AS (SELECT e.sensor, e.capture, c.centre, coalesce(h.hits, 0)::BIGINT AS hits
 
 
 def family_recurrence(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(fam.recurrence(spacings(spark, sf), 5.0), "fraction")
+    return rounded(fam.recurrence(spacings(spark, sf), 5.0).drop("captures"), "fraction")
 
 
 def family_class(spark: SparkSession, sf: str) -> DataFrame:
@@ -421,7 +419,7 @@ SQL = {
     "kv_lenient": KV, "file_episodes": FILE_EPISODES, "manifest_diff": DIFF, "verify_files": VERIFY, "activation_acquired": ACQUIRED, "acquisition_completeness": COMPLETENESS,
     "activation_position": POSITION, "history_knn": KNN, "history_scope": SCOPE, "cluster_transitions": TRANSITIONS, "block_summary": BLOCKS, "common_clusters": COMMON,
     "session_number": NUMBER, "score_sessions": SCORE, "ari": ARI, "assoc_edges": f"WITH {COMP}, {EDGE} SELECT * FROM ed", "track_groups": GROUPS, "peak_pairwise": PAIRS,
-    "family_recurrence": f"{RECUR} SELECT sensor, capture, centre, hits, {show('fraction')} AS fraction FROM fr", "family_class": FAMILY, "dice_concordance": DICE, "capture_delta": DELTA, "contrast_runs": RUNS, "envelope_events": EVENTS,
+    "family_recurrence": f"{RECUR} SELECT sensor, capture, centre, hits, {show('fraction')} AS fraction FROM fr WHERE hits > 0", "family_class": FAMILY, "dice_concordance": DICE, "capture_delta": DELTA, "contrast_runs": RUNS, "envelope_events": EVENTS,
     "multiset_equal": BAGS, "parameter_matrix": MATRIX, "history_bundle": BUNDLE, "prior_cluster_counts": PRIOR, "track_spacings": SPACINGS, "sample_median": MEDIAN,
     "episode_magnitudes": MAGNITUDES, "slot_events": SLOTS,
 }

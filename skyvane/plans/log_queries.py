@@ -56,12 +56,12 @@ MARKERS = """SELECT 'S' || user_id AS session_id, (max(event_id) FILTER (event_i
 
 
 def latest_session(spark: SparkSession, sf: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf}/events.parquet").where("event_id % 3 = 1")
+    e = spark.read.parquet(f"{sf}/events.parquet")
     line = F.concat(F.lit("SESSION_START | id=S"), F.col("user_id"), F.lit(" | time=x"))
     return logs.latest_session(logs.markers(e.select(F.col("event_id").alias("line_no"), line.alias("value"))))
 
 
-LATEST = "SELECT 'S' || arg_max(user_id, event_id) AS session_id FROM events WHERE event_id % 3 = 1"
+LATEST = "SELECT 'S' || arg_max(user_id, event_id) AS session_id FROM events"
 
 
 def activation_log(spark: SparkSession, sf: str) -> DataFrame:

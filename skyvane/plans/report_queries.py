@@ -115,10 +115,10 @@ FROM b FULL JOIN t USING (session_id) FULL JOIN r USING (session_id)"""
 
 
 def unmatched_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    return s.unmatched_sessions(bursts(spark, sf), track_events(spark, sf).where("event = 'TRACK_ACQUIRED'"))
+    return s.unmatched_sessions(episode_events(spark, sf), track_events(spark, sf).where("event = 'TRACK_ACQUIRED'"))
 
 
-UNMATCHED = f"WITH {B}, {T} SELECT session_id, count(*)::BIGINT AS records FROM bursts WHERE session_id NOT IN (SELECT session_id FROM track WHERE event = 'TRACK_ACQUIRED') GROUP BY 1"
+UNMATCHED = f"WITH {E}, {T} SELECT session_id, count(*)::BIGINT AS records FROM episodes WHERE session_id NOT IN (SELECT session_id FROM track WHERE event = 'TRACK_ACQUIRED') GROUP BY 1"
 
 
 def persistence_class(spark: SparkSession, sf: str) -> DataFrame:

@@ -81,18 +81,15 @@ def kernel(name: str, *fields: str):
 
 
 def cluster_study(spark: SparkSession, sf: str) -> DataFrame:
-    """Clusters of all vectors by Ward's method, with isolation scores and two principal components."""
+    """Clusters, isolation scores and two principal components of every vector, by models fitted on a bounded sample."""
     v = vectors(spark, sf).drop("cluster")
-    rows = ml.standardized(v, DIMS, ml.model_params(v, DIMS)).orderBy("vec_id").select("vec_id", "x").collect()
-    x = ml.bounded([r["x"] for r in rows])
-    _, labels = ml.choose_clusters(x)
-    iso, (pc, _, _) = ml.isolation_scores(x, trees=100), ml.principal_components(x)
-    return spark.createDataFrame([(r["vec_id"], int(c), float(i), float(p[0]), float(p[1])) for r, c, i, p in zip(rows, labels, iso, pc, strict=True)], "vec_id bigint, cluster int, isolation double, pc1 double, pc2 double")
+    return ml.study(ml.standardized(v, DIMS, ml.model_params(v, DIMS)), "vec_id", trees=100)
 
 
 def perturbation(spark: SparkSession, sf: str) -> DataFrame:
+    """How stable Ward's clusters of a study's sample are when rows are left out and noise is added."""
     v = vectors(spark, sf).drop("cluster")
-    rows = ml.standardized(v, DIMS, ml.model_params(v, DIMS)).orderBy("vec_id").select("x").collect()
+    rows = ml.study_sample(ml.standardized(v, DIMS, ml.model_params(v, DIMS)), "vec_id").orderBy("vec_id").select("x").collect()
     x = ml.bounded([r["x"] for r in rows])
     return ml.perturbation_trials(spark, x, ml.ward(x, 3), trials=50)
 

@@ -39,16 +39,18 @@ IGNORED_EVENTS = ["TRACK_SHIFT_DETECTED", "TRACK_VARIABLE"]
 
 def track_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*map(F.lit, TRACK_EVENTS + IGNORED_EVENTS))
-    e = events(spark, sf_dir).where("event_id % 3 = 0 and user_id % 9 <> 0")
-    return e.select(F.concat(F.lit("S"), "user_id").alias("session_id"), F.col("at").alias("time"), "event_id", F.element_at(names, (F.col("event_id") / 3).cast("int") % 8 + 1).alias("event"))
+    e = events(spark, sf_dir)
+    kind = F.when(F.col("event_type") == "signup", "T").otherwise("S")  # sign-ups come from sessions without bursts
+    return e.select(F.concat(kind, "user_id").alias("session_id"), F.col("at").alias("time"), "event_id", F.element_at(names, (F.col("event_id") % 8 + 1).cast("int")).alias("event"))
 
 
 def episode_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, k = events(spark, sf_dir).where("event_id % 5 = 0 and user_id % 8 <> 0"), F.col("event_id")
-    turn = (k / 5).cast("int") % 4
+    e, k = events(spark, sf_dir), F.col("event_id")
+    kind = F.when(F.col("event_type") == "error", "E").otherwise("S")  # errors come from sessions without bursts
+    turn = k % 4
     closed = turn >= 2
     return e.select(
-        F.concat(F.lit("S"), "user_id").alias("session_id"), F.col("at").alias("time"), "event_id",
+        F.concat(kind, "user_id").alias("session_id"), F.col("at").alias("time"), "event_id",
         F.when(closed, "EPISODE_CLOSED").otherwise("EPISODE_STARTED").alias("event"), (k % 7 + 1).cast("int").alias("episode_id"),
         F.when(closed, F.when(turn == 2, "SHIFT_CONFIRMED").otherwise("TRACK_LOST")).alias("reason"),
         F.when(closed, F.struct((k % 50).alias("start_index"), (k % 50 + 9).alias("end_index"), as_double(k % 360).alias("start_mean"), as_double(k % 359).alias("latest_mean"), (k % 30).alias("max_support"), (k % 3 == 0).alias("degraded_seen"), F.when(turn == 2, "SHIFT_CONFIRMED").otherwise("TRACK_LOST").alias("end_reason"))).alias("summary"),
@@ -69,12 +71,12 @@ bursts AS (
   FROM events)"""
 TRACK_SQL = """
 track AS (
-  SELECT 'S' || user_id AS session_id, ts AS time, event_id,
-    (['TRACK_ACQUIRED','TRACK_REACQUIRED','TRACK_SHIFT_CONFIRMED','TRACK_DEGRADED','TRACK_LOST','TRACK_RECOVERED','TRACK_SHIFT_DETECTED','TRACK_VARIABLE'])[(event_id // 3) % 8 + 1] AS event
-  FROM events WHERE event_id % 3 = 0 AND user_id % 9 <> 0)"""
+  SELECT CASE event_type WHEN 'signup' THEN 'T' ELSE 'S' END || user_id AS session_id, ts AS time, event_id,
+    (['TRACK_ACQUIRED','TRACK_REACQUIRED','TRACK_SHIFT_CONFIRMED','TRACK_DEGRADED','TRACK_LOST','TRACK_RECOVERED','TRACK_SHIFT_DETECTED','TRACK_VARIABLE'])[event_id % 8 + 1] AS event
+  FROM events)"""
 EPISODES_SQL = """
 episodes AS (
-  SELECT 'S' || user_id AS session_id, event_id, CASE WHEN (event_id // 5) % 4 >= 2 THEN 'EPISODE_CLOSED' ELSE 'EPISODE_STARTED' END AS event,
-    (event_id % 7 + 1)::INT AS episode_id, CASE (event_id // 5) % 4 WHEN 2 THEN 'SHIFT_CONFIRMED' WHEN 3 THEN 'TRACK_LOST' END AS reason,
-    CASE WHEN (event_id // 5) % 4 >= 2 THEN event_id % 3 = 0 END AS degraded
-  FROM events WHERE event_id % 5 = 0 AND user_id % 8 <> 0)"""
+  SELECT CASE event_type WHEN 'error' THEN 'E' ELSE 'S' END || user_id AS session_id, event_id, CASE WHEN event_id % 4 >= 2 THEN 'EPISODE_CLOSED' ELSE 'EPISODE_STARTED' END AS event,
+    (event_id % 7 + 1)::INT AS episode_id, CASE event_id % 4 WHEN 2 THEN 'SHIFT_CONFIRMED' WHEN 3 THEN 'TRACK_LOST' END AS reason,
+    CASE WHEN event_id % 4 >= 2 THEN event_id % 3 = 0 END AS degraded
+  FROM events)"""

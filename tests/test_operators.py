@@ -234,3 +234,44 @@ def test_burst_stream(spark, tmp_path):
     run()  # a restart goes on where the first run ended
     got = spark.read.parquet(str(tmp_path / "out")).orderBy("time").collect()
     assert [(r.samples, round(r.bearing, 3)) for r in got] == [(2, 11.0), (1, 50.0)]
+
+
+def test_files_are_not_ok_when_something_is_unknown(spark):
+    from skyvane.operators.capture import verify_files
+
+    schema = "path string, size_bytes bigint, sha256 string"
+    want = {"a": ("OK", (1, "x"), (1, "x")), "b": ("HASH-FAIL", (1, "x"), (1, None)), "c": ("HASH-FAIL", (1, None), (1, "x")), "d": ("SIZE-FAIL", (None, "x"), (1, "x")), "e": ("SIZE-FAIL", (1, "x"), (None, "x")),
+            "f": ("UNKNOWN", (None, "x"), (None, "x")), "g": ("UNKNOWN", (1, None), (1, None)), "h": ("MISSING", (1, "x"), None), "i": ("SIZE-FAIL", (1, "x"), (2, "y"))}
+    manifest = spark.createDataFrame([(p, *m) for p, (_, m, _) in want.items()], schema)
+    disk = spark.createDataFrame([(p, *d) for p, (_, _, d) in want.items() if d], schema)
+    assert {r.path: r.verdict for r in verify_files(manifest, disk).collect()} == {p: v for p, (v, _, _) in want.items()}
+
+
+def test_spectral_episode_medians(spark):
+    from skyvane.operators.rollups import spectral_episodes
+
+    rows = [("e", 0, 1.0, [-3.0, 2.0], [10.0, 20.0, 30.0, 100.0]), ("e", 10**9, 2.0, [5.0], [40.0, None]), ("e", 3 * 10**9, 6.0, [], []), ("f", 0, None, None, None)]
+    df = spark.createDataFrame(rows, "ep string, mtime_ns bigint, centroid_hz double, offsets_hz array<double>, spacings_hz array<double>")
+    for c in ("spread_hz", "entropy", "occupied_hz"):
+        df = df.withColumn(c, F.col("centroid_hz"))
+    got = {r.ep: r for r in spectral_episodes(df, ["ep"]).collect()}
+    assert (got["e"].fragments, got["e"].centroid_hz, got["e"].nearest_offset_hz, got["e"].spacing_hz, got["e"].gap_s) == (3, 2.0, 3.5, 32.5, 1.5)
+    assert got["f"].spacing_hz is None
+
+
+def test_ledger_takes_no_row_without_a_key(spark):
+    led = spark.createDataFrame([("a", 1)], "session_id string, v int")
+    new = spark.createDataFrame([(None, 2), (None, 3), ("b", 4), ("a", 5)], led.schema)
+    assert [tuple(r) for r in ml.append_ledger(led, new).collect()] == [("b", 4)]
+
+
+def test_study_scores_rows_beyond_its_sample(spark):
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.normal(0, 1, (150, 3)), rng.normal(9, 1, (150, 3)), [[60.0, -60.0, 60.0]]])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(None, [0.0] * 3), (999, None)], "id bigint, x array<double>")
+    got = {r.id: r for r in ml.study(rows, "id", most=80, trees=40).collect()}
+    assert sorted(got) == list(range(301))
+    first, second = {got[i].cluster for i in range(150)}, {got[i].cluster for i in range(150, 300)}
+    assert len(first) == len(second) == 1 and first != second
+    assert got[300].isolation > np.quantile([r.isolation for r in got.values()], 0.9)
+    assert ml.study(rows.limit(0), "id").count() == 0 and ml.study(rows.where("id < 2"), "id").count() == 2

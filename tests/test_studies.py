@@ -36,7 +36,7 @@ def test_matrix_finds_one_lasting_line(spark):
 def test_rollups(spark):
     f = spark.createDataFrame([(1, 10**9, 1.0, 2.0, 0.5, 9.0, [-3.0, 5.0], [1.0, 4.0]), (1, 3 * 10**9, 3.0, 2.0, 0.5, 9.0, [], [])], "episode int, mtime_ns bigint, centroid_hz double, spread_hz double, entropy double, occupied_hz double, offsets_hz array<double>, spacings_hz array<double>")
     r = rollups.spectral_episodes(f, ["episode"]).first()
-    assert (r.fragments, r.centroid_hz, r.nearest_offset_hz, r.spacing_hz, r.gap_s) == (2, 2.0, 3.0, 1.0, 2.0)
+    assert (r.fragments, r.centroid_hz, r.nearest_offset_hz, r.spacing_hz, r.gap_s) == (2, 2.0, 3.0, 2.5, 2.0)
     s = spark.createDataFrame([(1, "A"), (2, "B")], "episode int, status string")
     assert [tuple(x) for x in rollups.status_transitions(s, s.where("episode = 1"), ["episode"]).collect()] == [("A", "A", 1)]
     want = spark.createDataFrame([("s1", 1), ("s1", 2)], "s string, k int")
