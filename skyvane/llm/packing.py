@@ -4,8 +4,8 @@ Pieces of one length are interchangeable, so best-fit decreasing over all pieces
 each length: at most ``capacity`` counts, whatever the corpus. ``plan`` runs it over these counts with a segment tree
 over the remaining capacities that finds the tightest open bin in logarithmic time, and writes down runs: the ranks
 r .. r + bins * each of a length go to bins b .. b + bins. Executors give each piece its rank in its length and look its
-run up. Ranks are counted in salted parts of a length, so many that no part has much over 1 / PARTS of all pieces: a
-length that a third of all pieces have is no hot key, and there are at most PARTS + capacity parts, whatever the corpus.
+run up. Ranks are counted in parts of a length, dealt by row, so many that no part has much over 1 / PARTS of all pieces:
+a length or a text that a third of all pieces have is no hot key, and there are at most PARTS + capacity parts.
 """
 
 from __future__ import annotations
@@ -171,16 +171,17 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0, id_col:
     no rows. Other columns are not returned. ids_crc32 is over the ids as little-endian unsigned 32-bit numbers.
     """
     made = cut(cut_pieces(docs, path, capacity, end, id_col, text, ranks, pattern, with_ids))
+    made = made.withColumn("__row", F.monotonically_increasing_id())  # fixed by what was written
     # At most ``capacity`` counts come to the driver, and then those of at most PARTS + capacity parts.
     counts = {r["length"]: r["n"] for r in made.groupBy("length").agg(F.count("*").alias("n")).collect()}
     runs, total = plan(counts, capacity), max(1, sum(counts.values()))
     salts = docs.sparkSession.createDataFrame([(n, -(-c * PARTS // total)) for n, c in counts.items()], "length bigint, __salts bigint")
-    made = made.join(F.broadcast(salts), "length").withColumn("__salt", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), "__salts")).drop("__salts")
+    made = made.join(F.broadcast(salts), "length").withColumn("__salt", F.pmod("__row", "__salts")).drop("__salts")
     parts = sorted((r["length"], r["__salt"], r["n"]) for r in made.groupBy("length", "__salt").agg(F.count("*").alias("n")).collect())
     part = np.array(parts, np.int64).reshape(-1, 3)
     upto = np.cumsum(part[:, 2]) - part[:, 2]
     first = upto - (upto[np.searchsorted(part[:, 0], part[:, 0], "left")] if len(part) else 0)  # pieces of the length in the parts before
-    rank = F.row_number().over(Window.partitionBy("length", "__salt").orderBy(id_col, "piece", "ids_crc32")) - 1
+    rank = F.row_number().over(Window.partitionBy("length", "__salt").orderBy("__row")) - 1
     runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))]
     sent = docs.sparkSession.sparkContext.broadcast((runs, part[:, 0] << SHIFT | part[:, 1], first))
     names = [id_col, "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
@@ -214,4 +215,5 @@ def byte_bpe() -> dict:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document with their sequence and place; nulls, repeated rows and empty tables as in ``pack``."""
     return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), **byte_bpe())

@@ -141,7 +141,10 @@ def score_quality(docs: DataFrame, model: Discriminant | Constant, threshold: fl
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """docs without the rows whose score is under the threshold."""
+    """docs without the rows whose score is under the threshold, every column as it was, also one named score or predicted.
+
+    Null and empty texts are scored alike, rows alike go or stay together, an empty table stays empty; without enough
+    labels of both kinds every score is the share of good ones (0.5 without any label)."""
     # Under names of their own: docs may have columns called score or predicted.
     named = docs.select(*[F.col(c).alias(f"__{c}" if c in ("score", "predicted") else c) for c in docs.columns])
     scored = score_quality(named, fit_quality(docs, labels), threshold, keep_text=True).where("predicted = 1")
@@ -149,6 +152,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Dat
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document; odd rows as in ``score_quality``, a null id is never held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_quality(docs, table(spark, sf_dir, "labels"))
     return score_quality(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")

@@ -30,15 +30,17 @@ def bucket_of(key: Column, bounds: list[int]) -> Column:
     return F.when(coarse > 0, (coarse - 1) * step + inside).otherwise(0)
 
 
-def assign_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text: str = "text", buckets: int = 256) -> DataFrame:
+def assign_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
     """All columns of docs with size, text_crc32, shard and slot.
 
     size is the UTF-8 bytes of the text (null: none) plus 1. Order: id (nulls first), then a hash of the text, then
     size. Rows that repeat an id stay in that order; rows alike in all of it are interchangeable. An id so frequent
     that it fills several quantiles is split over TIES sub-buckets by the hash, so it does not land in one task. An
-    empty table gives an empty table. Columns of docs named like a new one are replaced. Driver data: ``buckets``
-    numbers and two totals per sub-bucket; one shuffle, of whatever columns are read later.
+    empty table gives an empty table. Columns of docs named like a new one are replaced. Ids are whole numbers. ``buckets``
+    is by default one per 250,000 rows, from 256 to 8,192. Driver data: ``buckets`` numbers and two totals per
+    sub-bucket; one shuffle, of whatever columns are read later. Rows alike in id and text are sorted in one task.
     """
+    buckets = buckets or min(8192, max(256, docs.count() // 250_000))
     own = ("size", "text_crc32", "shard", "slot")
     raw = F.coalesce(F.col(text).cast("binary"), F.lit("").cast("binary"))
     src = docs.select(*[c for c in docs.columns if c not in own or c in (id_col, text)])

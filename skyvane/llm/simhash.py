@@ -366,6 +366,7 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint and component_id of every document; nulls, empty texts, copies and ties as in ``near_duplicates``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = near_duplicates(docs)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -131,6 +131,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 4096, text: str = "tex
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and token counts of every document; nulls, empty texts, repeated rows and extra columns as in ``count_tokens``."""
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

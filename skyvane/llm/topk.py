@@ -165,6 +165,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
 
 
 def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of all vectors for every hundredth one; nulls, ties and repeated rows as in ``top_k``."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return top_k(e, e.where("vec_id % 100 = 0"))
 
