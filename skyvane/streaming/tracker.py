@@ -1,7 +1,7 @@
 """Track and source-episode state machines: one pure step, run in batch and in streams.
 
 Batch orders each session and passes its rows through the step while they stream by, so memory is one state a session.
-Streams keep the same state as one JSON text per session and need rows of a session to arrive in order.
+Streams keep the same state as one JSON text per session, with the bursts that the watermark has not passed yet.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 # Window lengths, distances and counts of the state machine.
 WINDOW, PENDING = 5, 7
@@ -215,22 +216,77 @@ def episode_events(tracked: DataFrame, key: str = "session_id") -> DataFrame:
     return e.select(key, "observation_index", "e.event", "e.episode_id", "e.reason", "e.start_index", "e.end_index", mean("start_mean"), mean("latest_mean"), "e.max_support", "e.degraded_seen")
 
 
-STREAMED = ["observation_index", "track_state", "track_mean", "support", "health", "candidate", "candidate_count", "track_event", "health_event"]
+STREAMED = ["observation_index", "track_state", "track_mean", "support", "health", "candidate", "candidate_count", "track_event", "health_event", "age_s", "episodes"]
 
 
-def track_stream(bursts: DataFrame, key: str = "session_id", time: str = "time", tie: str = "event_id") -> DataFrame:
-    """The same over a stream of bursts: rows of a micro-batch are put in order, the state lives in the state store."""
+class Follower(StatefulProcessor):
+    """Follows one session's track. Bursts wait in the state until the watermark has passed them and are then taken in
+    order of time and tie, so batches may overlap in time; a session that is silent for ``idle_ms`` gives up its state.
 
-    def run(k: tuple, frames: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
-        state = State.loads(held.get[0]) if held.exists else State()
-        rows = pd.concat(list(frames)).sort_values([time, tie], kind="stable")
-        out = []
-        for at, t, bearing, quality in zip(rows[time], rows[tie], rows["bearing"], rows["quality"], strict=True):
-            r = step(state, None if pd.isna(bearing) else float(bearing), quality, at.timestamp())
-            out.append((k[0], at, t, *[r[n] for n in STREAMED]))
-        held.update((state.dumps(),))
-        yield pd.DataFrame(out, columns=[key, time, tie, *STREAMED])
+    State: the track as text, the waiting bursts, and the time of the newest one.
+    """
+
+    def __init__(self, key: str, time: str, tie: str, idle_ms: int):
+        self.key, self.time, self.tie, self.idle_ms = key, time, tie, idle_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("track", "text string")
+        self.waiting = handle.getListState("waiting", "at_us bigint, tie bigint, bearing double, quality string")
+        self.newest = handle.getValueState("newest", "at_us bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new, mark = [], timerValues.getCurrentWatermarkInMs() * 1000
+        for frame in rows:
+            at = frame[self.time].astype("datetime64[us]").astype("int64")
+            for t, n, bearing, quality in zip(at, frame[self.tie], frame["bearing"], frame["quality"], strict=True):
+                if t >= mark:
+                    new.append((int(t), int(n), None if pd.isna(bearing) else float(bearing), quality))
+        if new:
+            self.waiting.appendList(new)
+            newest = max(t for t, *_ in new)
+            if not self.newest.exists() or self.newest.get()[0] < newest:
+                self.newest.update((newest,))
+            due = max(mark // 1000, min(t for t, *_ in new) // 1000) + 1
+            self.handle.registerTimer(due)
+            self.handle.registerTimer(newest // 1000 + self.idle_ms)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
+        ready, later = [r for r in rows if r[0] < mark], [r for r in rows if r[0] >= mark]
+        state = State.loads(self.held.get()[0]) if self.held.exists() else State()
+        out = [(t, n, step(state, bearing, quality, t / 1e6)) for t, n, bearing, quality in ready]
+        if ready:
+            self.held.update((state.dumps(),))
+        if later:
+            self.waiting.put(later)
+            self.handle.registerTimer(max(mark // 1000, later[0][0] // 1000) + 1)
+        else:
+            self.waiting.clear()
+            if self.newest.exists() and self.newest.get()[0] + self.idle_ms * 1000 <= mark:
+                self.held.clear()
+                self.newest.clear()
+        if out:
+            yield self.frame(key, out)
+
+    def frame(self, key: tuple, out: list) -> pd.DataFrame:
+        cols = {self.key: [key[0]] * len(out), self.time: pd.to_datetime([t for t, _, _ in out], unit="us"), self.tie: [n for _, n, _ in out]}
+        cols |= {n: pd.Series([r[n] for _, _, r in out], dtype=object) for n in STREAMED}
+        return pd.DataFrame(cols)
 
+    def close(self) -> None:
+        pass
+
+
+def track_stream(bursts: DataFrame, key: str = "session_id", time: str = "time", tie: str = "event_id", delay: str = "10 seconds", idle_ms: int = 3_600_000) -> DataFrame:
+    """The same over a stream of bursts, with track age and episode events.
+
+    A burst's result comes when the watermark (the newest burst less ``delay``) has passed it; bursts older than the
+    watermark are dropped. Sessions that are silent for ``idle_ms`` of event time end. Needs the RocksDB state store.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in bursts.schema}
-    schema = f"{key} {kinds[key]}, {time} {kinds[time]}, {tie} {kinds[tie]}, " + ", ".join(f"{n} {FIELDS[n][1]}" for n in STREAMED)
-    return bursts.select(key, time, tie, "bearing", "quality").groupBy(key).applyInPandasWithState(run, schema, "state string", "append", "NoTimeout")
+    schema = f"`{key}` {kinds[key]}, `{time}` {kinds[time]}, `{tie}` bigint, " + ", ".join(f"{n} {FIELDS[n][1]}" for n in STREAMED)
+    src = bursts.select(key, time, F.col(tie).cast("bigint").alias(tie), "bearing", "quality").withWatermark(time, delay)
+    return src.groupBy(key).transformWithStateInPandas(Follower(key, time, tie, idle_ms), schema, "Append", "EventTime")

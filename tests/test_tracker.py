@@ -1,4 +1,5 @@
 import json
+import time
 
 from pyspark.sql import functions as F
 
@@ -54,18 +55,34 @@ def test_batch_equals_the_step_and_the_stream(spark, small, tmp_path):
             mine = got[k, r.event_id]
             assert (mine.track_state, mine.support, mine.health, mine.candidate_count, mine.track_event) == tuple(want[n] for n in ("track_state", "support", "health", "candidate_count", "track_event"))
     assert episode_events(out).where("event = 'EPISODE_CLOSED'").count() == sum(x["event"] == "EPISODE_CLOSED" for r in got.values() for x in map(lambda e: e.asDict(), r.episodes))
-    # Four files in order of time make four micro-batches.
+    # Four files, out of order inside the watermark's delay, and a last burst that lets the watermark pass all others.
     ordered = b.withColumn("n", F.expr("row_number() over (order by time, event_id)"))
+    span = ordered.agg(((F.max(F.unix_micros("time")) - F.min(F.unix_micros("time"))) / 1e6).cast("int")).first()[0]
     n = ordered.count()
     for i in range(4):
-        ordered.where((F.col("n") > i * n // 4) & (F.col("n") <= (i + 1) * n // 4)).drop("n").coalesce(1).write.parquet(str(tmp_path / "in" / f"p{i}"))
+        mine = F.least(F.floor((F.col("n") - 1 + F.col("n") % 3 * (n // 20)) * 4 / n), F.lit(3))
+        ordered.where(mine == i).drop("n").orderBy(F.desc("event_id")).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{i}"))
+        time.sleep(1.1)  # files are read in order of their times
+    end = b.agg(F.max("time").alias("time")).select(F.lit("~end").alias("session_id"), F.expr("time + interval 30 days").alias("time"), F.lit(-1).cast(b.schema["event_id"].dataType).alias("event_id"), F.lit(1.0).alias("bearing"), F.lit("STABLE").alias("quality"))
+    end.write.parquet(str(tmp_path / "in" / "p4"))
+    time.sleep(1.1)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     stream = spark.readStream.schema(b.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-    q = track_stream(stream).writeStream.format("memory").queryName("tracked").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    seen = {(r.session_id, r.event_id): r for r in spark.table("tracked").collect()}
+
+    def run():
+        q = track_stream(stream, delay=f"{span // 4} seconds").writeStream.format("parquet").option("path", str(tmp_path / "out")).outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        q.awaitTermination()
+
+    run()
+    # A restart goes on from the state; a burst older than the watermark is dropped.
+    b.limit(1).withColumn("event_id", F.lit(-2).cast(b.schema["event_id"].dataType)).coalesce(1).write.parquet(str(tmp_path / "in" / "p5"))
+    run()
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    seen = {(r.session_id, r.event_id): r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert seen.keys() == got.keys()
     for k, r in seen.items():
-        assert (r.track_state, r.support, r.health, r.candidate, r.observation_index) == (got[k].track_state, got[k].support, got[k].health, got[k].candidate, got[k].observation_index)
+        assert (r.track_state, r.support, r.health, r.candidate, r.observation_index, r.age_s) == (got[k].track_state, got[k].support, got[k].health, got[k].candidate, got[k].observation_index, got[k].age_s)
+        assert [e.asDict() for e in r.episodes] == [e.asDict() for e in got[k].episodes]
 
 
 def test_state_is_plain_json():
