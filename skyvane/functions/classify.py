@@ -122,6 +122,12 @@ def same_setting(a: Column | str, b: Column | str) -> Column:
     return F.abs(col(a) - col(b)) < 1e-9
 
 
+def daq_failures(frame_sync: Column | str, sample_sync: Column | str, iq_sync: Column | str, overdrive: Column | str, ok: Column | str, dropped: Column | str) -> Column:
+    """Array of the receiver checks that do not hold; what is unknown does not hold."""
+    holds = {"frame_sync": col(frame_sync), "sample_delay_sync": col(sample_sync), "iq_sync": col(iq_sync), "adc_overdrive": ~col(overdrive), "daq_ok": col(ok), "dropped_frames": col(dropped) == 0}
+    return F.filter(F.array(*[F.when(~F.coalesce(c, F.lit(False)), n) for n, c in holds.items()]), lambda x: x.isNotNull())
+
+
 def beam_width(doa: Column | str) -> Column:
     """Bins at or above half of the largest."""
     top = F.array_max(col(doa)) * 0.5

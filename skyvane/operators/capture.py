@@ -103,3 +103,11 @@ def session_grid(observed: DataFrame, expected: DataFrame, keys: list[str]) -> D
     have = observed.groupBy(*keys).agg(F.count("*").alias("n"))
     both = expected.select(*keys).distinct().withColumn("__e", F.lit(1)).join(have, keys, "full")
     return both.withColumn("problem", F.when(F.col("n").isNull(), "MISSING").when(F.col("__e").isNull(), "UNPLANNED").when(F.col("n") > 1, "REPEATED")).where("problem is not null").select(*keys, "problem")
+
+
+def hash_lists_equal(listed: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """By key whether a hash list names exactly the files found: the same (path, sha256), each once on either side."""
+    side = lambda d, n: d.groupBy(*keys, "path", "sha256").agg(F.count("*").alias(n))
+    both = side(listed, "l").join(side(found, "f"), [*keys, "path", "sha256"], "full")
+    wrong = F.count_if((F.coalesce("l", F.lit(0)) != 1) | (F.coalesce("f", F.lit(0)) != 1))
+    return both.groupBy(*keys).agg(F.count("l").alias("listed"), F.count("f").alias("found"), wrong.alias("wrong")).withColumn("equal", F.col("wrong") == 0)

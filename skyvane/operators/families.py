@@ -94,3 +94,15 @@ def contiguous_edge(df: DataFrame, keys: list[str], step: Column | str, passes:
     s, p = (F.col(x) if isinstance(x, str) else x for x in (step, passes))
     fail = df.groupBy(*keys).agg(F.min(F.when(~p, s)).alias("__f"))
     return df.join(fail, keys).groupBy(*keys).agg(F.max(F.when(F.col("__f").isNull() | (s < F.col("__f")), s)).alias("edge"))
+
+
+def distinct_centres(centres: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
+    """Of each key's centres in order of rank those with no earlier kept one within the tolerance, with their place from 1.
+
+    centres: keys, rank, centre. The few centres of a key are folded inside its row.
+    """
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "centre"))), lambda x: x["centre"])
+    none = F.array().cast("array<double>")
+    kept = F.aggregate("__c", none, lambda have, x: F.when(F.exists(have, lambda y: F.abs(y - x) <= tolerance), have).otherwise(F.concat(have, F.array(x))))
+    rows = centres.withColumn("centre", F.col("centre").cast("double")).groupBy(*keys).agg(ordered.alias("__c"))
+    return rows.select(*keys, F.posexplode(kept).alias("place", "centre")).withColumn("place", F.col("place") + 1)

@@ -212,6 +212,12 @@ def principal_components(x: np.ndarray, n: int = 2) -> tuple[np.ndarray, np.ndar
     return (u * s * sign)[:, :n], (v * sign[:, None])[:n], (s**2 / (s**2).sum())[:n]
 
 
+def top_loadings(loadings: DataFrame, most: int = 5) -> DataFrame:
+    """The ``most`` features of each component with the largest absolute loading, ties by name. loadings: component, feature, loading."""
+    w = Window.partitionBy("component").orderBy(F.abs("loading").desc(), "feature")
+    return loadings.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+
+
 def isolation_scores(x: np.ndarray, trees: int = 500, sample: int = 256, seed: int = 42, of: np.ndarray | None = None) -> np.ndarray:
     """Isolation-forest anomaly scores, from 0 to 1, of the rows ``of`` (by default x) in trees grown from x; equal in
     distribution, not in value, to other libraries'. The trees depend on x and seed alone."""

@@ -38,15 +38,38 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return whole.select("path", F.posexplode("lines").alias("i", "value")).select("path", (F.col("i") + 1).alias("line_no"), "value").where(F.trim("value") != "")
 
 
-def burst_log(lines: DataFrame, line: str = "value") -> DataFrame:
-    """Bursts of a log: records with a session and a known quality; bearings within [0, 360)."""
+NUMBERS = ["frequency_mhz", "peak_power", "max_confidence", "doa_width", "median_doa_peaks", "bearing_spread", "median_confidence", "single_peak_ratio", "samples"]
+
+
+def field(name: str) -> Column:
+    """A field of the map column m, null if absent."""
+    return F.try_element_at("m", F.lit(name))
+
+
+def is_burst() -> Column:
+    """Whether the map column m has a session and a known quality."""
+    return F.coalesce((field("session_id") != "") & field("quality").isin(QUALITIES), F.lit(False))
+
+
+def line_integrity(lines: DataFrame, keys: list[str], line: str = "value") -> DataFrame:
+    """By key the lines that are neither blank nor markers, those of them that are bursts, and whether all are."""
+    body = lines.where((F.trim(line) != "") & ~F.startswith(F.col(line), F.lit("SESSION_"))).withColumn("m", lenient_map(F.col(line)))
+    out = body.groupBy(*keys).agg(F.count("*").alias("raw"), F.count_if(is_burst()).alias("parsed"))
+    return out.withColumn("complete", F.col("raw") == F.col("parsed"))
+
+
+def burst_log(lines: DataFrame, line: str = "value", drop_bad: bool = False) -> DataFrame:
+    """Bursts of a log: records with a session and a known quality; bearings within [0, 360). With ``drop_bad`` a record
+    with a field that is there but no number goes, as a report wants it; else the field is null."""
     m = lines.where(~F.startswith(F.col(line), F.lit("SESSION_"))).withColumn("m", lenient_map(F.col(line)))
-    text = lambda k: F.try_element_at("m", F.lit(k))
-    nums = ["frequency_mhz", "peak_power", "max_confidence", "doa_width", "median_doa_peaks", "bearing_spread", "median_confidence", "single_peak_ratio", "samples"]
+    if drop_bad:
+        bad = lambda n: F.coalesce(~F.upper(F.trim(field(n))).isin("", "NA", "NONE") & F.trim(field(n)).try_cast("double").isNull(), F.lit(False))
+        m = m.where(~F.exists(F.array(*map(bad, ["bearing", *NUMBERS])), lambda x: x))
+    text, nums = field, NUMBERS
     return m.select(
         text("session_id").alias("session_id"), F.try_to_timestamp(text("time")).alias("time"), F.pmod(number(text("bearing")), F.lit(360.0)).alias("bearing"),
-        *[number(text(n)).alias(n) for n in nums], text("quality").alias("quality"),
-    ).where(F.col("session_id").isNotNull() & (F.col("session_id") != "") & F.col("quality").isin(QUALITIES))
+        *[number(text(n)).alias(n) for n in nums], text("quality").alias("quality"), is_burst().alias("__burst"),
+    ).where("__burst").drop("__burst")
 
 
 def event_log(lines: DataFrame, names: list[str], line: str = "value") -> DataFrame:
@@ -63,8 +86,13 @@ EPISODE = (
 
 
 def episode_log(spark: SparkSession, path: str, session_id: str | None = None) -> DataFrame:
-    """Episode events of a JSONL file; a malformed line fails the read."""
-    df = spark.read.json(path, schema=EPISODE, mode="FAILFAST")
+    """Episode events of a JSONL file; the first malformed line fails the query with its place, a missing file has none."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(hadoop):
+        return spark.createDataFrame([], EPISODE)
+    parsed = numbered_lines(spark, path).withColumn("r", F.from_json("value", f"{EPISODE}, __bad string", {"columnNameOfCorruptRecord": "__bad"}))
+    place = F.concat(F.col("path"), F.lit(":"), F.col("line_no").cast("string"), F.lit(": no episode event"))
+    df = parsed.select(F.when(F.col("r").isNull() | F.col("r.__bad").isNotNull(), F.raise_error(place).cast(parsed.schema["r"].dataType)).otherwise(F.col("r")).alias("r")).select("r.*").drop("__bad")
     return df.where(F.col("session_id") == session_id) if session_id else df
 
 

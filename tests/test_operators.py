@@ -275,3 +275,22 @@ def test_study_scores_rows_beyond_its_sample(spark):
     assert len(first) == len(second) == 1 and first != second
     assert got[300].isolation > np.quantile([r.isolation for r in got.values()], 0.9)
     assert ml.study(rows.limit(0), "id").count() == 0 and ml.study(rows.where("id < 2"), "id").count() == 2
+
+
+def test_episode_log_names_the_place_and_takes_a_missing_file(spark, tmp_path):
+    good = '{"version": 1, "session_id": "s", "event": "EPISODE_CLOSED", "episode_id": 3, "summary": {"episode_id": 3, "max_support": 7}}'
+    (tmp_path / "a.jsonl").write_text(f"{good}\n\n{good.replace('s', 't', 0)}\n")
+    got = logs.episode_log(spark, str(tmp_path / "a.jsonl"), "s").collect()
+    assert [(r.episode_id, r.summary.max_support) for r in got] == [(3, 7)] * 2
+    assert logs.episode_log(spark, str(tmp_path / "none.jsonl")).collect() == []
+    (tmp_path / "b.jsonl").write_text(f"{good}\n{{broken\n")
+    with pytest.raises(Exception, match=r"b\.jsonl:2: no episode event"):
+        logs.episode_log(spark, str(tmp_path / "b.jsonl")).collect()
+
+
+def test_a_centre_is_kept_once(spark):
+    from skyvane.operators.families import distinct_centres
+
+    rows = [("a", 1, 10.0), ("a", 2, 55.0), ("a", 3, 70.0), ("a", 4, 121.0), ("b", 2, 0.0), ("b", 1, 50.0)]
+    got = distinct_centres(spark.createDataFrame(rows, "k string, rank int, centre double"), ["k"], 50.0)
+    assert sorted(map(tuple, got.collect())) == [("a", 1, 10.0), ("a", 2, 70.0), ("a", 3, 121.0), ("b", 1, 50.0)]
