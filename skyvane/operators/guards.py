@@ -197,6 +197,14 @@ PROPERTIES = STEADY | {"identified", "known"}
 HEDGES = frozenset({"may", "might", "could", "possibly", "potentially"})
 
 
+#: Every claim has one of these words; lines without any are not read further.
+TELLING = THINGS | HIDDEN | DIRECTION | {
+    "fingerprint", "identity", "identities", "cause", "caused", "causes", "causing", "explain", "explains", "explained", "due", "attributable", "because", "result", "results", "resulted", "environmental",
+    "accuracy", "calibration", "classification", "classes", "class", "discrimination", "discriminative", "discriminate", "discriminates", "discriminating", "separation", "vehicle", "sensor", "environment",
+}
+PLAIN = re.compile(r"[^\W_]+")
+
+
 def denied(clause: list[Token], first: int, after: int) -> bool:
     """Whether a negation governs the match: right before it, inside its last words, or as the rest of its clause."""
     before = [t.text for t in clause[:first]]
@@ -219,6 +227,8 @@ def denied(clause: list[Token], first: int, after: int) -> bool:
 def violations(text: str | None, rules: dict[str, list[tuple[Slot, ...]]] = CLAIMS) -> list[str]:
     """Names of the claims that a text makes and does not deny, clause by clause, each once a clause."""
     out = []
+    if rules is CLAIMS:
+        text = "\n".join(line for line in (text or "").split("\n") if not TELLING.isdisjoint(PLAIN.findall(line.lower())))
     for clause in split(tokens(text or ""), ".!?,;\n", CONJUNCTIONS):
         out += [name for name, rows in rules.items() if any(not denied(clause, *m) for slots in rows for m in matches(clause, slots))]
     return out

@@ -167,7 +167,10 @@ def test_partitions_equal_enumeration():
 
 def test_equal_cost_matching_counts_and_budgets(spark):
     e = a.Episode([f"{s}{i:02d}" for s in "ab" for i in range(8)], [1] * 8 + [2] * 8, [0.0] * 16)
-    assert a.solve(e, 2, True, 0.0, hypotheses=50_000)["hypotheses"] == str(40320)
+    full = a.solve(e, 2, True, 0.0)
+    assert full["state"] == "COMPLETE" and full["hypotheses"] == str(40320) and len(full["possible"]) == 64 and full["invariant"] == []
+    cut = a.solve(e, 2, True, 0.0, paths=10)  # listed only up to 2,000 partitions
+    assert cut["state"] == "QUERY_UNRESOLVED" and (cut["links"], cut["cost"], cut["hypotheses"]) == (full["links"], full["cost"], "40320") and cut["possible"] is None
     short = a.solve(e, 2, True, 0.0, states=10)
     assert short["state"] == "COMPUTATION_UNRESOLVED" and short["hypotheses"] is None
     comp = spark.createDataFrame([(1, f"c{i}", i, 100.0 + i, True) for i in range(1, 5)] + [(2, "x", 1, 5.0, False)], "episode int, candidate_id string, fragment int, frequency_hz double, eligible boolean")
@@ -259,6 +262,37 @@ def test_spectral_episode_medians(spark):
     assert got["f"].spacing_hz is None
 
 
+def test_questions_about_partitions_equal_their_listing():
+    from fractions import Fraction
+
+    rng = random.Random(11)
+    for _ in range(60):
+        n = rng.randint(3, 9)
+        e = a.Episode([f"c{i}" for i in range(n)], [rng.randint(0, 4) for _ in range(n)], [float(rng.choice([0, 20, 40, 45, 70, 90, 120])) for _ in range(n)])
+        fragments, margin = 5, rng.choice([0.0, 0.25, 1.0])
+        m, got = Fraction(margin), a.solve(e, 5, True, margin)
+        assert got == a.solve(e, 5, True, margin, listing=0)
+        invariant, possible, joint = set(), set(), [(Fraction(0), frozenset())]
+        for g in e.groups:
+            p = a.Partitions(e, g, 10**6, 10**7)
+            sets = p.listed(m, 10**6)
+            best = p.best()[1]
+            invariant |= frozenset.intersection(*[s for _, s in sets])
+            possible |= frozenset.union(*[s for _, s in sets])
+            joint = [(c + d - best, h | s) for c, h in joint for d, s in sets if c + d - best <= m + a.TOLERANCE]
+            for path in p.paths():
+                named = tuple(e.ids[i] for i in path)
+                other = p.alternative(m, path)
+                without = [s for _, s in sets if named not in s]
+                assert (other is None) == (not without) and (other is None or other in without)
+        lasting = {x for x in possible if len(x) >= a.SUPPORT and len(x) / fragments >= a.COVERAGE}
+        most = max(len(lasting & h) for _, h in joint)
+        primary = next(iter(lasting)) if len(lasting) == 1 and lasting <= invariant else None
+        status = "UNIQUE_PERSISTENT_TRACK" if primary else "MULTIPLE_PERSISTENT_TRACKS" if most > 1 else "AMBIGUOUS_ASSOCIATION" if len(joint) > 1 else "INSUFFICIENT_SUPPORT"
+        assert (got["status"], got["hypotheses"]) == (status, str(len(joint)))
+        assert got["invariant"] == sorted(map(list, invariant)) and got["possible"] == sorted(map(list, possible))
+
+
 def test_ledger_takes_no_row_without_a_key(spark):
     led = spark.createDataFrame([("a", 1)], "session_id string, v int")
     new = spark.createDataFrame([(None, 2), (None, 3), ("b", 4), ("a", 5)], led.schema)
