@@ -34,6 +34,8 @@ THRESHOLDS = (4, 6, 8, 10, 12, 15)
 ROUNDS = ((0.99, 65536), (0.99, 32768), (0.995, 16384), (0.998, 16384), (0.999, 16384), (0.999, 16384))
 ORDINARY = 1 << 21
 FOLDS = 4
+#: Of a training, which is one process.
+THREADS = 4
 
 
 class Windows:
@@ -124,12 +126,12 @@ def compressor(content: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=d, compression_params=p)
 
 
-def lengths(c: zstandard.ZstdCompressor, w: Windows, at_once: int = 100_000) -> np.ndarray:
-    """Compressed length of each window."""
+def lengths(c: zstandard.ZstdCompressor, w: Windows, threads: int = 0, at_once: int = 100_000) -> np.ndarray:
+    """Compressed length of each window. threads: of zstandard, where one process does the work of a whole training."""
     buffer, out = memoryview(w.written).cast("B"), np.zeros(len(w), np.int64)
     for s in range(0, len(w), at_once):
         places = np.stack([w.start[s : s + at_once], w.length[s : s + at_once]], axis=1).astype("<u8")
-        found = c.multi_compress_to_buffer(zstandard.BufferWithSegments(buffer, places.tobytes()))
+        found = c.multi_compress_to_buffer(zstandard.BufferWithSegments(buffer, places.tobytes()), threads=threads)
         out[s : s + len(places)] = np.fromiter(map(len, found), np.int64, len(places))
     return out
 
@@ -150,10 +152,10 @@ class Model:
     def compressors(self) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]:
         return compressor(self.ordinary), compressor(self.ordinary + self.toxic)
 
-    def distances(self, w: Windows, known: np.ndarray | None = None) -> np.ndarray:
+    def distances(self, w: Windows, known: np.ndarray | None = None, threads: int = 0) -> np.ndarray:
         """``known``: the lengths with the ordinary dictionary, if they have been measured."""
         ordinary, both = self.compressors
-        return (lengths(ordinary, w) if known is None else known) - lengths(both, w)
+        return (lengths(ordinary, w, threads) if known is None else known) - lengths(both, w, threads)
 
     def counts(self, texts: list[str]) -> np.ndarray:
         """For each text the number of windows at each threshold, and of all."""
@@ -204,14 +206,14 @@ def refined(toxic: list[Windows], plain: list[Windows], most: int) -> Iterator[b
     others = lambda lists, i: [s for k in folds if k != i for s in lists[k]]
     samples = [w.samples(most // len(folds)) for w in plain]
     ordinary = [dictionary(others(samples, i), ORDINARY) for i in folds]
-    known = [[lengths(c, w[i]) for w in (toxic, plain)] for i, c in enumerate(map(compressor, ordinary))]
+    known = [[lengths(c, w[i], THREADS) for w in (toxic, plain)] for i, c in enumerate(map(compressor, ordinary))]
     chosen = [w.samples(most // len(folds)) for w in toxic]
     for quantile, size in ROUNDS:
         yield dictionary([s for c in chosen for s in c], size)
         kept = []
         for i in folds:  # the dictionary that measures a fold has not seen it
             m = Model(ordinary[i], dictionary(others(chosen, i), size))
-            far, near = (m.distances(w[i], known[i][k]) for k, w in enumerate((toxic, plain)))
+            far, near = (m.distances(w[i], known[i][k], THREADS) for k, w in enumerate((toxic, plain)))
             kept.append(toxic[i].take(np.flatnonzero(far > np.quantile(near, quantile))).samples(most))
         chosen = kept
         if sum(map(len, chosen)) < 16:
@@ -242,9 +244,9 @@ def train(docs: list[tuple[str, int]], odds: float | None = None, most: int = 20
     ordinary, best = dictionary([s for w in folds[1] for s in w.samples(most // FOLDS)], ORDINARY), None
     rest = np.flatnonzero(turn == 0)
     w = windows([docs[i][0] for i in rest])
-    known = lengths(compressor(ordinary), w)
+    known = lengths(compressor(ordinary), w, THREADS)
     for toxic in refined(*folds, most):
-        x = design(count(w, Model(ordinary, toxic).distances(w, known), len(rest)))
+        x = design(count(w, Model(ordinary, toxic).distances(w, known, THREADS), len(rest)))
         if best is None or loss(x, y[rest]) < best[0]:
             best = loss(x, y[rest]), toxic, x
     weights = logistic(best[2], y[rest])
