@@ -58,7 +58,7 @@ SELECT session_id, max(event_id) FILTER (f IS NULL OR event_id < f) AS edge FROM
 
 def made_files(spark: SparkSession, sf: str) -> DataFrame:
     """Sample files in memory: a tone per vector, its frequency and noise taken from the vector."""
-    e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").repartition(spark.sparkContext.defaultParallelism)  # few bytes, much work
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
