@@ -127,3 +127,20 @@ def test_nearest_earlier_capture_and_history_by_brute_force(spark):
             d = sorted((abs(own - a) / sd if sd and own is not None and a is not None else float("inf"), o) for o, a in prior)[:3]
             mine = out["k", t]
             assert any(x[2] == pytest.approx(d[0][0]) if d[0][0] < float("inf") else x[2] is None for x in mine)
+
+
+def test_tail_reads_bounded_batches_from_the_last_line_end(tmp_path):
+    path = tmp_path / "log.csv"
+    path.write_bytes(b"a" * 200_000 + b"\n" + b"b\n" + b"c" * 150_000)
+    assert TailReader(str(path), False).initialOffset() == {"offset": 200_003}
+    path.write_bytes(b"".join(b"row %d\n" % i for i in range(100)) + b"long " + b"x" * 500 + b"\nend\nopen")
+    reader, at, seen, batches = TailReader(str(path), True, most=64), {"offset": 0}, [], 0
+    while True:
+        rows, after = reader.read(at)
+        rows = list(rows)
+        if after == at:
+            break
+        assert list(reader.readBetweenOffsets(at, after)) == rows
+        seen, at, batches = seen + [r for _, r in rows], after, batches + 1
+    assert seen == [f"row {i}" for i in range(100)] + ["long " + "x" * 500, "end"] and batches > 10
+    assert TailReader(str(tmp_path / "none"), False).initialOffset() == {"offset": 0}
