@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 QUALITIES = ["STABLE", "MULTIPATH", "LOW_QUALITY"]
 
@@ -151,9 +152,22 @@ def kv_text(df: DataFrame, fields: list[str]) -> DataFrame:
     return df.select(F.concat_ws(",", *[F.concat(F.lit(f"{f}="), shown(f)) for f in fields]).alias("value"))
 
 
+def in_key_order(value: Column, kind: T.DataType) -> Column:
+    """The value with the fields of its structs and the keys of its maps in order of name, at every depth."""
+    if isinstance(kind, T.StructType):
+        inner = [in_key_order(value[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)]
+        return F.when(value.isNotNull(), F.struct(*inner))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: in_key_order(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.map_from_entries(F.array_sort(F.map_entries(F.transform_values(value, lambda _, v: in_key_order(v, kind.valueType)))))
+    return value
+
+
 def canonical_jsonl(df: DataFrame) -> DataFrame:
-    """Rows as JSON objects without spaces, keys of the top level sorted; nulls are written."""
-    return df.select(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("value"))
+    """Rows as JSON objects without spaces, keys sorted at every depth; nulls are written."""
+    fields = [in_key_order(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in sorted(df.schema.fields, key=lambda f: f.name)]
+    return df.select(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value"))
 
 
 def strict_records(lines: DataFrame, line: str = "value") -> DataFrame:

@@ -144,3 +144,13 @@ def test_tail_reads_bounded_batches_from_the_last_line_end(tmp_path):
         seen, at, batches = seen + [r for _, r in rows], after, batches + 1
     assert seen == [f"row {i}" for i in range(100)] + ["long " + "x" * 500, "end"] and batches > 10
     assert TailReader(str(tmp_path / "none"), False).initialOffset() == {"offset": 0}
+
+
+def test_canonical_lines_sort_keys_at_every_depth(spark):
+    import json
+
+    schema = "b int, a struct<z:int,c:array<struct<y:string,x:int>>,m:map<string,int>>"
+    rows = [(1, (2, [("q", None), ("r", 5)], {"k": 1, "a": 2})), (None, None), (3, (None, [], {}))]
+    got = [r.value for r in logs.canonical_jsonl(spark.createDataFrame(rows, schema)).collect()]
+    assert got[0] == '{"a":{"c":[{"x":null,"y":"q"},{"x":5,"y":"r"}],"m":{"a":2,"k":1},"z":2},"b":1}' and got[1] == '{"a":null,"b":null}'
+    assert all(json.dumps(json.loads(x), sort_keys=True, separators=(",", ":")) == x for x in got)
