@@ -1,314 +1,120 @@
-"""Text guards: which claims a report or a suggested experiment makes that the data cannot support.
+"""Text guards: which statements of a report or a suggested experiment the data cannot support.
 
-A text is read as words with their places. A rule is a row of slots (``word``, ``maybe``, ``within``) that is matched
-from each word on; which words fill a slot is given by the word sets below. A match is a claim unless it is denied: a
-negation that governs it stands right before it, or "is not supported" ends its clause right after it. Clauses end at
-punctuation and at conjunctions, so a denial in one never excuses a claim in another.
+A topic is a pair of word classes: what a clause speaks of, and what it says of that. A clause is on a topic if it has a
+word of both, in any order, and is no denial. Word classes are stems, so tense and number follow from them. Everything
+is a Column: texts are lowered, cut into clauses and matched inside the JVM, and ``topics_sql`` gives the same rules to
+DuckDB.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from typing import NamedTuple
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WORD = re.compile(r"\d+(?:\.\d+)+|[^\W_]+(?:['’][^\W\d_]+)?|[.!?](?=\s|$)|[,;\n]")
 
-
-class Token(NamedTuple):
-    text: str
-    start: int
-    end: int
-
-
-def tokens(text: str) -> list[Token]:
-    """Lower-case words and marks with their places; a contraction gives its verb and ``not`` at the same place."""
-    out = []
-    for m in WORD.finditer(text):
-        w = m.group().lower().replace("’", "'")
-        verb = {"can't": "can", "won't": "will"}.get(w, w[:-3] if w.endswith("n't") else None)
-        out += [Token(x, m.start(), m.end()) for x in ([w.removesuffix("'s")] if verb is None else [verb, "not"])]
-    return out
-
-
-def split(row: list[Token], marks: str, words: frozenset[str] = frozenset()) -> list[list[Token]]:
-    """The runs of tokens between the given marks and words; other marks stay inside a run."""
-    out: list[list[Token]] = [[]]
-    for t in row:
-        if t.text in words or t.text in marks:
-            out.append([])
-        else:
-            out[-1].append(t)
-    return [r for r in out if r]
-
-
-# --- rules -----------------------------------------------------------------------------------------------------------
-Slot = Callable[[list[Token], int, int], list[int]]
-
-
-def word(*groups: frozenset[str] | str) -> Slot:
-    """One word of the groups."""
-    own = frozenset().union(*({g} if isinstance(g, str) else g for g in groups))
-    return lambda row, at, last: [at + 1] if at < len(row) and row[at].text in own else []
-
-
-def maybe(*groups: frozenset[str] | str) -> Slot:
-    one = word(*groups)
-    return lambda row, at, last: [*one(row, at, last), at]
-
-
-def within(characters: int) -> Slot:
-    """Any words, as long as no more characters than given lie between the slots on either side."""
-
-    def step(row: list[Token], at: int, last: int) -> list[int]:
-        out = []
-        while at < len(row) and row[at].start - last <= characters:
-            out.append(at)
-            at += 1
-        return out
-
-    return step
-
-
-def cluster(row: list[Token], at: int, last: int) -> list[int]:
-    """``C1``, ``cluster C1`` or ``cluster 1``."""
-    named = at < len(row) and row[at].text == "cluster"
-    n = at + named
-    return [n + 1] if n < len(row) and re.fullmatch(r"c?\d+" if named else r"c\d+", row[n].text) else []
-
-
-def either(*rows: tuple[Slot, ...]) -> Slot:
-    return lambda row, at, last: [end for slots in rows for end in ends(row, at, last, slots)]
-
-
-def ends(row: list[Token], at: int, last: int, slots: tuple[Slot, ...]) -> list[int]:
-    if not slots:
-        return [at]
-    out = []
-    for nxt in slots[0](row, at, last):
-        out += ends(row, nxt, row[nxt - 1].end if nxt > at else last, slots[1:])
-    return out
-
-
-def matches(row: list[Token], slots: tuple[Slot, ...]) -> list[tuple[int, int]]:
-    """(first word, word after) of the rule's matches, each the shortest from its start, none inside the one before."""
-    out, free = [], 0
-    for at in range(len(row)):
-        if at >= free and (found := [e for e in ends(row, at, row[at].start, slots) if e > at]):
-            out.append((at, min(found)))
-            free = min(found)
-    return out
-
-
-def many(*stems: str, forms: tuple[str, ...] = ("", "s")) -> frozenset[str]:
-    return frozenset(s + f for s in stems for f in forms)
-
-
-# The words of the rules, and the names of the claims.
-ONE_THING = frozenset({"transmitter", "device", "source", "emitter"})
-THINGS = many(*ONE_THING)
-IDENTIFY = frozenset({"identify", "identifies", "identified", "identifying"})
-SHOW = many("prove", "demonstrate", "establish", "confirm") | {"establishes"}
-CLAIM = many("support", "infer", "imply", "claim") | {"implies"}
-POINT = many("indicate", "imply", "suggest", "reflect", "demonstrate", "confirm") | {"implies"}
-TELL_APART = many("distinguish", "separate", "classify") | {"distinguishes", "distinguishable", "separating", "classifies"}
-STEADY = frozenset({"stable", "reliable", "consistent"})
-DIRECTION = frozenset({"bearing", "direction", "doa", "azimuth"})
-HIDDEN = frozenset({"interference", "multipath", "reflection", "reflections", "propagation", "scattering"})
-ARTICLES = frozenset({"a", "an", "the", "any"})
-AUXILIARY = frozenset({"does", "do", "did", "is", "are", "was", "were", "can"})
-CONJUNCTIONS = frozenset({"but", "however", "yet", "and"})
-NEAR = 60
-
-well_behaved = (word("well"), word("behaved"))
-steady = either((word(STEADY),), well_behaved)
-fingerprint = either((word("fingerprint"),), (word("rf"), word("fingerprint")))
-
-CLAIMS: dict[str, list[tuple[Slot, ...]]] = {
-    "device or fingerprint identity": [
-        (word(IDENTIFY), within(NEAR), word(ONE_THING, THINGS)),
-        (word(ONE_THING, "fingerprint"), word("identity", "identities")),
-        (either((word("this", "it", "signal", "source"),), (cluster,)), word("is", "matches", "identifies"), maybe(ARTICLES), word("device", "transmitter", "emitter")),
-        (word("same", "unique", "distinctive"), either((word("device", "transmitter"),), (fingerprint,))),
-        (word("device", "transmitter", "rf"), word("fingerprint")),
-        (word(THINGS), either((word("has", "have"), word("been")), (word("is", "was", "are", "were"),)), word("identified")),
-    ],
-    "unsupported causal explanation": [
-        (word("cause", "caused", "causes", "causing", "explain", "explains"),),
-        (word("due", "attributable"), word("to")),
-        (word("because"), word("of")),
-        (word("result", "results", "resulted"), word("from")),
-        (word("explained"), word("by")),
-        (word(POINT), within(NEAR), either((word(HIDDEN),), (word("environmental"), word("effect", "effects", "condition", "conditions")))),
-    ],
-    "directional accuracy": [
-        (word("directional", "absolute", "bearing", "doa"), word("accuracy")),
-        (word("calibration"), word("grade")),
-        (word("true", "absolute"), word("direction", "bearing", "azimuth")),
-        (word(DIRECTION), within(NEAR), either((word("calibrated", "accurate", "accuracy"),), (word("ground"), word("truth")))),
-    ],
-    "classification or separation capability": [
-        (word("device", "transmitter", "source"), word("classification")),
-        (word(THINGS, "classes"), word("are", "appear"), maybe("to"), maybe("be"), word("separable", "distinguishable", "distinct")),
-        (word("discrimination", "discriminative", "discriminate", "discriminates", "discriminating"),),
-        (word("class"), word("separation", "separating")),
-        (word(TELL_APART), within(NEAR), word(THINGS, "class", "classes")),
-        (word(SHOW), within(NEAR), word("classification", "separation")),
-    ],
-    "physical source reliability or stability": [
-        (steady, maybe("or"), maybe(STEADY, "identified"), maybe("physical", "signal"), word(THINGS)),
-        (word(THINGS), word("is", "was", "are", "were", "seems", "appears", "remains", "has", "seem", "appear", "remain", "have"), maybe("to"), maybe("be"), maybe("a"), either((steady,), (word("stability", "reliability"),))),
-        (word(ONE_THING), word("stability", "reliability")),
-        (word("stability", "reliability"), word("of"), maybe("the", "a"), maybe("physical", "signal"), word(THINGS)),
-    ],
-    "physical conclusion from a cluster": [
-        (cluster, either((word("means", "proves", "indicates", "implies", "represents", "identifies"),), (word("corresponds"), word("to"))), within(80), word(ONE_THING, "vehicle", "sensor", "interference", "environment")),
-    ],
-}
-HISTORY = {
-    "invented target/current session cluster mean": [(word("target", "current"), word("session"), word("cluster"), word("mean", "average"))],
-    "invented reflectivity variable": [(word("reflectivity", "reflective"),)],
-    "directional accuracy claim": [(word("directional"), word("accuracy"))],
-    "absolute accuracy claim": [(word("absolute"), word("accuracy"))],
-    "invented propagation cause": [(word("propagation", "reflection", "reflections", "scattering"),)],
-}
-NO_PRIOR = {"no prior historical comparison available": [(word("prior", "previous", "earlier", "nearest"), within(40), word("mean", "average", "session", "sessions", "neighbour", "neighbours", "neighbor", "neighbors", "baseline"))]}
-NO_SAME_CLUSTER = {"no prior same-cluster mean available": [(word("prior"), either((word("same"), word("cluster")), (cluster,)), word("mean", "average"))]}
-NO_PRIOR_MARK, NO_SAME_CLUSTER_MARK = "- prior formal sessions: 0", "- unavailable; no prior same-cluster sessions"
-KEPT = many("session", "run", "capture", "record", "observation", "measurement", "value", "result", "proportion", "mean", "average", "baseline", "neighbour", "neighbor", "dataset") | {"data", "evidence"}
-FIGURES = many("mean", "average", "baseline", "value", "result", "measurement", "proportion")
-EARLIER = word("prior", "previous", "previously", "earlier", "preceding", "past", "last", "nearest", "closest", "archived", "historical", "historic")
-ANY = lambda row, at, last: [at, at + 1] if at < len(row) and row[at].text not in ",;" else [at]
-PAST = [
-    (EARLIER, ANY, ANY, ANY, ANY, word(KEPT)),
-    (word(FIGURES), within(NEAR), either((word("previously", "earlier"),), (word("in"), word("the"), word("past")), (word("from"), word("history")))),
-    (word("session", "capture", "run"), word("history")),
-    (word("compare", "comparison", "contrast", "benchmark"), within(NEAR), word("history")),
-]
-MEASURES = frozenset({"measure", "record", "collect", "compare", "observe", "capture", "quantify", "evaluate", "assess", "reacquire", "repeat"})
+class Topic(NamedTuple):
+    name: str
+    of: str
+    says: str
+
+
+def words(*stems: str) -> str:
+    """A pattern for a whole word of one of the stems; ``*`` stands for any ending."""
+    return "(?:^|[^a-z0-9])(?:" + "|".join(s.replace("*", "[a-z]*").replace(" ", "[^a-z0-9]+") for s in stems) + ")(?:[^a-z0-9]|$)"
+
+
+EMITTERS = ("transmitter*", "emitter*", "device*", "source", "sources")
+UNSEEN = ("multipath", "interferen*", "reflection*", "scatter*", "propagation", "environmental", "weather")
+ANYTHING = ""
+
+#: What a text may not state. The names.
+CLAIMS = (
+    Topic("device or fingerprint identity", words(*EMITTERS, "fingerprint*"), words("identi*", "same", "unique*", "fingerprint*", "recogni*")),
+    Topic("unsupported causal explanation", ANYTHING, words("caus*", "because of", "due to", "owing to", "explain*", "attribut*", "stem* from", "result* from", "brought about")),
+    Topic("unsupported causal explanation", words(*UNSEEN), words("indicat*", "suggest*", "impl*", "reflect", "reflects", "show", "shows", "point* to", "reveal*")),
+    Topic("directional accuracy", words("bearing*", "direction*", "azimuth*", "doa"), words("accura*", "calibrated", "calibration", "true", "absolute", "ground truth", "exact*")),
+    Topic("classification or separation capability", words(*EMITTERS, "class", "classes", "types"), words("separa*", "distinguish*", "discriminat*", "classif*", "told apart", "tell* apart")),
+    Topic("physical source reliability or stability", words(*EMITTERS), words("stab*", "reliab*", "consisten*", "steady", "well behaved", "trustworth*")),
+    Topic("physical conclusion from a cluster", words("cluster", "clusters", "c[0-9]+"), words("vehicle*", "sensor*", "environment*", "interferen*", "transmitter*", "emitter*", "device*", "car", "cars")),
+)
+#: What a report may not leave open as if it were found.
+HYPOTHESES = (
+    Topic("unsupported environmental explanation", words("may", "might", "could", "possibl*", "perhaps"), words("environment*", "weather")),
+    Topic("unsupported transient explanation", words("may", "might", "could", "possibl*", "perhaps"), words("transient*", "moment*")),
+    Topic("unsupported unobserved hypothesis", words("may", "might", "could", "possibl*", "perhaps"), words("unobserved", "unknown", "unmeasured", "hidden")),
+)
+#: What cannot be said where only one session is known, and where there is no earlier one of its cluster.
+EARLIER = words("prior", "previous*", "earlier", "preceding", "past", "archived", "histor*")
+NO_HISTORY = (Topic("historical comparison unavailable", EARLIER, words("session*", "capture*", "run", "runs", "record*", "mean*", "average*", "baseline*", "value*", "compar*")),)
+NO_SAME_CLUSTER = (Topic("no prior same-cluster mean available", EARLIER, words("cluster", "c[0-9]+")),)
+INVENTED = (Topic("invented reflectivity variable", ANYTHING, words("reflectiv*")), Topic("invented propagation cause", ANYTHING, words("propagation", "scatter*")))
+
+DENIAL = words("no", "not", "never", "cannot", "neither", "nor", "none", "without", "unsupported", "unavailable", "unproven")
+ACTION = words("measur*", "record*", "collect*", "compare*", "observe*", "capture*", "count*", "repeat*", "evaluat*", "assess*")
+BREAKS = "[.!?](?:[ \t\r\n]|$)|[,;:\n]|[^a-z0-9](?:but|however|although|whereas|while|yet)[^a-z0-9]"
+#: The longest suggestion; the headings of a report, of which the first four state findings.
 LONGEST = 1500
 HEADINGS = ("Summary", "Evidence", "Interpretation", "Uncertainty", "Next controlled experiment", "Scientific boundary")
-CLAIMING = HEADINGS[:4]
-PROPERTIES = STEADY | {"identified", "known"}
-HEDGES = frozenset({"may", "might", "could", "possibly", "potentially"})
-
-
-#: Every claim has one of these words; lines without any are not read further.
-TELLING = THINGS | HIDDEN | DIRECTION | {
-    "fingerprint", "identity", "identities", "cause", "caused", "causes", "causing", "explain", "explains", "explained", "due", "attributable", "because", "result", "results", "resulted", "environmental",
-    "accuracy", "calibration", "classification", "classes", "class", "discrimination", "discriminative", "discriminate", "discriminates", "discriminating", "separation", "vehicle", "sensor", "environment",
-}
-PLAIN = re.compile(r"[^\W_]+")
-
-
-def denied(clause: list[Token], first: int, after: int) -> bool:
-    """Whether a negation governs the match: right before it, inside its last words, or as the rest of its clause."""
-    before = [t.text for t in clause[:first]]
-    if before and before[-1] in ARTICLES:
-        before.pop()
-    if before and before[-1] in SHOW | CLAIM:
-        before.pop()
-    if before[-1:] in (["cannot"], ["never"], ["no"]) or before[-1:] == ["not"] and set(before[-2:-1]) <= AUXILIARY and len(before) > 1:
-        return True
-    if before[-3:] in (["no", "evidence", "of"], ["no", "evidence", "for"]):
-        return True
-    own = [t.text for t in clause[first:after]]
-    if own[-1] in {"calibrated", "accurate"} and own[-2:-1] == ["not"] and own[-3:-2] and own[-3] in AUXILIARY:
-        return True
-    rest = [t.text for t in clause[after:]]
-    rest = rest[1:] if rest[:1] == ["inference"] else rest
-    return rest[:1] in (["is"], ["are"]) and (rest[1:] == ["unsupported"] or len(rest) == 3 and rest[1] == "not" and rest[2] in {"established", "supported", "demonstrated", "confirmed"})
-
-
-def violations(text: str | None, rules: dict[str, list[tuple[Slot, ...]]] = CLAIMS) -> list[str]:
-    """Names of the claims that a text makes and does not deny, clause by clause, each once a clause."""
-    out = []
-    if rules is CLAIMS:
-        text = "\n".join(line for line in (text or "").split("\n") if not TELLING.isdisjoint(PLAIN.findall(line.lower())))
-    for clause in split(tokens(text or ""), ".!?,;\n", CONJUNCTIONS):
-        out += [name for name, rows in rules.items() if any(not denied(clause, *m) for slots in rows for m in matches(clause, slots))]
-    return out
-
-
-def suggestion_problems(text: str | None) -> list[str]:
-    """Why a suggested experiment may not be published; no problems, no entries."""
-    t = (text or "").strip()
-    acts = any(x.text in MEASURES for x in tokens(t))
-    return ["empty"] * (not t) + ["too long"] * (len(t) > LONGEST) + ["no measurable action"] * (bool(t) and not acts) + sorted(set(violations(t)))
+FINDINGS = 4
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def single_session_problems(text: str | None) -> list[str]:
-    """``suggestion_problems`` where only the selected session is known: what earlier ones had may not be named."""
-    rows = split(tokens(text or ""), ".!?;\n")
-    named = any(matches(row, slots) for row in rows for slots in PAST)
-    return suggestion_problems(text) + ["historical comparison unavailable"] * named
+def clauses(text: Column | str) -> Column:
+    """The clauses of a text in lower case, with contracted denials spelled out; ``not only`` denies nothing."""
+    t = F.translate(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), UPPER + "’", LOWER + "'")
+    for old, new in (("can't", "cannot"), ("n't", " not"), ("not only", "also")):
+        t = F.replace(t, F.lit(old), F.lit(new))
+    return F.split(t, BREAKS)
 
 
-def history_problems(text: str | None, report: str | None = None) -> list[str]:
-    """``suggestion_problems`` where a history report is known: variables it has not, and comparisons that it rules out."""
-    lacking = NO_PRIOR if NO_PRIOR_MARK in (report or "") else NO_SAME_CLUSTER if NO_SAME_CLUSTER_MARK in (report or "") else {}
-    return suggestion_problems(text) + sorted(set(violations(text, HISTORY)) | set(violations(text, lacking)))
+def on(topic: Topic) -> Callable[[Column], Column]:
+    """Whether a clause is on the topic."""
 
+    def test(clause: Column) -> Column:
+        hit = clause.rlike(topic.says) & ~clause.rlike(DENIAL)
+        return clause.rlike(topic.of) & hit if topic.of else hit
 
-def sections(text: str) -> dict[str, str]:
-    """The text under each heading, a line of its own with or without ``**``; of repeated headings the last counts."""
-    known = {h.lower(): h for h in HEADINGS}
-    out: dict[str, list[str]] = {}
-    at = None
-    for line in text.split("\n"):
-        name = known.get(line.strip().removeprefix("**").removesuffix("**").lower())
-        if name:
-            at, out[name] = name, []
-        elif at:
-            out[at].append(line)
-    return {h: "\n".join(lines).strip() for h, lines in out.items()}
+    return test
 
 
-def negated(row: list[Token]) -> bool:
-    """Whether the words hold any negation of a statement."""
-    t = [x.text for x in row]
-    pairs = set(zip(t, t[1:], strict=False))
-    return "cannot" in t or ("no", "evidence") in pairs or any(b == "not" and a in AUXILIARY or a == "not" and b in {"established", "supported", "confirmed"} for a, b in pairs)
+def topics(text: Column | str, of: tuple[Topic, ...] = CLAIMS) -> Column:
+    """The names of the topics that some clause is on, each once, in the order of the rules. A null text has no clause."""
+    at = clauses(text)
+    return F.array_distinct(F.array_compact(F.array(*[F.when(F.exists(at, on(t)), F.lit(t.name)) for t in of])))
 
 
-ruled_out = either((word("does"), word("not")), (word("cannot"),), (word("can"), word("not")))
-hedge = either((word(HEDGES),), (ruled_out, word("rule"), word("out")))
-property_ = either((word(PROPERTIES),), well_behaved)
-subject = either((word("signal"), word("source", "sources")), (word("transmitter", "transmitters"),))
-PROPERTY_RULES = [
-    (property_, subject), (property_, word("or", "and"), property_, subject), (property_, word("or", "and"), property_, word("or", "and"), property_, subject),
-    (subject, word("is", "was", "are", "were", "appears", "seems", "appear", "seem"), maybe("to"), maybe("be"), property_),
-]
-EXPLANATIONS = {
-    "unsupported environmental explanation": (hedge, within(120), word("environmental"), word("effect", "effects", "condition", "conditions", "cause", "causes")),
-    "unsupported transient explanation": (hedge, within(120), word("transient"), word("effect", "effects")),
-    "unsupported unobserved hypothesis": (either((hedge,), (ruled_out, word("exclude", "eliminate"))), within(140), word("unobserved", "unknown", "unmeasured")),
-    "unsupported environment property": (word("clean", "stable", "consistent", "quiet", "noisy", "reliable"), maybe("signal"), word("environment")),
-}
+def flags(*pairs: tuple[Column, str]) -> Column:
+    return F.array_compact(F.array(*[F.when(when, F.lit(name)) for when, name in pairs]))
 
 
-def report_problems(text: str | None) -> list[str]:
-    """Why a report may not be published: missing headings, or claims under the headings that state findings."""
-    if not (text or "").strip():
-        return ["empty"]
-    parts = sections(text)
-    out = [f"missing heading: {h}" for h in HEADINGS if h not in parts]
-    if out:
-        return out
-    rows = split(tokens("\n".join(parts[h] for h in CLAIMING)), ".!?\n")
-    claims = [row for row in rows for slots in PROPERTY_RULES for a, _ in matches(row, slots) if not negated(row[:a])]
-    return ["unsupported source-property claim"] * bool(claims) + [name for name, slots in EXPLANATIONS.items() if any(matches(row, slots) for row in rows)]
+def suggestion_problems(text: Column | str, known: str = "history") -> Column:
+    """Why a suggested experiment may not be published, as an array. known: what it may refer to; ``session`` if only the
+    selected session is known, ``no same cluster`` if no earlier session of its cluster is."""
+    t = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    lacking = {"session": NO_HISTORY, "no same cluster": NO_SAME_CLUSTER, "history": ()}[known]
+    own = F.trim(t)
+    acts = F.exists(clauses(t), lambda c: c.rlike(ACTION))
+    return F.concat(flags((own == "", "empty"), (F.length(own) > LONGEST, "too long"), ((own != "") & ~acts, "no measurable action")), topics(t, CLAIMS + INVENTED + lacking))
 
 
-def guard_column(text: Column | str, check: Callable[[str | None], list[str]] = violations) -> Column:
-    """Array of what ``check`` finds in each text; a null text has no words."""
+def report_problems(text: Column | str) -> Column:
+    """Why a report may not be published: headings that are missing, each a line of its own with or without ``**``, or
+    topics of the part that states findings."""
+    t = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    line = lambda h: rf"(?i)(?:^|\n)[ \t]*(?:\*\*)?{h}(?:\*\*)?[ \t]*(?:\r?\n|$)"
+    missing = flags(*[(~t.rlike(line(h)), f"missing heading: {h}") for h in HEADINGS])
+    findings = F.split(t, line(HEADINGS[FINDINGS]), 2)[0]
+    return F.when(F.trim(t) == "", F.array(F.lit("empty"))).when(F.size(missing) > 0, missing).otherwise(topics(findings, CLAIMS + HYPOTHESES))
 
-    @F.pandas_udf("array<string>")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: check(None if pd.isna(t) else t))
 
-    return run(text)
+def topics_sql(text: str, of: tuple[Topic, ...] = CLAIMS) -> str:
+    """``topics`` joined by ``; `` as a DuckDB expression."""
+    q = lambda s: "'" + s.replace("'", "''") + "'"
+    t = f"replace(replace(replace(translate(coalesce({text}, ''), '{UPPER}’', '{LOWER}'''), 'can''t', 'cannot'), 'n''t', ' not'), 'not only', 'also')"
+    names = list(dict.fromkeys(x.name for x in of))
+    on_ = lambda x: f"regexp_matches(c, {q(x.says)}) AND NOT regexp_matches(c, {q(DENIAL)})" + (f" AND regexp_matches(c, {q(x.of)})" if x.of else "")
+    case = ", ".join(f"CASE WHEN len([c FOR c IN cl IF {' OR '.join(f'({on_(x)})' for x in of if x.name == n)}]) > 0 THEN {q(n)} END" for n in names)
+    return f"(SELECT array_to_string([x FOR x IN [{case}] IF x IS NOT NULL], '; ') FROM (SELECT string_split_regex({t}, {q(BREAKS)}) AS cl))"

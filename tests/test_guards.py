@@ -1,81 +1,60 @@
-"""Text guards, by family of claim, by form of denial and by kind of text."""
+"""Text guards, topic by topic, by form of denial and by kind of text."""
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from skyvane.operators import guards
+from skyvane.operators import guards as g
 from skyvane.plans.stateful_queries import GUARD_CASES
 
-IDENTITY, CAUSE, DIRECTION, CLASSES, STEADY, CLUSTER = guards.CLAIMS
+IDENTITY, CAUSE, DIRECTION, CLASSES, STEADY, CLUSTER = dict.fromkeys(t.name for t in g.CLAIMS)
 
 
-@pytest.mark.parametrize("text, claims", GUARD_CASES)
-def test_claims_and_denials(text, claims):
-    assert guards.violations(text) == claims
+def found(spark, texts, column):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    return [r[0] for r in df.orderBy("i").select(column(F.col("t"))).collect()]
 
 
-@pytest.mark.parametrize("text", [
-    "The transmitters are separable.", "It is the device.", "This demonstrates classification.", "The source appears stable.", "This is device ABC123.", "The RF fingerprint matches the same device.",
-    "Variability is due to multipath.", "Repeat because of environmental interference.", "Repeat and measure whether propagation changes explain the result.", "The evidence does not rule out interference caused the change.",
-    "Bearing is calibrated to within 0.1 degrees.", "Repeat to determine calibration-grade absolute direction.", "Compare the discriminative features.", "The source appears to be consistent.", "Repeat and prove reliability of the physical source.",
-    "C2 indicates a reliable transmitter.", "C1 corresponds to a sensor.", "This does not identify a transmitter, but the source is reliable.", "This does not only identify the transmitter.", "This cannot rule out device identity.", "A well-behaved emitter was seen.",
-])
-def test_sentences_that_claim(text):
-    assert guards.violations(text)
+MORE = [
+    ("Nobody could mistake it: one and the same emitter again.", [IDENTITY]), ("It's the same device.", [IDENTITY]), ("The sources were classified yesterday.", [CLASSES]), ("We didn't recognise a transmitter.", []),
+    ("Not only is the emitter stable, it has a fingerprint that is unique.", [IDENTITY, STEADY]), ("The power fell, but rain caused it.", [CAUSE]), ("The azimuth isn’t exact.", []), ("C12 is a car", [CLUSTER]), ("class, separable", []),
+    ("Nothing identifies devices here: nor are classes separable.", [IDENTITY]), ("DEVICE\nIDENTITY", []), ("the 3.5 dB source is steady", [STEADY]), ("identity", []), ("", []), (None, []), ("... ,,; but", []), ("x" * 100_000 + " device " + "y" * 100_000 + " same", [IDENTITY]),
+]
 
 
-@pytest.mark.parametrize("text", [
-    "This doesn't identify a transmitter.", "This doesn’t identify a transmitter.", "Transmitter identity is not supported.", "Do not infer device identity.", "No transmitter identity inference is supported.", "Bearing is not calibrated.",
-    "This does not demonstrate class separation.", "Compare burst classifications near the causeway.", "Measure the stability of burst counts across sessions.", "Record the source filename.", "Measure signal stability.", "There is no evidence of a stable source.", "", None, "...", "and, but; yet",
-])
-def test_sentences_that_do_not(text):
-    assert guards.violations(text) == []
+def test_claims_and_denials_in_both_languages(spark):
+    cases = [*GUARD_CASES, *MORE]
+    assert found(spark, [t for t, _ in cases], g.topics) == [c for _, c in cases]
+    c = duckdb.connect()
+    for t, names in cases:
+        assert c.execute(f"SELECT {g.topics_sql('t')} FROM (SELECT ?::VARCHAR AS t)", [t]).fetchone()[0] == "; ".join(names), t
 
 
-@pytest.mark.parametrize("text, problems", [
-    ("Assess the width again.", []), ("Evaluate power over ten runs.", []), ("Reacquire the track.", []), ("Think about it.", ["no measurable action"]), ("  ", ["empty"]), (None, ["empty"]),
-    ("Measurement of power.", ["no measurable action"]), ("measure " + "x" * 1493, ["too long"]), ("measure " + "x" * 1492, []), ("Repeat. The transmitter is reliable.", [STEADY]),
-])
-def test_suggestions(text, problems):
-    assert guards.suggestion_problems(text) == problems
+@pytest.mark.parametrize("known, lacks", [("session", ["historical comparison unavailable"]), ("no same cluster", []), ("history", [])])
+def test_suggestions(spark, known, lacks):
+    cases = [
+        ("Count bursts for an hour.", []), ("Wait.", ["no measurable action"]), (" ", ["empty"]), (None, ["empty"]), ("record " + "z" * 1493, []), ("record " + "z" * 1494, ["too long"]),
+        ("Measure how reflective the wall is and its reflectivity.", ["invented reflectivity variable"]), ("Observe propagation for a day.", ["invented propagation cause"]), ("Repeat it until the emitter is steady.", [STEADY]),
+        ("Compare with the archived captures.", lacks), ("Record without a previous session.", []),
+    ]
+    assert found(spark, [t for t, _ in cases], lambda t: g.suggestion_problems(t, known)) == [p for _, p in cases]
 
 
-def test_what_a_single_session_may_not_name():
-    lacking = ["historical comparison unavailable"]
-    for text in ("Repeat and compare with the previous session.", "Compare to the nearest archived formal capture.", "Compare means from history.", "Measure the run history.", "Benchmark against history and repeat.", "Compare values that were seen previously."):
-        assert guards.single_session_problems(text)[-1:] == lacking, text
-    for text in ("Repeat the session and compare both halves.", "Measure the last bearing.", "Record a baseline for future sessions.", "Repeat previous, and record data."):
-        assert guards.single_session_problems(text) == [], text
+def test_same_cluster(spark):
+    text = ["Compare it to the earlier mean of cluster C1."]
+    assert found(spark, text, lambda t: g.suggestion_problems(t, "no same cluster")) == [["no prior same-cluster mean available"]]
+    assert found(spark, text, g.suggestion_problems) == [[]]
 
 
-def test_what_a_history_report_rules_out():
-    none, some = "x\n- prior formal sessions: 0\n", "- prior formal sessions: 2\n- unavailable; no prior same-cluster sessions"
-    far = "Repeat and compare with the prior C1 mean."
-    assert guards.history_problems(far) == []
-    assert guards.history_problems(far, none) == ["no prior historical comparison available"] and guards.history_problems(far, some) == ["no prior same-cluster mean available"]
-    assert guards.history_problems("Repeat and compare with the nearest prior session.", some) == [] != guards.history_problems("Repeat and compare with the nearest session.", none)
-    assert guards.history_problems("Measure the target session's cluster mean and reflectivity.") == ["invented reflectivity variable", "invented target/current session cluster mean"]
-    assert "invented propagation cause" in guards.history_problems("Measure reflections.") and guards.history_problems("Measure width. This does not establish directional accuracy.") == []
-
-
-def report(uncertainty, experiment="Repeat the controlled session."):
-    parts = {"Summary": "A coherent session.", "Evidence": "10/11 bursts were STABLE.", "Interpretation": "It is consistent with the training range.", "Uncertainty": uncertainty, "Next controlled experiment": experiment, "Scientific boundary": "This does not establish identity or environmental conditions."}
+def report(uncertain, then="Count bursts again next week."):
+    parts = dict(zip(g.HEADINGS, ("Twelve bursts were met.", "Ten of twelve had one peak.", "Their width is typical.", uncertain, then, "Nothing is said of emitters."), strict=True))
     return "\n".join(f"**{h}**\n{t}\n" for h, t in parts.items())
 
 
-@pytest.mark.parametrize("uncertainty, problems", [
-    ("No transmitter identity inference is supported.", []), ("The evidence does not establish an identified signal source.", []), ("The evidence does not confirm the presence of a reliable or identified signal source.", []),
-    ("The evidence confirms a reliable signal source.", ["unsupported source-property claim"]), ("The evidence confirms a reliable or identified signal source.", ["unsupported source-property claim"]), ("The signal source appears to be stable.", ["unsupported source-property claim"]),
-    ("The evidence does not rule out environmental effects.", ["unsupported environmental explanation"]), ("There may be transient effects.", ["unsupported transient explanation"]),
-    ("The status does not eliminate the possibility of unobserved variations.", ["unsupported unobserved hypothesis"]), ("It could be unmeasured.", ["unsupported unobserved hypothesis"]),
-    ("The observations suggest a clean and stable signal environment.", ["unsupported environment property"]),
-])
-def test_reports(uncertainty, problems):
-    assert guards.report_problems(report(uncertainty)) == problems
-
-
-def test_report_headings():
-    free = "Repeat with a known transmitter while controlling environmental conditions that may be unknown."
-    assert guards.report_problems(report("None.", free)) == []
-    assert guards.report_problems(report("None.").replace("**Evidence**", "Evidence:")) == ["missing heading: Evidence"]
-    assert guards.report_problems("") == guards.report_problems(None) == ["empty"]
-    assert guards.report_problems(report("None.").replace("**", "").upper()) == []
+def test_reports(spark):
+    cases = [
+        (report("The width varies."), []), (report("One source is reliable."), [STEADY]), (report("It may be an environmental matter."), ["unsupported environmental explanation"]), (report("Perhaps it was a transient."), ["unsupported transient explanation"]),
+        (report("There could be unknown bursts."), ["unsupported unobserved hypothesis"]), (report("No transmitter was recognised."), []), (report("None.", "An unknown source might be stable."), []),
+        (report("None.").replace("**", "").upper(), []), (report("None.").replace("**Evidence**", "Evidence so far"), ["missing heading: Evidence"]), ("", ["empty"]), (None, ["empty"]), ("Summary", [f"missing heading: {h}" for h in g.HEADINGS[1:]]),
+    ]
+    assert found(spark, [t for t, _ in cases], g.report_problems) == [p for _, p in cases]
