@@ -6,23 +6,27 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def with_instant(rows: DataFrame) -> DataFrame:
+    """Rows of the events table with ``at``: their wall-clock ts as the same instant in UTC, whatever the session's zone."""
+    return rows.withColumn("at", F.convert_timezone(F.lit("UTC"), F.current_timezone(), "ts").cast("timestamp"))
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table with ``at``: its wall-clock ts as the same instant in UTC, whatever the session's zone."""
-    return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("at", F.convert_timezone(F.lit("UTC"), F.current_timezone(), "ts").cast("timestamp"))
+    return with_instant(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
 def as_double(c: Column) -> Column:
     return c.cast("double")
 
 
-def bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def burst_rows(rows: DataFrame) -> DataFrame:
     """events read as bursts: one session per user, bearings around a centre that moves with the day of the month."""
     e, u = F.col("event_id"), F.col("user_id")
     jitter = F.when(u % 7 == 0, e % 23 - 11).otherwise(e % 5 - 2)
     centre = 37 * u + 140 * F.floor(F.day("ts") / 10)
     kind = lambda pairs, rest: F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in pairs.items()], F.lit(rest))
     peak = F.col("value") / 10 - 50
-    return events(spark, sf_dir).select(
+    return rows.select(
         F.concat(F.lit("S"), u).alias("session_id"), F.col("at").alias("time"), "event_id",
         kind({"view": 433.05, "click": 433.42, "purchase": 433.92, "signup": 434.3}, 434.75).alias("frequency_mhz"),
         as_double(F.pmod(centre + jitter, F.lit(360))).alias("bearing"), as_double(peak).alias("peak_power"),
@@ -33,23 +37,30 @@ def bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return burst_rows(events(spark, sf_dir))
+
+
 TRACK_EVENTS = ["TRACK_ACQUIRED", "TRACK_REACQUIRED", "TRACK_SHIFT_CONFIRMED", "TRACK_DEGRADED", "TRACK_LOST", "TRACK_RECOVERED"]
 IGNORED_EVENTS = ["TRACK_SHIFT_DETECTED", "TRACK_VARIABLE"]
 
 
-def track_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def track_rows(rows: DataFrame) -> DataFrame:
     names = F.array(*map(F.lit, TRACK_EVENTS + IGNORED_EVENTS))
-    e = events(spark, sf_dir)
     kind = F.when(F.col("event_type") == "signup", "T").otherwise("S")  # sign-ups come from sessions without bursts
-    return e.select(F.concat(kind, "user_id").alias("session_id"), F.col("at").alias("time"), "event_id", F.element_at(names, (F.col("event_id") % 8 + 1).cast("int")).alias("event"))
+    return rows.select(F.concat(kind, "user_id").alias("session_id"), F.col("at").alias("time"), "event_id", F.element_at(names, (F.col("event_id") % 8 + 1).cast("int")).alias("event"))
 
 
-def episode_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, k = events(spark, sf_dir), F.col("event_id")
+def track_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return track_rows(events(spark, sf_dir))
+
+
+def episode_rows(rows: DataFrame) -> DataFrame:
+    k = F.col("event_id")
     kind = F.when(F.col("event_type") == "error", "E").otherwise("S")  # errors come from sessions without bursts
     turn = k % 4
     closed = turn >= 2
-    return e.select(
+    return rows.select(
         F.concat(kind, "user_id").alias("session_id"), F.col("at").alias("time"), "event_id",
         F.when(closed, "EPISODE_CLOSED").otherwise("EPISODE_STARTED").alias("event"), (k % 7 + 1).cast("int").alias("episode_id"),
         F.when(closed, F.when(turn == 2, "SHIFT_CONFIRMED").otherwise("TRACK_LOST")).alias("reason"),
@@ -57,6 +68,10 @@ def episode_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def episode_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return episode_rows(events(spark, sf_dir))
+
+
 #: The same three tables for DuckDB, as common table expressions.
 BURSTS_SQL = """
 bursts AS (
