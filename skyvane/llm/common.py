@@ -32,6 +32,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh(written: DataFrame) -> DataFrame:
+    """A written frame whose size estimate starts anew. A checkpoint keeps its plan's estimate, those of joins are products,
+    and in a loop they get millions of digits, which planning then multiplies."""
+    spark = written.sparkSession
+    return DataFrame(spark._jsparkSession.createDataFrame(written._jdf.javaRDD(), written._jdf.schema()), spark)
+
+
 def held_out(doc_id: Column | str) -> Column:
     """True where crc32(doc_id as text) mod 5 is 0. A null id is neither held out nor trained on."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -18,7 +18,7 @@ def _stars(edges: DataFrame) -> DataFrame:
     least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
     small = large.join(least, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
     small = small.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
-    return cut(small.where("u <> v").distinct())
+    return fresh(cut(small.where("u <> v").distinct()))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -29,7 +29,7 @@ def components(edges: DataFrame) -> DataFrame:
     to the driver.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and u <> v")
-    e = cut(e.distinct())
+    e = fresh(cut(e.distinct()))
     mark = lambda d: tuple(d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     state = mark(e)
     while state[0]:

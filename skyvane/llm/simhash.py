@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, map_texts, table
+from .common import cut, fresh, map_texts, table
 from .components import components
 
 
@@ -180,24 +180,48 @@ def nearest_tree(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]
     return parent[at], at
 
 
-def linked(fp: np.ndarray, distance: int, tree=forest) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect what links connect in a bucket: the links themselves while they are few, else a forest."""
+def linked(fp: np.ndarray, distance: int, tree=forest) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Edges that connect what links connect in a bucket, and whether these are all links: all while they are few, else a forest."""
     n = fp.shape[1]
-    if n > 512:
-        return tree(fp, distance)
-    i, j = np.nonzero(np.triu(apart(fp[:, :, None], fp[:, None, :]) <= distance, 1))
-    return (i, j) if len(i) <= 2 * n else tree(fp, distance)
+    if n <= 512:
+        i, j = np.nonzero(np.triu(apart(fp[:, :, None], fp[:, None, :]) <= distance, 1))
+        if len(i) <= 2 * n:
+            return i, j, True
+    return *tree(fp, distance), False
 
 
-def bucket_links(batches: Iterator[pa.RecordBatch], distance: int, similar: bool) -> Iterator[pa.RecordBatch]:
+def strange(fp: np.ndarray, group: np.ndarray, distance: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links (indices) between rows of different groups, of each row its ``most`` nearest, and the rows that have more."""
+    n = fp.shape[1]
+    a, b, more = [], [], np.zeros(n, bool)
+    for at in range(0, n, 256):
+        rows = slice(at, at + 256)
+        d = sum(np.bitwise_count(w[rows, None] ^ w[None, :]).astype(np.int16) for w in fp)
+        d[group[rows, None] == group[None, :]] = 1 << 14
+        near = d <= distance
+        many = near.sum(axis=1) > most
+        for i in np.flatnonzero(many):
+            near[i] = False
+            near[i, np.argsort(d[i], kind="stable")[:most]] = True
+        more[rows] = many
+        i, j = np.nonzero(near)
+        a.append(i + at)
+        b.append(j)
+    return np.concatenate(a), np.concatenate(b), np.flatnonzero(more)
+
+
+def bucket_links(batches: Iterator[pa.RecordBatch], distance: int, similar: bool, most: int = 0) -> Iterator[pa.RecordBatch]:
     """Links of all buckets in a partition sorted by (sig, pair); the last bucket of a batch waits for the next batch.
 
     Columns are sig, pair, the words, and for ``similar`` the node before the words, where links are given with their
-    distance; else the first word is the node."""
+    distance; else the first word is the node. With ``most`` the node's group stands before the words, too, and only
+    links between groups are given, of a node its ``most`` nearest in a bucket. A node that has further links is given
+    as linked to itself, with distance -1."""
     held: list[list[np.ndarray]] = []
 
     def links(cols: list[np.ndarray]) -> pa.RecordBatch:
-        sig, pair, node, fp = cols[0], cols[1], cols[2].view(np.uint64), np.stack(cols[3 if similar else 2 :]).view(np.uint64)
+        sig, pair, node, fp = cols[0], cols[1], cols[2].view(np.uint64), np.stack(cols[4 if most else 3 if similar else 2 :]).view(np.uint64)
+        group, more = cols[3] if most else None, [np.zeros(0, np.int64)]
         heads = np.flatnonzero(np.r_[True, (sig[1:] != sig[:-1]) | (pair[1:] != pair[:-1])])
         sizes = np.diff(np.r_[heads, len(sig)])
         run = np.repeat(np.arange(len(heads)), sizes)
@@ -206,18 +230,28 @@ def bucket_links(batches: Iterator[pa.RecordBatch], distance: int, similar: bool
         for lag in range(1, min(8, int(sizes.max(initial=1)))):
             i = np.flatnonzero((run[lag:] == run[:-lag]) & few[lag:])
             i = i[apart(fp[:, i], fp[:, i + lag]) <= distance]
+            i = i[group[i] != group[i + lag]] if most else i
             a.append(i)
             b.append(i + lag)
         for h in np.flatnonzero(sizes > 8):
-            x, y = linked(fp[:, heads[h] : heads[h] + sizes[h]], distance, nearest_tree if similar else forest)
+            mine = slice(heads[h], heads[h] + sizes[h])
+            if most:
+                x, y, further = strange(fp[:, mine], group[mine], distance, most)
+            else:
+                x, y, whole = linked(fp[:, mine], distance, nearest_tree if similar else forest)
+                further = x[:0] if whole else np.unique(np.concatenate([x, y]))
             a.append(x + heads[h])
             b.append(y + heads[h])
+            more.append(further + heads[h])
         a, b = np.concatenate(a), np.concatenate(b)
         pairs = np.stack([node[a], node[b]], axis=1).view(np.int64)
         pairs.sort(axis=1)
         if similar:
             pairs = np.c_[pairs, apart(fp[:, a], fp[:, b])]
         pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+        if similar:
+            thin = np.unique(node[np.concatenate(more)]).view(np.int64)
+            pairs = np.concatenate([pairs, np.stack([thin, thin, np.full(len(thin), -1)], axis=1)])
         return pa.RecordBatch.from_arrays([pa.array(c) for c in pairs.T.astype(np.int64)], names=["a", "b", "d"][: pairs.shape[1]])
 
     for batch in batches:
@@ -237,11 +271,12 @@ def bucket_links(batches: Iterator[pa.RecordBatch], distance: int, similar: bool
         yield links([np.concatenate(c) for c in zip(*held, strict=True)])
 
 
-def fingerprint_links(fps: DataFrame, cut_: Cut, block: int = 4096) -> DataFrame:
+def fingerprint_links(fps: DataFrame, cut_: Cut, block: int = 4096, most: int = 0) -> DataFrame:
     """(a, b) first words of fingerprints: links that connect the same components as all pairs that the cut meets within
-    its distance. For a cut with a similarity a and b are nodes (column node of fps), and d is the distance of the pair."""
+    its distance. For a cut with a similarity a and b are nodes (column node of fps), and d is the distance of the pair,
+    or -1 at a node alone that has further links; with ``most`` links are between groups (column root), see ``bucket_links``."""
     similar, parts = cut_.similarity is not None, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cols = ["node"] * similar + cut_.names
+    cols = ["node"] * similar + ["root"] * (most > 0) + cut_.names
     fps = fps.select(*cols).repartition(parts)  # what was written may be few files, and each row becomes many
     sig = fps.select(*cols, F.explode(signatures(cut_)).alias("sig"))
     # A variant's bucket is the union of two exact segment values. Of a bucket larger than a block one of them has over
@@ -260,7 +295,7 @@ def fingerprint_links(fps: DataFrame, cut_: Cut, block: int = 4096) -> DataFrame
         dealt = sig.join(large, "sig", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("mine", mine).select("sig", F.explode(pairs).alias("pair"), *cols)
     ordered = dealt.repartition(parts, "sig", "pair").sortWithinPartitions("sig", "pair")
     distance = cut_.distance
-    return ordered.mapInArrow(lambda it: bucket_links(it, distance, similar), "a bigint, b bigint" + ", d bigint" * similar)
+    return ordered.mapInArrow(lambda it: bucket_links(it, distance, similar, most), "a bigint, b bigint" + ", d bigint" * similar)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -284,13 +319,17 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return met.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def similar_groups(docs: DataFrame, fps: DataFrame, cut_: Cut, shingle: int, block: int, text: str) -> DataFrame:
+def similar_groups(docs: DataFrame, fps: DataFrame, cut_: Cut, shingle: int, block: int, text: str, most: int = 8) -> DataFrame:
     """(node, root) of the nodes (distinct shingle sets) in groups that verified links connect.
 
-    Of the proposed pairs each node's nearest is compared first; then those that these links have not connected. The text
-    of one document of each proposed node moves once to make its set, and a set moves to the pairs that need it.
+    Of the proposed pairs each node's nearest is compared first; then those that these links have not connected. In
+    buckets with very many proposals only a spanning forest of them was made. A group with a proposal that was refused
+    may have lost links there, so its nodes of such buckets are asked again, for their ``most`` nearest nodes of other
+    groups, then for eight times as many, until none has further ones: then every pair that meets is linked, refused,
+    or inside one group. The text of a proposed node moves once to make its set, and a set to the pairs that need it.
     """
-    pairs = cut(fingerprint_links(fps, cut_, block).distinct())
+    proposed = cut(fingerprint_links(fps, cut_, block).distinct())
+    pairs, thinned = proposed.where("d >= 0"), proposed.where("d < 0").select(F.col("a").alias("node"))
     ends = pairs.select(F.col("a").alias("node"), F.col("b").alias("other"), "d").unionAll(pairs.select("b", "a", "d"))
     nearest = cut(ends.groupBy("node").agg(F.min(F.struct("d", "other")).alias("n")).select("node", "n.other"))
     texts = docs.select(F.xxhash64(F.coalesce(text, F.lit(""))).alias("__key"), F.coalesce(text, F.lit("")).alias("text"))
@@ -302,14 +341,35 @@ def similar_groups(docs: DataFrame, fps: DataFrame, cut_: Cut, shingle: int, blo
     # Pairs whose ends have one least neighbour are connected by now; the others are compared, too.
     both = links.unionAll(links.select("b", "a"))
     star = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
-    side = lambda c: star.select(F.col("a").alias(c), F.col("m").alias(f"least_{c}"))
-    rest = pairs.join(first, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
-    rest = cut(rest.where(F.coalesce("least_a", "a") != F.coalesce("least_b", "b")).select("a", "b"))
-    if rest.isEmpty():
-        return components(links)
-    needed = small(cut(rest.select(F.col("a").alias("node")).unionAll(rest.select("b")).distinct()))
-    more = verified(rest, sets.join(needed, "node", "left_semi"), cut_.similarity)
-    return components(links.unionAll(more))
+    rest = cut(pairs.join(first, ["a", "b"], "left_anti").select("a", "b").transform(lambda d: across(d, star.withColumnRenamed("a", "node"), "m")))
+    links = links.unionAll(compared(rest, sets, cut_.similarity))
+    tried, roots = pairs.select("a", "b"), cut(components(links))
+    if thinned.isEmpty():
+        return roots
+    refused = across(tried, roots, "root", keep=True)
+    refused = cut(refused.select(F.explode(F.array("root_a", "root_b")).alias("root")).distinct())
+    named = lambda nodes: nodes.distinct().join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    asked = cut(named(thinned).join(refused, "root", "left_semi"))
+    while not asked.isEmpty():
+        again = cut(fingerprint_links(fps.join(small(asked), "node"), cut_, block, most).distinct())
+        new = fresh(cut(again.where("d >= 0").select("a", "b").join(tried, ["a", "b"], "left_anti")))
+        links, tried, most = links.unionAll(compared(new, sets, cut_.similarity)), tried.unionAll(new), 8 * most
+        roots = fresh(cut(components(links)))
+        asked = fresh(cut(named(again.where("d < 0").select(F.col("a").alias("node")))))
+    return roots
+
+
+def across(pairs: DataFrame, groups: DataFrame, root: str, keep: bool = False) -> DataFrame:
+    """The pairs (a, b) whose ends are in different groups (node, root); a node without one is a group of its own."""
+    side = lambda c: groups.select(F.col("node").alias(c), F.col(root).alias(f"root_{c}"))
+    out = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").withColumns({f"root_{c}": F.coalesce(f"root_{c}", c) for c in "ab"})
+    return out.where("root_a <> root_b").select("a", "b", *["root_a", "root_b"] * keep)
+
+
+def compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``verified`` for written pairs, moving only the sets that they need."""
+    needed = small(cut(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()))
+    return fresh(cut(verified(pairs, sets.join(needed, "node", "left_semi"), similarity)))
 
 
 def small(written: DataFrame, most: int = 500_000) -> DataFrame:

@@ -159,3 +159,42 @@ def test_groups_are_those_of_the_exact_similarity(spark):
     for block in (4096, 16):
         got = {r.doc_id: r.component_id for r in near_duplicates(docs, cut_=similar_cut(0.8), shingle=5, block=block).collect()}
         assert got == {i: find(i) for i in range(len(texts))}
+
+
+def family(rng, n, words=200, changed=(2, 3), mark=""):
+    """Texts from one template with some words replaced: similarities lie on both sides of 0.8."""
+    base = [f"{mark}w{rng.randrange(10**6)}" for _ in range(words)]
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for at in rng.sample(range(words), rng.choice(changed)):
+            w[at] = f"x{rng.randrange(10**9)}"
+        out.append(" ".join(w))
+    return out
+
+
+def similar_components(texts, similarity=0.8, k=5):
+    sets = [{tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} for w in map(str.split, texts)]
+    number = {s: i for i, s in enumerate(dict.fromkeys(x for s in sets for x in s))}
+    m = np.zeros((len(sets), len(number)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, [number[x] for x in s]] = 1
+    both, size = m @ m.T, m.sum(axis=1)
+    near = both >= similarity * (size[:, None] + size[None, :] - both)
+    root = np.arange(len(sets))
+    while True:
+        low = np.array([root[near[i]].min() for i in range(len(sets))])
+        if (low == root).all():
+            return root, int(np.triu(near, 1).sum())
+        root = low
+
+
+def test_families_of_templates_lose_no_link(spark):
+    """Three families whose pairs are mostly just below the similarity, so that most proposals are refused."""
+    rng = random.Random(17)
+    texts = family(rng, 10, mark="a") + family(rng, 200, changed=(3,), mark="b") + family(rng, 80, changed=(3, 4), mark="c")
+    want, pairs = similar_components(texts)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = near_duplicates(docs, cut_=similar_cut(0.8, docs.count()), shingle=5).select("doc_id", "component_id").collect()
+    assert pairs > 150 and len(set(want)) > 20, (pairs, len(set(want)))
+    assert [r.component_id for r in sorted(got)] == want.tolist()
