@@ -8,7 +8,10 @@ DuckDB.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from functools import reduce
+from operator import and_, or_
 from typing import NamedTuple
 
 from pyspark.sql import Column
@@ -21,9 +24,17 @@ class Topic(NamedTuple):
     says: str
 
 
-def words(*stems: str) -> str:
-    """A pattern for a whole word of one of the stems; ``*`` stands for any ending."""
-    return "(?:^|[^a-z0-9])(?:" + "|".join(s.replace("*", "[a-z]*").replace(" ", "[^a-z0-9]+") for s in stems) + ")(?:[^a-z0-9]|$)"
+class Words(str):
+    """A pattern for a whole word of one of the stems, and the letters that each begins with."""
+
+    starts: tuple[str, ...]
+
+
+def words(*stems: str) -> Words:
+    """Stems may have several words; ``*`` stands for any ending."""
+    out = Words("(?:^|[^a-z0-9])(?:" + "|".join(s.replace("*", "[a-z]*").replace(" ", "[^a-z0-9]+") for s in stems) + ")(?:[^a-z0-9]|$)")
+    out.starts = tuple(sorted({re.match("[a-z]+", s)[0] for s in stems}))
+    return out
 
 
 EMITTERS = ("transmitter*", "emitter*", "device*", "source", "sources")
@@ -80,10 +91,18 @@ def on(topic: Topic) -> Callable[[Column], Column]:
     return test
 
 
+def may_be(topic: Topic, text: Column) -> Column:
+    """False only for texts without the first letters of any word of the topic, found by plain search: most texts end here."""
+    low = F.lower(text)
+    has = [reduce(or_, [F.contains(low, F.lit(s)) for s in w.starts]) for w in (topic.says, topic.of) if w]
+    return F.coalesce(reduce(and_, has), F.lit(False))
+
+
 def topics(text: Column | str, of: tuple[Topic, ...] = CLAIMS) -> Column:
     """The names of the topics that some clause is on, each once, in the order of the rules. A null text has no clause."""
-    at = clauses(text)
-    return F.array_distinct(F.array_compact(F.array(*[F.when(F.exists(at, on(t)), F.lit(t.name)) for t in of])))
+    own = F.col(text) if isinstance(text, str) else text
+    at = clauses(own)
+    return F.array_distinct(F.array_compact(F.array(*[F.when(may_be(t, own), F.when(F.exists(at, on(t)), F.lit(t.name))) for t in of])))
 
 
 def flags(*pairs: tuple[Column, str]) -> Column:
