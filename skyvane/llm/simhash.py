@@ -190,38 +190,17 @@ def linked(fp: np.ndarray, distance: int, tree=forest) -> tuple[np.ndarray, np.n
     return *tree(fp, distance), False
 
 
-def strange(fp: np.ndarray, group: np.ndarray, distance: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links (indices) between rows of different groups, of each row its ``most`` nearest, and the rows that have more."""
-    n = fp.shape[1]
-    a, b, more = [], [], np.zeros(n, bool)
-    for at in range(0, n, 256):
-        rows = slice(at, at + 256)
-        d = sum(np.bitwise_count(w[rows, None] ^ w[None, :]).astype(np.int16) for w in fp)
-        d[group[rows, None] == group[None, :]] = 1 << 14
-        near = d <= distance
-        many = near.sum(axis=1) > most
-        for i in np.flatnonzero(many):
-            near[i] = False
-            near[i, np.argsort(d[i], kind="stable")[:most]] = True
-        more[rows] = many
-        i, j = np.nonzero(near)
-        a.append(i + at)
-        b.append(j)
-    return np.concatenate(a), np.concatenate(b), np.flatnonzero(more)
-
-
-def bucket_links(batches: Iterator[pa.RecordBatch], distance: int, similar: bool, most: int = 0) -> Iterator[pa.RecordBatch]:
+def bucket_links(batches: Iterator[pa.RecordBatch], distance: int, similar: bool) -> Iterator[pa.RecordBatch]:
     """Links of all buckets in a partition sorted by (sig, pair); the last bucket of a batch waits for the next batch.
 
     Columns are sig, pair, the words, and for ``similar`` the node before the words, where links are given with their
-    distance; else the first word is the node. With ``most`` the node's group stands before the words, too, and only
-    links between groups are given, of a node its ``most`` nearest in a bucket. A node that has further links is given
-    as linked to itself, with distance -1."""
+    distance, and a node of a bucket of which only a forest is given as linked to itself, with distance -1; else the
+    first word is the node."""
     held: list[list[np.ndarray]] = []
 
     def links(cols: list[np.ndarray]) -> pa.RecordBatch:
-        sig, pair, node, fp = cols[0], cols[1], cols[2].view(np.uint64), np.stack(cols[4 if most else 3 if similar else 2 :]).view(np.uint64)
-        group, more = cols[3] if most else None, [np.zeros(0, np.int64)]
+        sig, pair, node, fp = cols[0], cols[1], cols[2].view(np.uint64), np.stack(cols[3 if similar else 2 :]).view(np.uint64)
+        more = [np.zeros(0, np.int64)]
         heads = np.flatnonzero(np.r_[True, (sig[1:] != sig[:-1]) | (pair[1:] != pair[:-1])])
         sizes = np.diff(np.r_[heads, len(sig)])
         run = np.repeat(np.arange(len(heads)), sizes)
@@ -230,19 +209,14 @@ def bucket_links(batches: Iterator[pa.RecordBatch], distance: int, similar: bool
         for lag in range(1, min(8, int(sizes.max(initial=1)))):
             i = np.flatnonzero((run[lag:] == run[:-lag]) & few[lag:])
             i = i[apart(fp[:, i], fp[:, i + lag]) <= distance]
-            i = i[group[i] != group[i + lag]] if most else i
             a.append(i)
             b.append(i + lag)
         for h in np.flatnonzero(sizes > 8):
-            mine = slice(heads[h], heads[h] + sizes[h])
-            if most:
-                x, y, further = strange(fp[:, mine], group[mine], distance, most)
-            else:
-                x, y, whole = linked(fp[:, mine], distance, nearest_tree if similar else forest)
-                further = x[:0] if whole else np.unique(np.concatenate([x, y]))
+            x, y, whole = linked(fp[:, heads[h] : heads[h] + sizes[h]], distance, nearest_tree if similar else forest)
             a.append(x + heads[h])
             b.append(y + heads[h])
-            more.append(further + heads[h])
+            if not whole:
+                more.append(np.unique(np.concatenate([x, y])) + heads[h])
         a, b = np.concatenate(a), np.concatenate(b)
         pairs = np.stack([node[a], node[b]], axis=1).view(np.int64)
         pairs.sort(axis=1)
@@ -271,12 +245,12 @@ def bucket_links(batches: Iterator[pa.RecordBatch], distance: int, similar: bool
         yield links([np.concatenate(c) for c in zip(*held, strict=True)])
 
 
-def fingerprint_links(fps: DataFrame, cut_: Cut, block: int = 4096, most: int = 0) -> DataFrame:
+def fingerprint_links(fps: DataFrame, cut_: Cut, block: int = 4096) -> DataFrame:
     """(a, b) first words of fingerprints: links that connect the same components as all pairs that the cut meets within
     its distance. For a cut with a similarity a and b are nodes (column node of fps), and d is the distance of the pair,
-    or -1 at a node alone that has further links; with ``most`` links are between groups (column root), see ``bucket_links``."""
+    or -1 at a node alone that may have further ones, see ``bucket_links``."""
     similar, parts = cut_.similarity is not None, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cols = ["node"] * similar + ["root"] * (most > 0) + cut_.names
+    cols = ["node"] * similar + cut_.names
     fps = fps.select(*cols).repartition(parts)  # what was written may be few files, and each row becomes many
     sig = fps.select(*cols, F.explode(signatures(cut_)).alias("sig"))
     # A variant's bucket is the union of two exact segment values. Of a bucket larger than a block one of them has over
@@ -295,7 +269,7 @@ def fingerprint_links(fps: DataFrame, cut_: Cut, block: int = 4096, most: int =
         dealt = sig.join(large, "sig", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("mine", mine).select("sig", F.explode(pairs).alias("pair"), *cols)
     ordered = dealt.repartition(parts, "sig", "pair").sortWithinPartitions("sig", "pair")
     distance = cut_.distance
-    return ordered.mapInArrow(lambda it: bucket_links(it, distance, similar, most), "a bigint, b bigint" + ", d bigint" * similar)
+    return ordered.mapInArrow(lambda it: bucket_links(it, distance, similar), "a bigint, b bigint" + ", d bigint" * similar)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -319,14 +293,14 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return met.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def similar_groups(docs: DataFrame, fps: DataFrame, cut_: Cut, shingle: int, block: int, text: str, most: int = 8) -> DataFrame:
+def similar_groups(docs: DataFrame, fps: DataFrame, cut_: Cut, shingle: int, block: int, text: str) -> DataFrame:
     """(node, root) of the nodes (distinct shingle sets) in groups that verified links connect.
 
     Of the proposed pairs each node's nearest is compared first; then those that these links have not connected. In
     buckets with very many proposals only a spanning forest of them was made. A group with a proposal that was refused
-    may have lost links there, so its nodes of such buckets are asked again, for their ``most`` nearest nodes of other
-    groups, then for eight times as many, until none has further ones: then every pair that meets is linked, refused,
-    or inside one group. The text of a proposed node moves once to make its set, and a set to the pairs that need it.
+    may have lost links there, so the sets of its nodes of such buckets are compared with all others of their cluster of
+    proposals (``cluster_links``): then every pair that meets is linked, refused, or inside one group. The text of a
+    proposed node moves once to make its set, and a set to the pairs that need it.
     """
     proposed = cut(fingerprint_links(fps, cut_, block).distinct())
     pairs, thinned = proposed.where("d >= 0"), proposed.where("d < 0").select(F.col("a").alias("node"))
@@ -343,20 +317,89 @@ def similar_groups(docs: DataFrame, fps: DataFrame, cut_: Cut, shingle: int, blo
     star = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
     rest = cut(pairs.join(first, ["a", "b"], "left_anti").select("a", "b").transform(lambda d: across(d, star.withColumnRenamed("a", "node"), "m")))
     links = links.unionAll(compared(rest, sets, cut_.similarity))
-    tried, roots = pairs.select("a", "b"), cut(components(links))
+    roots = fresh(cut(components(links)))
     if thinned.isEmpty():
         return roots
-    refused = across(tried, roots, "root", keep=True)
+    refused = across(pairs.select("a", "b"), roots, "root", keep=True)
     refused = cut(refused.select(F.explode(F.array("root_a", "root_b")).alias("root")).distinct())
-    named = lambda nodes: nodes.distinct().join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    asked = cut(named(thinned).join(refused, "root", "left_semi"))
-    while not asked.isEmpty():
-        again = cut(fingerprint_links(fps.join(small(asked), "node"), cut_, block, most).distinct())
-        new = fresh(cut(again.where("d >= 0").select("a", "b").join(tried, ["a", "b"], "left_anti")))
-        links, tried, most = links.unionAll(compared(new, sets, cut_.similarity)), tried.unionAll(new), 8 * most
-        roots = fresh(cut(components(links)))
-        asked = fresh(cut(named(again.where("d < 0").select(F.col("a").alias("node")))))
-    return roots
+    named = thinned.distinct().join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    asked = fresh(cut(named.join(refused, "root", "left_semi").select("node", "root")))
+    if asked.isEmpty():
+        return roots
+    one = small(asked.select("node"))
+    near = pairs.join(one.withColumnRenamed("node", "a"), "a", "left_semi").join(one.withColumnRenamed("node", "b"), "b", "left_semi")
+    members = components(near.select("a", "b")).withColumnRenamed("root", "cluster").join(small(asked), "node")
+    return components(links.unionAll(cluster_links(members, sets, fps, cut_)))
+
+
+def cluster_links(members: DataFrame, sets: DataFrame, fps: DataFrame, cut_: Cut, block: int = 4096, size: int = 32_000_000) -> DataFrame:
+    """(a, b): verified links that connect what all verified links between nodes of a cluster connect.
+
+    members: node, root (what is connected already), cluster. A cluster of more than ``block`` nodes or ``size`` bytes of sets
+    is cut into blocks, and each pair of blocks is compared by itself: a task holds two blocks, and a set moves once for
+    each block of its cluster. Only links come out, at most one fewer than nodes.
+    """
+    rows = cut(members.join(sets, "node").join(fps.select("node", *cut_.names), "node"))
+    blocks = F.ceil(F.greatest(F.count("*") / block, F.sum(F.octet_length("shingles")) / size)).cast("int")
+    many = small(cut(rows.groupBy("cluster").agg(blocks.alias("blocks")).withColumn("blocks", F.greatest("blocks", F.lit(1)))))
+    mine, other = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.sequence(F.lit(0), F.col("blocks") - 1)
+    dealt = rows.join(many, "cluster").withColumn("mine", mine)
+    dealt = dealt.withColumn("pair", F.explode(F.transform(other, lambda j: F.least(j, F.col("mine")) * F.col("blocks") + F.greatest(j, F.col("mine")))))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = dealt.select("cluster", "pair", "node", "root", "shingles", *cut_.names).repartition(parts, "cluster", "pair").sortWithinPartitions("cluster", "pair")
+    distance, similarity = cut_.distance, cut_.similarity
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        key = lambda b, i: (b.column(0)[i].as_py(), b.column(1)[i].as_py())
+
+        def links() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).combine_chunks()
+            at = compare_sets([np.frombuffer(x.as_buffer(), "<u4") for x in t.column(4)], t.column(3).to_numpy(), np.stack([t.column(c).to_numpy() for c in cut_.names]).view(np.uint64), distance, similarity)
+            node = t.column(2).to_numpy()
+            return pa.RecordBatch.from_arrays([pa.array(node[at[:, 0]]), pa.array(node[at[:, 1]])], names=["a", "b"])
+
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                if held and key(held[0], 0) != key(batch, at):
+                    yield links()
+                    held = []
+                c, p = (batch.column(i).to_numpy()[at:] for i in (0, 1))
+                other = np.flatnonzero((c != c[0]) | (p != p[0]))
+                end = at + int(other[0]) if len(other) else batch.num_rows
+                held.append(batch.slice(at, end - at))
+                at = end
+        if held:
+            yield links()
+
+    return fresh(cut(ordered.mapInArrow(run, "a bigint, b bigint")))
+
+
+def compare_sets(sets: list[np.ndarray], group: np.ndarray, fp: np.ndarray, distance: int, similarity: float) -> np.ndarray:
+    """(n, 2) indices of links between sets that have the similarity, enough to connect the groups that such links connect.
+
+    Row by row the later ones within the distance and in another group are looked at; what they share with the row is
+    counted by the lists of sets that have a shingle."""
+    size = np.array([len(x) for x in sets])
+    _, number, times = np.unique(np.concatenate([*sets, np.zeros(0, "<u4")]), return_inverse=True, return_counts=True)
+    owner, order = np.repeat(np.arange(len(sets)), size), np.argsort(number, kind="stable")
+    having, ends, starts = owner[order], np.cumsum(times), np.cumsum(size) - size
+    label, out = np.unique(group, return_inverse=True)[1], []
+    for i in range(len(sets)):
+        far = sum(np.bitwise_count(w[i] ^ w[i + 1 :]).astype(np.int16) for w in fp)
+        near = np.flatnonzero((far <= distance) & (label[i + 1 :] != label[i])) + i + 1
+        if not len(near):
+            continue
+        mine = number[starts[i] : starts[i] + size[i]]
+        mine = mine[times[mine] > 1]
+        lists = [having[ends[m] - times[m] : ends[m]] for m in mine]
+        same = np.bincount(np.concatenate(lists), minlength=len(sets))[near] if lists else np.zeros(len(near), np.int64)
+        for j in near[same >= similarity * (size[i] + size[near] - same)]:
+            if label[j] != label[i]:
+                out.append((i, j))
+                label[label == label[j]] = label[i]
+    return np.array(out, np.int64).reshape(-1, 2)
 
 
 def across(pairs: DataFrame, groups: DataFrame, root: str, keep: bool = False) -> DataFrame:
