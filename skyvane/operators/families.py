@@ -97,12 +97,28 @@ def contiguous_edge(df: DataFrame, keys: list[str], step: Column | str, passes:
 
 
 def distinct_centres(centres: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
-    """Of each key's centres in order of rank those with no earlier kept one within the tolerance, with their place from 1.
+    """Of each key's centres those that stand for their surroundings: keys, place (from 1, ascending), centre, support.
 
-    centres: keys, rank, centre. The few centres of a key are folded inside its row.
+    centres: keys, centre, support. From the lowest centre on, the best supported one within the tolerance above it is
+    taken (of equal ones the lower), and all within the tolerance of that one go; then on from the lowest left. No choice
+    reaches over a gap wider than the tolerance, so a key is cut at its gaps first, and only the stretch between two gaps
+    is folded, inside one row. Null centres go, null supports count as 0, of equal centres the best supported one counts.
     """
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "centre"))), lambda x: x["centre"])
-    none = F.array().cast("array<double>")
-    kept = F.aggregate("__c", none, lambda have, x: F.when(F.exists(have, lambda y: F.abs(y - x) <= tolerance), have).otherwise(F.concat(have, F.array(x))))
-    rows = centres.withColumn("centre", F.col("centre").cast("double")).groupBy(*keys).agg(ordered.alias("__c"))
-    return rows.select(*keys, F.posexplode(kept).alias("place", "centre")).withColumn("place", F.col("place") + 1)
+    c = centres.where(F.col("centre").isNotNull()).select(*keys, F.col("centre").cast("double").alias("centre"), F.coalesce(F.col("support").cast("double"), F.lit(0.0)).alias("support"))
+    c = c.groupBy(*keys, "centre").agg(F.max("support").alias("support"))
+    w = Window.partitionBy(*keys).orderBy("centre")
+    c = c.withColumn("__far", F.when(F.col("centre") - F.lag("centre").over(w) > tolerance, 1).otherwise(0)).withColumn("__stretch", F.sum("__far").over(w))
+    kind = "struct<seed:double,centre:double,support:double,free:double,kept:array<struct<centre:double,support:double>>>"
+    none, far = F.lit(None).cast("double"), F.lit(float("-inf"))
+    state = lambda *x: F.struct(*[v.alias(n) for v, n in zip(x, ("seed", "centre", "support", "free", "kept"), strict=True)]).cast(kind)
+    taken = lambda a: F.concat(a["kept"], F.array(F.struct(a["centre"].alias("centre"), a["support"].alias("support"))))
+
+    def place(a: Column, x: Column) -> Column:
+        begun = lambda free, kept: F.when(x["centre"] > free, state(x["centre"], x["centre"], x["support"], free, kept)).otherwise(state(none, none, none, free, kept))
+        better = F.when(x["support"] > a["support"], state(a["seed"], x["centre"], x["support"], a["free"], a["kept"])).otherwise(a)
+        return F.when(a["seed"].isNull(), begun(a["free"], a["kept"])).when(x["centre"] <= a["seed"] + tolerance, better).otherwise(begun(a["centre"] + tolerance, taken(a)))
+
+    start = state(none, none, none, far, F.array())
+    fold = F.aggregate(F.array_sort(F.collect_list(F.struct("centre", "support"))), start, place, lambda a: F.when(a["seed"].isNull(), a["kept"]).otherwise(taken(a)))
+    kept = c.groupBy(*keys, "__stretch").agg(fold.alias("__kept")).select(*keys, F.inline("__kept"))
+    return kept.select(*keys, F.row_number().over(w).alias("place"), "centre", "support")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyvane.functions import spectral as sp
-from skyvane.operators import association
+from skyvane.operators import association, partitions
 
 # The axes of the study.
 SAMPLES, FWHM, CENTRES, BACKGROUNDS = (10_923, 21_846, 43_692, 54_615), (10, 40, 280), (-5300, 3000), ("constant", "exponential")
@@ -101,7 +101,7 @@ def matrix_statuses(spectra: DataFrame, keys: list[str], sigmas: tuple[float | N
     arm = ["representation", "limit_hz", *keys]
     out = None
     for m in margins:
-        one = association.track_episodes(gated, frags, arm) if m is None else association.associate(gated, frags, arm, m)
+        one = association.track_episodes(gated, frags, arm) if m is None else partitions.associate(gated, frags, arm, m)
         state = F.lit("COMPLETE") if m is None else F.col("state")
         one = one.select("representation", F.col("limit_hz").alias("width_hz"), F.lit(m).cast("double").alias("margin"), *keys, state.alias("state"), "status")
         out = one if out is None else out.unionAll(one)

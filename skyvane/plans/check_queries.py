@@ -168,13 +168,15 @@ SELECT episode, count(*) AS fragments, {', '.join(f'round(median({c}), 4)::DOUBL
 
 
 def distinct_centres(spark: SparkSession, sf: str) -> DataFrame:
-    c = read(spark, sf, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("rank"), (F.col("l_partkey") % 300).alias("centre"))
-    return fam.distinct_centres(c, ["l_orderkey"], 50.0)
+    c = read(spark, sf, "lineitem").select((F.col("l_orderkey") % 500).alias("class"), (F.col("l_partkey") * 7 + F.col("l_suppkey") * 13 + F.col("l_orderkey")).alias("centre"), "l_quantity")
+    return fam.distinct_centres(c.groupBy("class", F.col("centre") % 20_000).agg(F.sum("l_quantity").alias("support")).toDF("class", "centre", "support"), ["class"], 100.0)
 
 
-CENTRES = """WITH c AS (SELECT l_orderkey, list([(l_partkey % 300)::DOUBLE] ORDER BY l_linenumber, l_partkey % 300) AS c FROM lineitem GROUP BY 1),
-k AS (SELECT l_orderkey, list_reduce(c, lambda a, x: CASE WHEN len([y FOR y IN a IF abs(y - x[1]) <= 50]) = 0 THEN a || x ELSE a END) AS k FROM c)
-SELECT l_orderkey, unnest(range(1, len(k) + 1))::INT AS place, unnest(k) AS centre FROM k"""
+CENTRES = """WITH RECURSIVE c AS (SELECT l_orderkey % 500 AS class, ((l_partkey * 7 + l_suppkey * 13 + l_orderkey) % 20000)::DOUBLE AS centre, sum(l_quantity)::DOUBLE AS support FROM lineitem GROUP BY ALL),
+p AS (SELECT a.class, a.centre AS seed, max({'s': b.support, 'c': -b.centre}) AS m FROM c a JOIN c b ON b.class = a.class AND b.centre BETWEEN a.centre AND a.centre + 100 GROUP BY ALL),
+n AS (SELECT p.class, p.seed, 0.0 - p.m.c AS centre, p.m.s AS support, min(c.centre) AS nxt FROM p LEFT JOIN c ON c.class = p.class AND c.centre > 100 - p.m.c GROUP BY ALL),
+r AS (SELECT n.* FROM n JOIN (SELECT class, min(seed) AS seed FROM n GROUP BY 1) USING (class, seed) UNION ALL SELECT n.* FROM r JOIN n ON n.class = r.class AND n.seed = r.nxt)
+SELECT class, row_number() OVER (PARTITION BY class ORDER BY centre)::INT AS place, centre, support FROM r"""
 
 
 def top_loadings(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skyvane.functions.stats import shown
 from skyvane.operators import association as a
+from skyvane.operators import partitions
 from skyvane.operators import capture as c
 from skyvane.operators import families as fam
 from skyvane.operators import history as h
@@ -312,7 +313,7 @@ SELECT episode, status, 'T' || printf('%03d', row_number() OVER (PARTITION BY ep
 def association_exact(spark: SparkSession, sf: str) -> DataFrame:
     """Exact partitions of every episode within a margin of 0.25: counts and primary tracks."""
     comp = components(spark, sf)
-    out = a.associate(comp, comp.select("episode", "fragment", F.lit(True).alias("usable")), ["episode"], 0.25)
+    out = partitions.associate(comp, comp.select("episode", "fragment", F.lit(True).alias("usable")), ["episode"], 0.25)
     return rounded(out.select("episode", "state", "status", "links", "cost", "hypotheses", F.size("invariant").alias("invariant_paths"), F.size("possible").alias("possible_paths"), F.array_join("primary", ",").alias("primary")), "cost")
 
 

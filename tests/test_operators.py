@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from skyvane.functions import spectral as sp
 from skyvane.operators import association as a
-from skyvane.operators import evidence, ml
+from skyvane.operators import evidence, ml, partitions
 from skyvane.operators.bursts import aggregate_bursts, decode_frames
 from skyvane.operators.capture import ordered_markers_inside
 from skyvane.operators.sessions import session_features
@@ -178,7 +178,7 @@ def test_equal_cost_matching_counts_and_budgets(spark):
     got = {r.episode: r for r in a.track_episodes(comp, frag, ["episode"]).collect()}
     assert {k: r.status for k, r in got.items()} == {1: "UNIQUE_PERSISTENT_TRACK", 2: "NO_ELIGIBLE_COMPONENT", 3: "UNUSABLE_INPUT"}
     assert got[1].primary_track_id == "T001" and got[1].tracks[0].coverage == 1.0
-    exact = {r.episode: r for r in a.associate(comp, frag, ["episode"], 0.25).collect()}
+    exact = {r.episode: r for r in partitions.associate(comp, frag, ["episode"], 0.25).collect()}
     assert exact[1].primary == ["c1", "c2", "c3", "c4"] and exact[1].hypotheses == "1" and exact[2].status == "NO_ELIGIBLE_COMPONENT"
 
 
@@ -313,9 +313,25 @@ def test_episode_log_names_the_place_and_takes_a_missing_file(spark, tmp_path):
         logs.episode_log(spark, str(tmp_path / "b.jsonl")).collect()
 
 
-def test_a_centre_is_kept_once(spark):
+def test_centres_that_stand_for_their_surroundings(spark):
+    import random
+
     from skyvane.operators.families import distinct_centres
 
-    rows = [("a", 1, 10.0), ("a", 2, 55.0), ("a", 3, 70.0), ("a", 4, 121.0), ("b", 2, 0.0), ("b", 1, 50.0)]
-    got = distinct_centres(spark.createDataFrame(rows, "k string, rank int, centre double"), ["k"], 50.0)
-    assert sorted(map(tuple, got.collect())) == [("a", 1, 10.0), ("a", 2, 70.0), ("a", 3, 121.0), ("b", 1, 50.0)]
+    def sweep(points, reach):
+        left, out = dict(sorted(points)), []
+        while left:
+            low = min(left)
+            near = [c for c in left if c <= low + reach]
+            best = max(near, key=lambda c: (left[c], -c))
+            out.append((best, left[best]))
+            left = {c: s for c, s in left.items() if abs(c - best) > reach}
+        return out
+
+    rng = random.Random(8)
+    of = {"a": [(0.0, 1.0), (90.0, 5.0), (180.0, 9.0)], "b": [(0.0, 9.0), (90.0, 5.0), (180.0, 9.0), (281.0, 1.0)], "c": [(5.0, 2.0), (5.0, 7.0)]}
+    of |= {f"k{i}": [(float(c), float(rng.randint(0, 4))) for c in rng.sample(range(3000), 60)] for i in range(12)}
+    rows = [(k, c, s) for k, points in of.items() for c, s in points] + [("d", None, 1.0), ("e", 7.0, None)]
+    got = sorted(map(tuple, distinct_centres(spark.createDataFrame(rows, "k string, centre double, support double"), ["k"], 100.0).collect()))
+    want = [(k, i, c, s) for k, points in {**of, "c": [(5.0, 7.0)], "e": [(7.0, 0.0)]}.items() for i, (c, s) in enumerate(sorted(sweep(points, 100.0)), 1)]
+    assert got == sorted(want) and [r for r in got if r[0] == "a"] == [("a", 1, 90.0, 5.0)]
