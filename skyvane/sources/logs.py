@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,9 +34,19 @@ def number(c: Column) -> Column:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line_no from 1, value) of text files. Each file is one row first, so that line numbers are right."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split("value", "\r?\n").alias("lines"))
-    return whole.select("path", F.posexplode("lines").alias("i", "value")).select("path", (F.col("i") + 1).alias("line_no"), "value").where(F.trim("value") != "")
+    """(path, line_no from 1, value) of text files, without blank lines, which count.
+
+    Files are read in splits. A line's number is its place in its split plus the lines of the splits before; a split is
+    ordered inside one task, and only the counts of splits are added up by file.
+    """
+    at = ["path", "__start"]
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__at"), F.regexp_replace("value", "\r$", "").alias("value"))
+    counts = lines.groupBy(*at).agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("path").orderBy("__start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    mine = lines.withColumn("__i", F.row_number().over(Window.partitionBy(*at).orderBy("__at")))
+    out = mine.join(counts.select(*at, before.alias("__before")), at)
+    return out.select("path", (F.col("__before") + F.col("__i")).cast("bigint").alias("line_no"), "value").where(F.trim("value") != "")
 
 
 NUMBERS = ["frequency_mhz", "peak_power", "max_confidence", "doa_width", "median_doa_peaks", "bearing_spread", "median_confidence", "single_peak_ratio", "samples"]
@@ -186,3 +196,27 @@ def present(spark: SparkSession, paths: list[str]) -> tuple[list[str], list[str]
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     there = [jvm.org.apache.hadoop.fs.Path(p).getFileSystem(conf).exists(jvm.org.apache.hadoop.fs.Path(p)) for p in paths]
     return [p for p, t in zip(paths, there, strict=True) if t], [p for p, t in zip(paths, there, strict=True) if not t]
+
+
+def session_records(spark: SparkSession, logs: dict[str, str], session_id: str) -> tuple[dict[str, DataFrame], list[str]]:
+    """One session's records of each log (kind to path), and the kinds whose file is missing.
+
+    Kinds are bursts, track and episodes. Every line of a log is checked, also those of other sessions: the first bad one
+    fails the query with its path and line. bursts and track: (path, line_no, m), m the record's map; records without a
+    session are skipped. episodes: (path, line_no, r), r the event; one without a session is bad. Markers are no records.
+    """
+    there, missing = present(spark, list(logs.values()))
+    out = {}
+    for kind, path in logs.items():
+        if path in missing:
+            continue
+        lines = numbered_lines(spark, path)
+        if kind != "episodes":
+            out[kind] = strict_records(lines).where(F.try_element_at("m", F.lit("session_id")) == session_id).select("path", "line_no", "m")
+            continue
+        r = lines.withColumn("r", F.from_json("value", f"{EPISODE}, __bad string", {"columnNameOfCorruptRecord": "__bad"}))
+        why = F.when(F.col("r").isNull() | F.col("r.__bad").isNotNull(), "no episode event").when(F.coalesce(F.col("r.session_id"), F.lit("")) == "", "no session")
+        place = F.concat(F.col("path"), F.lit(": line "), F.col("line_no").cast("string"), F.lit(": "), why)
+        checked = F.when(why.isNotNull(), F.raise_error(place).cast(r.schema["r"].dataType)).otherwise(F.col("r"))
+        out[kind] = r.select("path", "line_no", checked.alias("r")).where(F.col("r.session_id") == session_id).withColumn("r", F.col("r").dropFields("__bad"))
+    return out, [k for k, path in logs.items() if path in missing]

@@ -28,22 +28,22 @@ def decode_frames_with_time(lines: DataFrame) -> DataFrame:
     return out.withColumnRenamed("__t", "time")
 
 
-def burst_stream(frames: DataFrame, keys: list[str], gap: str = "3 seconds", late: str = "10 seconds") -> DataFrame:
-    """Bursts as session windows over event time, given out when the watermark passes them.
+def burst_stream(frames: DataFrame, keys: list[str], gap_s: float = 3.0, late: str = "10 seconds") -> DataFrame:
+    """Bursts as session windows over event time, given out when the watermark passes them: those of ``aggregate_bursts``.
 
-    A window takes a row exactly one gap after the last one, where the batch form begins a new burst; medians are
-    percentiles of the window's rows.
+    A window takes a row exactly one gap after the last one, and a burst ends before a gap of ``gap_s``; times have
+    microseconds, so the window's gap is one microsecond shorter. Medians are exact.
     """
     f = frames.where(F.col("power") > k.POWER_GATE_DB).withWatermark("time", late)
-    out = f.groupBy(*keys, F.session_window("time", gap)).agg(
-        F.count("*").alias("samples"), mean_cos("bearing").alias("c"), mean_sin("bearing").alias("s"), F.max("power").alias("peak_power"), F.max("confidence").alias("max_confidence"),
-        F.percentile_approx("confidence", 0.5, 1_000_000).alias("median_confidence"), F.avg("frequency_mhz").alias("frequency_mhz"), F.percentile_approx("width", 0.5, 1_000_000).alias("doa_width"),
-        F.percentile_approx("peaks", 0.5, 1_000_000).alias("median_doa_peaks"), F.avg((F.col("peaks") == 1).cast("double")).alias("single_peak_ratio"),
+    half = lambda c: F.percentile(c, F.lit(0.5))
+    out = f.groupBy(*keys, F.session_window("time", f"{round(gap_s * 1_000_000) - 1} microseconds")).agg(
+        F.max("time").alias("end_time"), F.count("*").alias("samples"), mean_cos("bearing").alias("c"), mean_sin("bearing").alias("s"), F.max("power").alias("peak_power"), F.max("confidence").alias("max_confidence"),
+        half("confidence").alias("median_confidence"), F.avg("frequency_mhz").alias("frequency_mhz"), half("width").alias("doa_width"), half("peaks").alias("median_doa_peaks"), F.avg((F.col("peaks") == 1).cast("double")).alias("single_peak_ratio"),
     )
     r = F.sqrt(F.col("c") ** 2 + F.col("s") ** 2)
     out = out.withColumn("bearing", F.pmod(F.degrees(F.atan2("s", "c")), F.lit(360.0))).withColumn("bearing_spread", F.degrees(F.sqrt(-2.0 * F.ln(F.least(F.lit(1.0), F.greatest(r, F.lit(1e-12)))))))
     out = out.withColumn("quality", k.burst_quality("samples", "bearing_spread", "median_confidence", "doa_width", "single_peak_ratio"))
-    return out.select(*keys, F.col("session_window.start").alias("time"), F.col("session_window.end").alias("end_time"), "samples", "bearing", "bearing_spread", "peak_power", "max_confidence", "median_confidence", "frequency_mhz", "doa_width", "median_doa_peaks", "single_peak_ratio", "quality")
+    return out.select(*keys, F.col("session_window.start").alias("time"), "end_time", "samples", "bearing", "bearing_spread", "peak_power", "max_confidence", "median_confidence", "frequency_mhz", "doa_width", "median_doa_peaks", "single_peak_ratio", "quality")
 
 
 def append_once(path: str, transform: Callable[[DataFrame], DataFrame] = lambda d: d) -> Callable[[DataFrame, int], None]:
