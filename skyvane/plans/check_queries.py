@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skyvane.functions import classify as k
-from skyvane.operators import association, capture, evidence, ml, rollups
+from skyvane.operators import association, bundles, capture, evidence, ml, rollups
 from skyvane.operators import families as fam
 from skyvane.operators.bursts import decode_frames
 from skyvane.sources import logs
@@ -187,13 +187,34 @@ def top_loadings(spark: SparkSession, sf: str) -> DataFrame:
 LOADINGS = """WITH c AS (SELECT l_suppkey % 40 AS component, 'f' || l_partkey % 30 AS feature, (sum(l_linenumber) % 21 - 10)::DOUBLE AS loading FROM lineitem GROUP BY ALL)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY abs(loading) DESC, feature)::INT AS rank FROM c) WHERE rank <= 5"""
 
+def bundle_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Every order as a capture of its lines, one episode each; some lack a file on disk, or differ between their lists."""
+    k, n = F.col("k"), F.floor(F.col("size_bytes") / 16)
+    of = lambda m: (k % m == 0) & (F.col("position") == 0)
+    item = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), "l_linenumber", F.sha2(F.concat_ws(" ", "l_partkey", "l_suppkey"), 256).alias("sha256"), ((F.col("l_partkey") + 1) * 16).alias("size_bytes"), "l_extendedprice")
+    place = F.row_number().over(Window.partitionBy("k").orderBy("l_linenumber", "sha256", "l_extendedprice")) - 1
+    f = item.withColumn("position", place).withColumn("capture", k.cast("string")).withColumn("path", F.concat_ws("/", "k", "position")).withColumn("episode", F.lit(1))
+    formats = {s: s.upper() for s in bundles.SOURCES}
+    per = f.groupBy("k", "capture").agg(F.count("*").alias("n"))
+    head = lambda s, files, episodes, gap, rate: per.select("capture", F.lit(s).alias("source"), F.lit(formats[s]).alias("format"), F.col("capture").alias("capture_id"), files.cast("bigint").alias("file_count"), F.lit(episodes).cast("bigint").alias("episode_count"), F.lit(gap).cast("double").alias("gap_s"), F.lit(">").alias("comparison"), F.lit(rate).cast("int").alias("sample_rate_hz"), F.lit("complex128").alias("iq_dtype"))
+    heads = head("manifest", F.col("n"), None, None, None).unionAll(head("grouping", F.col("n") + F.when(k % 13 == 0, 1).otherwise(0), 1, 4.0, None)).unionAll(head("features", F.lit(None), 1, None, F.when(k % 23 == 0, 24_000).otherwise(25_000)))
+    out = bundles.bundle_problems(
+        heads, f.select("capture", "position", "path", "size_bytes", "sha256"), f.select("capture", "episode", "position", "path", "size_bytes", F.when(of(7), "x").otherwise(F.col("sha256")).alias("sha256"), F.col("size_bytes").alias("mtime_ns")),
+        per.select("capture", F.lit(1).alias("episode"), F.col("n").alias("file_count"), F.col("n").alias("fragment_count")), f.select("capture", "episode", "position", "path", "size_bytes", F.when(of(17), n + 1).otherwise(n).cast("bigint").alias("samples")),
+        f.select("capture", "position", F.concat("sha256", F.when(of(19), " ").otherwise("  "), "path").alias("line")), f.where(~of(11)).select("path", "size_bytes", "sha256"), formats)
+    return out.select("capture", F.array_join("problems", ", ").alias("problems"))
+
+
+BUNDLES = """SELECT DISTINCT l_orderkey::VARCHAR AS capture, concat_ws(', ', CASE WHEN l_orderkey % 23 = 0 THEN 'sample parameters' END, CASE WHEN l_orderkey % 13 = 0 THEN 'grouping file count' END, CASE WHEN l_orderkey % 7 = 0 THEN 'grouping size or hash' END,
+CASE WHEN l_orderkey % 17 = 0 THEN 'fragment samples' END, CASE WHEN l_orderkey % 19 = 0 THEN 'hash list' END, CASE WHEN l_orderkey % 11 = 0 THEN 'raw file missing' END) AS problems FROM lineitem"""
+
 QUERIES = {
-    "line_integrity": line_integrity, "report_log": report_log, "frame_decode": frame_decode, "daq_checks": daq_checks, "width_gate": width_gate, "settings_equal": settings_equal, "ledger_append": ledger_append,
+    "bundle_checks": bundle_checks, "line_integrity": line_integrity, "report_log": report_log, "frame_decode": frame_decode, "daq_checks": daq_checks, "width_gate": width_gate, "settings_equal": settings_equal, "ledger_append": ledger_append,
     "repeated_keys": repeated_keys, "hash_lists": hash_lists, "prefix_complete": prefix_complete, "json_digests": json_digests, "evidence_join": evidence_join, "record_problems": record_problems,
     "spectral_rollup": spectral_rollup, "distinct_centres": distinct_centres, "top_loadings": top_loadings,
 }
 SQL = {
-    "line_integrity": INTEGRITY, "report_log": REPORT_LOG, "frame_decode": FRAMES, "daq_checks": DAQ, "width_gate": WIDTH_GATE, "settings_equal": SETTINGS, "ledger_append": LEDGER,
+    "bundle_checks": BUNDLES, "line_integrity": INTEGRITY, "report_log": REPORT_LOG, "frame_decode": FRAMES, "daq_checks": DAQ, "width_gate": WIDTH_GATE, "settings_equal": SETTINGS, "ledger_append": LEDGER,
     "repeated_keys": REPEATED, "hash_lists": HASH_LISTS, "prefix_complete": PREFIX, "json_digests": DIGESTS, "evidence_join": EVIDENCE, "record_problems": RECORDS,
     "spectral_rollup": ROLLUP, "distinct_centres": CENTRES, "top_loadings": LOADINGS,
 }
