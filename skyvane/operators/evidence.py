@@ -9,7 +9,7 @@ import hashlib
 import json
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 def strict_loads(text: str | bytes):
@@ -92,3 +92,27 @@ def artifact_problems(a: dict) -> list[str]:
     out = ["payload_sha256"] * (canonical_sha256(a["payload"]) != a["payload_sha256"])
     out += ["envelope_sha256"] * (canonical_sha256({k: v for k, v in a.items() if k != "envelope_sha256"}) != a["envelope_sha256"])
     return out + ["path"] * any(p.startswith("/") or ".." in p.split("/") for p in a["sources"])
+
+
+def snapshot(spark: SparkSession, path: str, fields: str | None = None) -> DataFrame:
+    """(path, n_bytes, sha256, line_no, value) of evidence files, with r for JSON lines of the given ``fields``.
+
+    Digest and records of a file come from one read of its bytes in one row, so records never stand beside the digest of
+    another state of the file, even if it changes while the query runs. Blank lines count but have no row; a file without
+    lines, or that is no UTF-8, has one row without a record; Spark's file sources leave empty files out. r is null where a
+    line is no such record. A file must fit a row.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    text = F.try_validate_utf8(F.col("content").cast("string"))
+    lines = F.filter(F.transform(F.split(text, "\r?\n"), lambda v, i: F.struct((i + 1).alias("line_no"), v.alias("value"))), lambda x: F.trim(x["value"]) != "")
+    out = files.select(F.col("path"), F.octet_length("content").alias("n_bytes"), F.sha2("content", 256).alias("sha256"), lines.alias("lines"))
+    out = out.select("path", "n_bytes", "sha256", F.inline_outer("lines"))
+    return out.withColumn("r", F.from_json("value", fields)) if fields else out
+
+
+def drifted(before: DataFrame, now: DataFrame) -> DataFrame:
+    """(path, drift) of files whose digest in one snapshot is not that in the other: NEW, REMOVED or CHANGED."""
+    digest = lambda d, name: d.select("path", F.col("sha256").alias(name)).distinct()
+    both = digest(before, "was").join(digest(now, "is"), "path", "full")
+    drift = F.when(F.col("was").isNull(), "NEW").when(F.col("is").isNull(), "REMOVED").when(F.col("was") != F.col("is"), "CHANGED")
+    return both.select("path", drift.alias("drift")).where("drift is not null")

@@ -70,3 +70,25 @@ def test_live_bursts_are_those_of_the_batch(spark, tmp_path):
     seen = lambda df, start: sorted([r.session_id, r[start], *[round(r[n], 9) if isinstance(r[n], float) else r[n] for n in names]] for r in df.collect())
     got, want = seen(spark.read.parquet(str(tmp_path / "out")), "time"), seen(aggregate_bursts(frames), "start_time")
     assert got == want and len(want) == 10 and [r[2] for r in want if r[0] == "a"] == [3, 2, 1, 4, 1]
+
+
+def test_a_snapshots_records_are_those_of_its_digest(spark, tmp_path):
+    import hashlib
+
+    from skyvane.operators.evidence import drifted, snapshot
+
+    texts = {"a.jsonl": b'{"n": 1}\n\n{"n": 2}\r\nno json', "b.jsonl": b"\n", "c.jsonl": b'\xff\xfe{"n": 1}', "d.jsonl": '{"n": 3, "é": 1}'.encode()}
+    for name, t in texts.items():
+        (tmp_path / name).write_bytes(t)
+    df = snapshot(spark, str(tmp_path), "n int")
+    got = sorted((r.path.rsplit("/", 1)[1], r.n_bytes, r.sha256, r.line_no, r.r.n if r.r else None) for r in df.collect())
+    row = lambda name, *x: (name, len(texts[name]), hashlib.sha256(texts[name]).hexdigest(), *x)
+    assert got == [row("a.jsonl", 1, 1), row("a.jsonl", 3, 2), row("a.jsonl", 4, None), row("b.jsonl", None, None), row("c.jsonl", None, None), row("d.jsonl", 1, 3)]
+    first = spark.createDataFrame(df.drop("r").collect(), df.drop("r").schema)
+    (tmp_path / "d.jsonl").write_bytes(b'{"n": 4}')  # the frame is read again: digest and records change together
+    (tmp_path / "b.jsonl").unlink()
+    (tmp_path / "e.jsonl").write_bytes(b"x")
+    now = snapshot(spark, str(tmp_path), "n int")
+    changed = [r for r in now.collect() if r.path.endswith("d.jsonl")]
+    assert [(r.r.n, r.sha256) for r in changed] == [(4, hashlib.sha256(b'{"n": 4}').hexdigest())]
+    assert sorted((r.path.rsplit("/", 1)[1], r.drift) for r in drifted(first, now).collect()) == [("b.jsonl", "REMOVED"), ("d.jsonl", "CHANGED"), ("e.jsonl", "NEW")]
