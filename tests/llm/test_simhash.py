@@ -5,7 +5,7 @@ import numpy as np
 import xxhash
 
 from skyvane.llm.components import components
-from skyvane.llm.simhash import exact_cut, fingerprint, fingerprint_links, near_duplicates, one_per_group, similar_cut
+from skyvane.llm.simhash import cluster_links, exact_cut, fingerprint, fingerprint_links, fingerprints, near_duplicates, one_per_group, shingle_set, similar_cut
 
 
 def plain_fingerprint(text):
@@ -198,3 +198,20 @@ def test_families_of_templates_lose_no_link(spark):
     got = near_duplicates(docs, cut_=similar_cut(0.8, docs.count()), shingle=5).select("doc_id", "component_id").collect()
     assert pairs > 150 and len(set(want)) > 20, (pairs, len(set(want)))
     assert [r.component_id for r in sorted(got)] == want.tolist()
+
+
+def test_a_cluster_cut_into_blocks_keeps_its_links(spark):
+    rng = random.Random(23)
+    texts = family(rng, 60, changed=(3,))
+    want, _ = similar_components(texts)
+    cut_ = similar_cut(0.8, len(texts))
+    fps = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "node bigint, text string")
+    sets = spark.createDataFrame([(i, bytearray(np.unique(shingle_set(t, 5)[0].astype("<u4")).tobytes())) for i, t in enumerate(texts)], "node bigint, shingles binary")
+    members = fps.selectExpr("node", "node as root", "node % 2 * 0 as cluster")
+    marked = fingerprints(fps, cut_, 5)
+    for block, size in ((4096, 10**9), (16, 10**9), (4096, 5_000)):
+        links = cluster_links(members, sets, marked, cut_, block, size)
+        assert links.count() < 3 * len(texts)
+        root = {r.node: r.root for r in components(links).collect()}
+        assert [root.get(i, i) for i in range(len(texts))] == want.tolist()
+    assert cluster_links(members.limit(0), sets, marked, cut_).count() == 0
