@@ -19,17 +19,27 @@ from pyspark.sql import functions as F
 
 from .common import slices, table
 
-KEYS = re.compile(r"pass(?:word|wd|phrase)?|pwd|secret|token|credential|api[_-]?key|access[_-]?key|private[_-]?key|auth", re.I)
+KEYS = re.compile(r"pass(?:word|wd|phrase)?|pwd|secret|token|credential|api[_-]?key|access[_-]?key|private[_-]?key|auth(?!or(?!i[sz]))", re.I)
 #: What can be a secret: the last group of a match that took part. Recall is wanted here, the forest rejects. Values run
-#: to their natural end: a closing quote on the line, white space or a separator if unquoted, the END line of a key block.
+#: to their natural end: a closing quote on the line that no backslash escapes, white space or a separator if unquoted, the
+#: END line of a key block, the host of a login in an address, the end tag of an element. After a comma or semicolon a bare
+#: value goes on over a short piece of letters and digits that names no further value.
 RULES = {
     "private_key": re.compile(r"(-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----(?:(?:(?!-----BEGIN )[\s\S])*?-----END [A-Z ]*PRIVATE KEY(?: BLOCK)?-----|(?:\s*[A-Za-z-]+:[^\n]*\n)*[^-]*))"),
-    "assigned": re.compile(r"(?<![\w.-])([\w.-]++)[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}(?:\"([^\"\n]{6,})\"|'([^'\n]{6,})'|[\"']?([^\s\"'<>,;]{6,}))"),
+    "assigned": re.compile(
+        r"(?<![\w.-])([\w.-]++)[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}(?:\"((?:[^\"\\\n]|\\[^\n]){4,}+)\"|'((?:[^'\\\n]|\\[^\n]){4,}+)'"
+        r"|[\"']?([^\s\"'<>,;]{4,}(?:[,;](?=[A-Za-z]*\d)(?=\d*[A-Za-z])\w{4,19}(?![^\s\"'<>,;.)\]}]))*))"
+    ),
     "known_form": re.compile(r"(?<![A-Za-z0-9])((?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,}+|xox[baprs]-[A-Za-z0-9-]{10,}+|sk-[A-Za-z0-9_-]{20,}+|eyJ[\w-]{8,}+(?:\.[\w-]{8,}+){2,})(?![A-Za-z0-9])"),
     "random": re.compile(r"(?<![\w+/=-])([A-Za-z0-9+/_-]{20,}+={0,2})(?![\w+/=-])"),
+    "login": re.compile(r"(?<=://)[^\s/:@?#\"'<>]*+:([^\s/?#\"'<>]*)@(?=[\w\[])"),
+    "element": re.compile(r"<([\w:.-]++)(?:\s[^<>]*+)?>\s*+([^<>]*[^<>\s])\s*</"),
 }
 #: Plain strings of which a text must hold one before a rule is tried; they are found far faster than a pattern.
-HINTS = {"private_key": ["private key"], "assigned": ["pass", "pwd", "secret", "token", "credential", "key", "auth"], "known_form": ["akia", "asia", "gh", "xox", "sk-", "eyj"]}
+HINTS = {"private_key": ["private key"], "assigned": ["pass", "pwd", "secret", "token", "credential", "key", "auth"], "known_form": ["akia", "asia", "gh", "xox", "sk-", "eyj"], "login": ["://"], "element": ["</"]}
+#: Rules whose first group names the value, and the groups of ``assigned`` that stand inside quotes, where nothing is stripped.
+NAMED, QUOTED = ("assigned", "element"), (2, 3)
+LEAST = 4
 #: A string of the random rule mixes digits or cases.
 MIXED = re.compile("[0-9]|[a-z][A-Z]")
 #: A redaction mark is no candidate.
@@ -100,10 +110,12 @@ def describe(s: str, before: str, after: str, rule: str, path: str = "") -> list
         float(bool(re.search(r"example|test|dummy|sample|placeholder|changeme|your|x{4}|\*{3}|<|\$\{|\{\{|1234567|abcdef", low))),
         float(bool(re.search(r"test|example|doc|sample|fixture", path.lower()))),
         [*RULES].index(rule), s.count(" ") / n, float(bool(re.search("[a-z][A-Z][a-z]", s))),
+        float(any(w in "".join(near[-1:]) for w in SECRETIVE)), float(any(w in near[-1:] for w in HARMLESS)),
+        float(s.isdigit()), float(bool(re.fullmatch("[A-Za-z]+(?:[-_ ][A-Za-z]+)*", s))), float(max(map(len, re.split("[-_ ]", s)))) / n,
     ]
 
 
-FEATURES = 22
+FEATURES = 27
 
 
 def scan(text: str) -> list[tuple[int, int, str]]:
@@ -116,12 +128,12 @@ def scan(text: str) -> list[tuple[int, int, str]]:
         if not (mixed if rule == "random" else any(h in low for h in HINTS[rule])):
             continue
         for m in pattern.finditer(text):
-            if rule == "assigned" and not KEYS.search(m.group(1)):
+            if rule in NAMED and not KEYS.search(m.group(1)):
                 continue
             a, b = m.span(m.lastindex)
-            while b > a and text[b - 1] in ".,;)]}":
+            while b > a and text[b - 1] in ".,;)]}" and rule not in ("login", "element") and not (rule == "assigned" and m.lastindex in QUOTED):
                 b -= 1
-            if b - a >= 6 and not MARKED.fullmatch(text, a, b) and (rule != "random" or MIXED.search(text, a, b)):
+            if b - a >= LEAST and not MARKED.fullmatch(text, a, b) and (rule != "random" or MIXED.search(text, a, b)):
                 taken.append((a, b, rule))
     taken.sort(key=lambda x: x[0])
     order, out = {r: i for i, r in enumerate(RULES)}, []
@@ -155,6 +167,9 @@ class Generator:
             "github": lambda: "ghp_" + pick(ALNUM, 36), "sk": lambda: "sk-" + pick(ALNUM, rng.choice([24, 32, 48])), "slack": lambda: "xoxb-" + pick("0123456789", 12) + "-" + pick(ALNUM, 24),
             "jwt": lambda: ".".join(["eyJ" + pick(ALNUM, 20), "eyJ" + pick(ALNUM, 40), pick(ALNUM + "-_", 43)]), "password": lambda: pick(ALNUM + "!@#$%^&*", rng.randint(8, 20)),
             "word password": lambda: word().capitalize() + pick("0123456789", rng.randint(2, 5)) + pick("!@#$%", rng.randint(1, 2)), "letters": lambda: pick(ALNUM[:52], rng.randint(20, 48)),
+            "word digits": lambda: word() + pick("0123456789", rng.randint(1, 4)), "short": lambda: pick(ALNUM + "!@#$%", rng.randint(4, 7)),
+            "two parts": lambda: pick(ALNUM, rng.randint(6, 12)) + rng.choice(["&", ")", ",", "}", '\\"', " "]) + pick(ALNUM, rng.randint(5, 10)),
+            "passphrase": lambda: rng.choice([" ", "-", '\\"']).join(word() for _ in range(rng.randint(2, 4))) + pick("0123456789", rng.randint(1, 3)) + pick(ALNUM[26:52], rng.randint(0, 2)),
             "key block": lambda: "-----BEGIN RSA PRIVATE KEY-----\n" + pick(ALNUM + "+/", 120) + "\n-----END RSA PRIVATE KEY-----",
         }
         self.harmless = {
@@ -165,6 +180,7 @@ class Generator:
             "setting word": lambda: (self.name() + ": ", word() + rng.choice(["", "_", "-"]) + word()), "order": lambda: (rng.choice(["order ", "invoice ", "tracking "]), pick("0123456789", rng.choice([20, 22, 24]))),
             "long word": lambda: ("", word() + word() + word() + word() + pick("0123456789", 1)), "aws example": lambda: ("", "AKIA" + "EXAMPLE" * 2 + "XX"), "hex id": lambda: (rng.choice(["uuid ", "revision ", "build "]), pick(HEX, 32)),
             "rule line": lambda: ("", pick("-=", 1) * 22 + "1"), "call": lambda: (self.name() + " = ", word() + "(" + word() + "." + word() + ")"), "quoted prose": lambda: (self.name() + ': "', self.prose(rng.randint(3, 8))),
+            "title word": lambda: (self.name() + rng.choice([": ", " = "]), word().capitalize() + rng.choice(["", "", "-" + word(), word().capitalize()])), "count": lambda: (rng.choice(["max_tokens=", "token_count: ", "tokens = ", "key: "]), pick("0123456789", rng.randint(4, 6))),
         }
 
     def pick(self, chars: str, k: int) -> str:
@@ -179,16 +195,26 @@ class Generator:
     def name(self) -> str:
         return self.rng.choice(NAMES)
 
+    def frame(self, v: str) -> tuple[str, str]:
+        """What stands around a value in an element, or in the login of an address if it may stand there."""
+        if self.rng.random() < 0.5 or re.search(r"[\s/?#\"'<>]", v):
+            name = self.name()
+            return f"<{name}>", f"</{name}>"
+        return f"{self.rng.choice(['postgres', 'https', 'mysql', 'amqp'])}://{self.word()}:", f"@{self.word()}{self.rng.choice(['.com/', ':5432/', '/'])}{self.word()}"
+
     def finding(self, family: str) -> tuple[str, str, str]:
         """(before, value, after) of a finding in plain surroundings."""
         rng = self.rng
         if family in self.secrets:
             v = self.secrets[family]()
             bare = v.startswith("-----") or rng.random() < 0.25 and len(v) >= 20
-            lead = "" if bare else self.name() + rng.choice(["=", ": ", " = ", " := "]) + rng.choice(["", '"', "'"])
+            quote = '"' if re.search(r"[\s,})\\]", v) else rng.choice(["", '"', "'"])
+            lead = "" if bare else self.name() + rng.choice(["=", ": ", " = ", " := "]) + quote
         else:
             lead, v = self.harmless[family]()
         close = lead[-1:] if lead[-1:] in ('"', "'") else ""
+        if family in (*self.secrets, "placeholder", "setting word", "quoted prose") and not v.startswith("-----") and rng.random() < 0.2:
+            lead, close = self.frame(v)
         return self.prose(rng.randint(2, 8)) + rng.choice([" ", "\n"]) + lead, v, close + rng.choice([" ", "\n"]) + self.prose(rng.randint(2, 8))
 
 
@@ -236,7 +262,7 @@ class Forest:
                         gini = np.where(ok, k * a * (1 - a) + (len(rows) - k) * b * (1 - b), np.inf)
                         i = int(gini.argmin())
                         if best is None or gini[i] < best[0]:
-                            best = gini[i], f, (s[i] + s[i + 1]) / 2
+                            best = gini[i], f, min((s[i] + s[i + 1]) / 2, np.nextafter(s[i + 1], -np.inf))
             if best is None:
                 nodes[at] = [-1, 0, 0, mean]
                 return

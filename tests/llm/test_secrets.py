@@ -108,3 +108,34 @@ def test_precision_and_recall_among_look_alikes_in_real_documents(spark, small):
     hit = {r.doc_id for r in got if r.start < truth[r.doc_id][1] and r.start + r.length > truth[r.doc_id][0]}
     secret = {i for i, x in truth.items() if x[2]}
     assert len(hit & secret) / len(secret) >= 0.9 and len(hit & secret) / len(hit) >= 0.9
+
+
+def test_escapes_logins_elements_and_short_values_go_whole(spark):
+    cases = [
+        ('password = "abc\\"defghijkl9X" x', 'password = "[SECRET]" x'), ('set password="correct horse\\"battery9X" now', 'set password="[SECRET]" now'),
+        ("password=abc123Xy,def456XYZ end", "password=[SECRET] end"), ('password = "Tr0ub4dor&3)}" z', 'password = "[SECRET]" z'),
+        ("url postgres://admin:S3cr3tPw9@host/db", "url postgres://admin:[SECRET]@host/db"), ("<password>Xk9$kkQ2z</password>", "<password>[SECRET]</password>"),
+        ("pwd=ab1! x", "pwd=[SECRET] x"), ("DB_PASSWORD=hunter2", "DB_PASSWORD=[SECRET]"), ("password=hunter2, user=bob7", "password=[SECRET], user=bob7"),
+        *[(t, t) for t in ("password=changeme", "http://user:password@example.com/x", "<token>some plain words</token>", "author: Smithson said", "https://host:8080/path", "max_tokens=4096", "<b>Xk9$kkQ2z</b>")],
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id int, text string")
+    assert {r.doc_id: r.text for r in redact_secrets(docs).collect()} == {i: want for i, (_, want) in enumerate(cases)}
+
+
+def test_values_end_where_a_plain_walk_ends_them():
+    rng = random.Random(9)
+    for _ in range(3000):
+        quote, body = rng.choice("\"'"), "".join(rng.choice("ab1\"'\\ ,;)<") for _ in range(rng.randint(0, 14)))
+        text, at = f"token={quote}{body}{quote} and on", 7
+        end, n = at, 0
+        while end < len(text) and text[end] != quote:
+            n, end = n + 1, end + (2 if text[end] == "\\" else 1)
+        if n >= 4 and end < len(text):
+            assert (at, end) in [c[:2] for c in scan(text)], text
+        user, word = ("".join(rng.choice("ab1:@%)") for _ in range(rng.randint(0, 9))) for _ in range(2))
+        text = f"see x://{user}:{word}@host now"
+        rest = text[8:].split("@host")[0]
+        name, _, value = rest.partition(":")
+        if len(value) >= 4 and "@" not in name:
+            a = 8 + len(name) + 1
+            assert (a, a + len(value)) in [c[:2] for c in scan(text)], text
