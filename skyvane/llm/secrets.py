@@ -155,7 +155,8 @@ NAMES = ["password", "passwd", "token", "secret", "api_key", "apikey", "access_k
 
 
 class Generator:
-    """Families of labelled findings: ``secrets`` and ``harmless`` give (what stands before, the value) by family."""
+    """Families of labelled findings: ``secrets`` give values by family, ``chosen`` those that people make up and
+    that only a name before them tells; ``harmless`` give (what stands before, the value)."""
 
     def __init__(self, seed: int):
         self.rng = rng = random.Random(seed)
@@ -167,20 +168,22 @@ class Generator:
             "github": lambda: "ghp_" + pick(ALNUM, 36), "sk": lambda: "sk-" + pick(ALNUM, rng.choice([24, 32, 48])), "slack": lambda: "xoxb-" + pick("0123456789", 12) + "-" + pick(ALNUM, 24),
             "jwt": lambda: ".".join(["eyJ" + pick(ALNUM, 20), "eyJ" + pick(ALNUM, 40), pick(ALNUM + "-_", 43)]), "password": lambda: pick(ALNUM + "!@#$%^&*", rng.randint(8, 20)),
             "word password": lambda: word().capitalize() + pick("0123456789", rng.randint(2, 5)) + pick("!@#$%", rng.randint(1, 2)), "letters": lambda: pick(ALNUM[:52], rng.randint(20, 48)),
+            "key block": lambda: "-----BEGIN RSA PRIVATE KEY-----\n" + pick(ALNUM + "+/", 120) + "\n-----END RSA PRIVATE KEY-----",
+        }
+        self.chosen = {
             "word digits": lambda: word() + pick("0123456789", rng.randint(1, 4)), "short": lambda: pick(ALNUM + "!@#$%", rng.randint(4, 7)),
             "two parts": lambda: pick(ALNUM, rng.randint(6, 12)) + rng.choice(["&", ")", ",", "}", '\\"', " "]) + pick(ALNUM, rng.randint(5, 10)),
             "passphrase": lambda: rng.choice([" ", "-", '\\"']).join(word() for _ in range(rng.randint(2, 4))) + pick("0123456789", rng.randint(1, 3)) + pick(ALNUM[26:52], rng.randint(0, 2)),
-            "key block": lambda: "-----BEGIN RSA PRIVATE KEY-----\n" + pick(ALNUM + "+/", 120) + "\n-----END RSA PRIVATE KEY-----",
         }
         self.harmless = {
             "commit": lambda: ("commit ", pick(HEX, 40)), "digest": lambda: (rng.choice(["sha256: ", "md5 ", "checksum ", "digest="]), pick(HEX, rng.choice([32, 40, 64]))),
             "uuid": lambda: (rng.choice(["", "uuid "]), "-".join(pick(HEX, k) for k in (8, 4, 4, 4, 12))), "slug": lambda: (rng.choice(["", "see "]), "-".join(word() for _ in range(rng.randint(3, 7))) + "-" + pick("0123456789", rng.randint(1, 4))),
             "url": lambda: ("https://www.", word() + ".com/" + "/".join(word() for _ in range(4)) + "/" + pick("0123456789", 6)), "snake": lambda: ("", "_".join(word() for _ in range(4)) + pick("0123456789", 2)),
             "camel": lambda: ("", word() + "".join(word().capitalize() for _ in range(rng.randint(3, 5)))), "placeholder": lambda: (self.name() + "=", rng.choice(["changeme", "your_password_here", "example", "xxxxxxxxxxxx", "${PASSWORD}", "placeholder", "<insert-token>", "********", "os.environ", "password", "config.get_secret", "None_or_null", "required"])),
-            "setting word": lambda: (self.name() + ": ", word() + rng.choice(["", "_", "-"]) + word()), "order": lambda: (rng.choice(["order ", "invoice ", "tracking "]), pick("0123456789", rng.choice([20, 22, 24]))),
+            "setting word": lambda: (self.name() + ": ", word() + rng.choice(["", "_", "-"]) + word()), "number": lambda: (rng.choice(["order ", "invoice ", "tracking ", "max_tokens=", "tokens = ", "key: "]), pick("0123456789", rng.choice([4, 5, 6, 20, 22, 24]))),
             "long word": lambda: ("", word() + word() + word() + word() + pick("0123456789", 1)), "aws example": lambda: ("", "AKIA" + "EXAMPLE" * 2 + "XX"), "hex id": lambda: (rng.choice(["uuid ", "revision ", "build "]), pick(HEX, 32)),
             "rule line": lambda: ("", pick("-=", 1) * 22 + "1"), "call": lambda: (self.name() + " = ", word() + "(" + word() + "." + word() + ")"), "quoted prose": lambda: (self.name() + ': "', self.prose(rng.randint(3, 8))),
-            "title word": lambda: (self.name() + rng.choice([": ", " = "]), word().capitalize() + rng.choice(["", "", "-" + word(), word().capitalize()])), "count": lambda: (rng.choice(["max_tokens=", "token_count: ", "tokens = ", "key: "]), pick("0123456789", rng.randint(4, 6))),
+            "title word": lambda: (self.name() + rng.choice([": ", " = "]), word().capitalize() + rng.choice(["", "", "-" + word(), word().capitalize()])),
         }
 
     def pick(self, chars: str, k: int) -> str:
@@ -205,15 +208,16 @@ class Generator:
     def finding(self, family: str) -> tuple[str, str, str]:
         """(before, value, after) of a finding in plain surroundings."""
         rng = self.rng
-        if family in self.secrets:
-            v = self.secrets[family]()
-            bare = v.startswith("-----") or rng.random() < 0.25 and len(v) >= 20
+        made = self.secrets | self.chosen
+        if family in made:
+            v = made[family]()
+            bare = v.startswith("-----") or family in self.secrets and rng.random() < 0.25 and len(v) >= 20
             quote = '"' if re.search(r"[\s,})\\]", v) else rng.choice(["", '"', "'"])
             lead = "" if bare else self.name() + rng.choice(["=", ": ", " = ", " := "]) + quote
         else:
             lead, v = self.harmless[family]()
         close = lead[-1:] if lead[-1:] in ('"', "'") else ""
-        if family in (*self.secrets, "placeholder", "setting word", "quoted prose") and not v.startswith("-----") and rng.random() < 0.2:
+        if family in (*made, "placeholder", "setting word", "quoted prose") and not v.startswith("-----") and rng.random() < 0.2:
             lead, close = self.frame(v)
         return self.prose(rng.randint(2, 8)) + rng.choice([" ", "\n"]) + lead, v, close + rng.choice([" ", "\n"]) + self.prose(rng.randint(2, 8))
 
@@ -222,7 +226,7 @@ def findings(n: int = 6000, seed: int = 17, without: tuple[str, ...] = (), only:
     """Labelled findings: features and 1 for a secret, by turns of both kinds (of the families named ``only``, if any).
     A finding that no rule meets gives its turn to the next one; families that no rule meets give none."""
     g = Generator(seed)
-    kinds = [[f for f in kind if f not in without and (not only or f in only)] for kind in (g.harmless, g.secrets)]
+    kinds = [[f for f in kind if f not in without and (not only or f in only)] for kind in (g.harmless, g.secrets | g.chosen)]
     x, y = [], []
     for turn in range(4 * n):
         good = turn % 2 if all(kinds) else int(not kinds[0])

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from skyvane.llm.secrets import Forest, Generator, default_forest, find_secrets, findings, redact_secrets, scan
+from skyvane.llm.secrets import Forest, Generator, default_forest, features, find_secrets, findings, redact_secrets, scan
 
 HEX = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
 CASES = [
@@ -139,3 +139,20 @@ def test_values_end_where_a_plain_walk_ends_them():
         if len(value) >= 4 and "@" not in name:
             a = 8 + len(name) + 1
             assert (a, a + len(value)) in [c[:2] for c in scan(text)], text
+
+
+def test_every_family_with_its_whole_surroundings(small):
+    import pyarrow.parquet as pq
+
+    texts = [t for t in pq.read_table(f"{small}/documents.parquet", columns=["text"])["text"].to_pylist() if t]
+    g, right = Generator(78), {}
+    for k, family in enumerate([*g.secrets, *g.chosen, *g.harmless] * 20):
+        lead, v, after = g.finding(family)
+        t = texts[k % len(texts)]
+        text, at = t[: len(t) // 2] + " " + lead + v + after, len(t) // 2 + 1 + len(lead)
+        met = [c for c in scan(text) if c[0] < at + len(v) and c[1] > at]
+        hit = bool(met) and bool((default_forest().score(np.array([features(text, c) for c in met], float)) >= 0.5).any())
+        right.setdefault(family, []).append(hit == (family not in g.harmless))
+    share = {f: np.mean(v) for f, v in right.items()}
+    assert np.mean([share[f] for f in (*g.secrets, *g.chosen)]) >= 0.95 and np.mean([share[f] for f in g.harmless]) >= 0.95, share
+    assert min(share.values()) >= 0.7, share
