@@ -155,19 +155,27 @@ def recurrence(df: DataFrame) -> DataFrame:
     """Per frequency: sessions, qualifying ones (five rows), recurrence labels and the widest distance of their centroids.
 
     The widest pair of a set of angles is found on the sorted circle: for each centroid the nearest ones to its
-    opposite point, by two as-of lookups in one ordered pass, so sessions are never paired with each other.
+    opposite point, by two as-of lookups, so sessions are never paired with each other. Lookups stay inside a degree of
+    a frequency; beyond it they need only the ends of the nearest degrees that have centroids.
     """
     per = df.where(F.col("session_id").isNotNull()).groupBy(hertz().alias("frequency_hz"), "session_id").agg(F.count("*").alias("n"), circular_mean("bearing").alias("centroid"))
     q = per.where("n >= 5").select("frequency_hz", "centroid")
     copies = F.array(F.col("centroid") - 360.0, F.col("centroid"), F.col("centroid") + 360.0)
     points = q.select("frequency_hz", F.explode(copies).alias("at"), F.lit(0).alias("asks"))
     asks = q.select("frequency_hz", F.pmod(F.col("centroid") + 180.0, F.lit(360.0)).alias("at"), F.lit(1).alias("asks"))
-    w = Window.partitionBy("frequency_hz").orderBy("at", "asks")
+    degree = F.floor("at").alias("degree")
+    place = ["frequency_hz", "degree"]
+    up, down = (Window.partitionBy(*place).orderBy(o, "asks").rowsBetween(Window.unboundedPreceding, 0) for o in (F.col("at"), F.col("at").desc()))
     point = F.when(F.col("asks") == 0, F.col("at"))
-    line = points.unionByName(asks)
-    line = line.withColumn("below", F.last(point, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("above", F.first(point, True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    line = points.unionByName(asks).select("frequency_hz", degree, "at", "asks")
+    ends = line.groupBy(*place).agg(F.min(point).alias("least"), F.max(point).alias("most"))
+    by = Window.partitionBy("frequency_hz").orderBy
+    before, after = by("degree").rowsBetween(Window.unboundedPreceding, -1), by(F.col("degree").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*place, F.max("most").over(before).alias("before"), F.min("least").over(after).alias("after"))
+    line = line.withColumn("below", F.last(point, True).over(up)).withColumn("above", F.last(point, True).over(down)).where("asks = 1").join(ends, place)
+    line = line.withColumn("below", F.coalesce("below", "before")).withColumn("above", F.coalesce("above", "after"))
     off = F.least(F.col("at") - F.col("below"), F.col("above") - F.col("at"))
-    widest = line.where("asks = 1").groupBy("frequency_hz").agg((180.0 - F.min(off)).alias("max_centroid_shift"), F.count("*").alias("c"))
+    widest = line.groupBy("frequency_hz").agg((180.0 - F.min(off)).alias("max_centroid_shift"), F.count("*").alias("c"))
     out = per.groupBy("frequency_hz").agg(F.count("*").alias("tagged_sessions"), F.count_if(F.col("n") >= 5).alias("qualifying_sessions")).join(widest, "frequency_hz", "left")
     return out.select("frequency_hz", "tagged_sessions", "qualifying_sessions", k.rf_recurrence("tagged_sessions").alias("rf_recurrence"), k.doa_recurrence("tagged_sessions", "qualifying_sessions").alias("doa_recurrence"), F.when(F.col("qualifying_sessions") >= 2, F.col("max_centroid_shift")).alias("max_centroid_shift"))
 
