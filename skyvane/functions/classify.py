@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -128,15 +130,18 @@ def daq_failures(frame_sync: Column | str, sample_sync: Column | str, iq_sync: C
     return F.filter(F.array(*[F.when(~F.coalesce(c, F.lit(False)), n) for n, c in holds.items()]), lambda x: x.isNotNull())
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once a row, however often lambdas inside ask for it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def beam_width(doa: Column | str) -> Column:
     """Bins at or above half of the largest."""
-    top = F.array_max(col(doa)) * 0.5
-    return F.size(F.filter(col(doa), lambda v: v >= top))
+    return once(col(doa), lambda d: once(F.array_max(d) * 0.5, lambda top: F.size(F.filter(d, lambda v: v >= top))))
 
 
 def beam_peaks(doa: Column | str) -> Column:
     """Local maxima of a circular spectrum at or above half of the largest: above the left neighbour, not below the right."""
-    d = col(doa)
-    n, top = F.size(d), F.array_max(d) * 0.5
-    at = lambda i: F.element_at(d, (F.pmod(i, n) + 1).cast("int"))
-    return F.size(F.filter(d, lambda v, i: (v >= top) & (v > at(i - 1)) & (v >= at(i + 1))))
+    at = lambda d, i: F.element_at(d, (F.pmod(i, F.size(d)) + 1).cast("int"))
+    peaks = lambda d, top: F.size(F.filter(d, lambda v, i: (v >= top) & (v > at(d, i - 1)) & (v >= at(d, i + 1))))
+    return once(col(doa), lambda d: once(F.array_max(d) * 0.5, lambda top: peaks(d, top)))

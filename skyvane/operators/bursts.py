@@ -45,10 +45,11 @@ def aggregate_bursts(frames: DataFrame, keys: list[str] = ["session_id"], gap_s:
 
 def decode_frames(lines: DataFrame, line: str = "value", keep: tuple[str, ...] | list[str] = ()) -> DataFrame:
     """Positional CSV rows as frames, with the columns to keep; a row with a number that does not parse, or without exactly 360 spectrum bins, goes."""
-    f = F.split(F.col(line), ",")
+    # What is exploded is computed once a row: filters and lambdas that ask for it do not compute it again.
+    lines, f = lines.select(*keep, F.explode(F.array(F.split(F.col(line), ","))).alias("__f")), F.col("__f")
     spectrum = F.transform(F.slice(f, 18, F.greatest(F.size(f) - 17, F.lit(0))), lambda x: x.try_cast("double"))
     num = lambda i: F.try_element_at(f, F.lit(i)).try_cast("double")
-    out = lines.select(*keep, num(2).alias("bearing"), num(3).alias("confidence"), num(4).alias("power"), (num(5) / 1e6).alias("frequency_mhz"), spectrum.alias("doa"))
+    out = lines.select(*keep, num(2).alias("bearing"), num(3).alias("confidence"), num(4).alias("power"), (num(5) / 1e6).alias("frequency_mhz"), F.explode(F.array(spectrum)).alias("doa"))
     ok = F.col("bearing").isNotNull() & F.col("confidence").isNotNull() & F.col("power").isNotNull() & F.col("frequency_mhz").isNotNull()
     out = out.where(ok & (F.size("doa") == 360) & F.forall("doa", lambda x: x.isNotNull()))
     return out.withColumn("width", k.beam_width("doa").cast("double")).withColumn("peaks", k.beam_peaks("doa").cast("double"))

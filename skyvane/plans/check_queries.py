@@ -10,6 +10,7 @@ from skyvane.operators import association, bundles, capture, evidence, ml, rollu
 from skyvane.operators import families as fam
 from skyvane.operators.bursts import decode_frames
 from skyvane.sources import logs
+from skyvane.sources.observations import spread
 
 
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -22,7 +23,7 @@ def burst_lines(spark: SparkSession, sf: str) -> DataFrame:
     line = F.concat(
         F.lit("session_id=S"), "user_id", F.lit(", bearing="), F.when(e % 7 == 0, "north").otherwise((e * 3 % 720).cast("string")), F.lit(", samples="), (e % 9).cast("string"),
         F.lit(",quality="), F.when(e % 10 == 0, "GOOD").otherwise("STABLE"))
-    return read(spark, sf, "events").select("user_id", "event_id", line.alias("value"))
+    return spread(read(spark, sf, "events").select("user_id", "event_id"), 50_000).select("user_id", "event_id", line.alias("value"))
 
 
 def line_integrity(spark: SparkSession, sf: str) -> DataFrame:
@@ -45,7 +46,7 @@ def frame_decode(spark: SparkSession, sf: str) -> DataFrame:
     before = F.expr("repeat('0,', cast(user_id % 300 + 5 as int))")
     after = F.expr("repeat(',0', 358 - cast(user_id % 300 + 5 as int) - case when event_id % 11 = 0 then 1 else 0 end)")
     head = F.concat_ws(",", F.lit("t"), (e % 360).cast("string"), F.lit("5"), F.when(e % 13 == 0, "x").otherwise((-(e % 40)).cast("string")), F.lit("433920000"), F.lit("0,0,0,0,0,0,0,0,0,0,0,0"))
-    lines = read(spark, sf, "events").select("event_id", F.concat(head, F.lit(","), before, F.lit("10,"), F.when(e % 2 == 0, "6").otherwise("4"), after).alias("value"), at)
+    lines = spread(read(spark, sf, "events").select("event_id", "user_id"), 20_000).select("event_id", F.concat(head, F.lit(","), before, F.lit("10,"), F.when(e % 2 == 0, "6").otherwise("4"), after).alias("value"), at)
     return decode_frames(lines, keep=["event_id"]).select("event_id", "bearing", "power", "frequency_mhz", "width", "peaks")
 
 

@@ -15,6 +15,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_instant(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
+def spread(rows: DataFrame, size: int) -> DataFrame:
+    """rows in tasks of about ``size``, at least one a core: for rows of few bytes that make much work."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // size)))
+
+
 def as_double(c: Column) -> Column:
     return c.cast("double")
 
