@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skyvane.functions.classify import once
+
 QUALITIES = ["STABLE", "MULTIPATH", "LOW_QUALITY"]
 
 
@@ -16,9 +18,14 @@ def parts(line: Column) -> Column:
 def lenient_map(line: Column) -> Column:
     """key=value parts of a line: parts without '=' are skipped, both sides trimmed, the last of equal keys wins."""
     pairs = F.transform(F.filter(parts(line), lambda p: F.contains(p, F.lit("="))), lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)).alias("k"), F.trim(F.substr(p, F.instr(p, "=") + 1)).alias("v")))
-    # Of equal keys the last: a pair stays if its key does not come again after it.
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + F.lit(2), F.greatest(F.size(pairs) - i - 1, F.lit(0))), lambda q: q["k"] == p["k"]))
-    return F.map_from_entries(last)
+    # Of equal keys the last: a pair stays if from behind its key comes first at its own place.
+    last = lambda ps, back: F.filter(ps, lambda p, i: F.array_position(back, p["k"]) == F.size(ps) - i)
+    return F.map_from_entries(once(pairs, lambda ps: once(F.reverse(F.transform(ps, lambda p: p["k"])), lambda back: last(ps, back))))
+
+
+def with_map(lines: DataFrame, line: str) -> DataFrame:
+    """lines with m, the map of each; exploded, so that it is made once a line and not for every field that is read."""
+    return lines.withColumn("m", F.explode(F.array(lenient_map(F.col(line)))))
 
 
 def strict_error(line: Column) -> Column:
@@ -64,7 +71,7 @@ def is_burst() -> Column:
 
 def line_integrity(lines: DataFrame, keys: list[str], line: str = "value") -> DataFrame:
     """By key the lines that are neither blank nor markers, those of them that are bursts, and whether all are."""
-    body = lines.where((F.trim(line) != "") & ~F.startswith(F.col(line), F.lit("SESSION_"))).withColumn("m", lenient_map(F.col(line)))
+    body = with_map(lines.where((F.trim(line) != "") & ~F.startswith(F.col(line), F.lit("SESSION_"))), line)
     out = body.groupBy(*keys).agg(F.count("*").alias("raw"), F.count_if(is_burst()).alias("parsed"))
     return out.withColumn("complete", F.col("raw") == F.col("parsed"))
 
@@ -72,7 +79,7 @@ def line_integrity(lines: DataFrame, keys: list[str], line: str = "value") -> Da
 def burst_log(lines: DataFrame, line: str = "value", drop_bad: bool = False) -> DataFrame:
     """Bursts of a log: records with a session and a known quality; bearings within [0, 360). With ``drop_bad`` a record
     with a field that is there but no number goes, as a report wants it; else the field is null."""
-    m = lines.where(~F.startswith(F.col(line), F.lit("SESSION_"))).withColumn("m", lenient_map(F.col(line)))
+    m = with_map(lines.where(~F.startswith(F.col(line), F.lit("SESSION_"))), line)
     if drop_bad:
         bad = lambda n: F.coalesce(~F.upper(F.trim(field(n))).isin("", "NA", "NONE") & F.trim(field(n)).try_cast("double").isNull(), F.lit(False))
         m = m.where(~F.exists(F.array(*map(bad, ["bearing", *NUMBERS])), lambda x: x))
@@ -85,7 +92,7 @@ def burst_log(lines: DataFrame, line: str = "value", drop_bad: bool = False) ->
 
 def event_log(lines: DataFrame, names: list[str], line: str = "value") -> DataFrame:
     """(session_id, time, event, attrs) of the named events."""
-    m = lines.withColumn("m", lenient_map(F.col(line)))
+    m = with_map(lines, line)
     get = lambda k: F.try_element_at("m", F.lit(k))
     return m.select(get("session_id").alias("session_id"), F.try_to_timestamp(get("time")).alias("time"), get("event").alias("event"), F.map_filter("m", lambda k, _: ~k.isin("session_id", "time", "event")).alias("attrs")).where(F.col("event").isin(names) & F.col("session_id").isNotNull())
 
