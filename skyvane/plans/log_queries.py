@@ -10,14 +10,15 @@ from skyvane.operators import history, ml
 from skyvane.plans import sqltext as q
 from skyvane.plans.history_queries import DIMS, SCORE, vectors
 from skyvane.sources import logs
-from skyvane.sources.observations import TRACK_EVENTS, bursts, track_events
+from skyvane.sources.observations import TRACK_EVENTS, burst_rows, events, spread, track_events
 
 show = q.shown
 
 
 def burst_lines(spark: SparkSession, sf: str) -> DataFrame:
     """A burst log with markers, blank parts, unknown qualities and records without a session."""
-    b = bursts(spark, sf).withColumn("quality", F.when(F.col("event_id") % 13 == 0, "ODD").otherwise(F.col("quality"))).withColumn("session_id", F.when(F.col("event_id") % 17 != 0, F.col("session_id")).otherwise(""))
+    rows = spread(events(spark, sf).select("event_id", "ts", "at", "user_id", "event_type", "value"), 50_000)
+    b = burst_rows(rows).withColumn("quality", F.when(F.col("event_id") % 13 == 0, "ODD").otherwise(F.col("quality"))).withColumn("session_id", F.when(F.col("event_id") % 17 != 0, F.col("session_id")).otherwise(""))
     fields = ["session_id", "time", "frequency_mhz", "bearing", "peak_power", "doa_width", "quality", "samples", "event_id"]
     lines = logs.kv_text(b.withColumn("time", F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss")).withColumn("bearing", F.col("bearing") - 360), fields)
     marker = spark.range(3).select(F.concat(F.lit("SESSION_START | id=S"), "id", F.lit(" | time=2026-01-01T00:00:00")).alias("value"))
