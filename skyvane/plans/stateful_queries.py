@@ -15,7 +15,7 @@ from skyvane.operators import guards, ml
 from skyvane.operators.families import contiguous_edge
 from skyvane.plans.history_queries import DIMS, vectors
 from skyvane.sources import samples
-from skyvane.sources.observations import BURSTS_SQL, bursts
+from skyvane.sources.observations import BURSTS_SQL, bursts, spread
 from skyvane.streaming import tracker as t
 
 
@@ -58,7 +58,8 @@ SELECT session_id, max(event_id) FILTER (f IS NULL OR event_id < f) AS edge FROM
 
 def made_files(spark: SparkSession, sf: str) -> DataFrame:
     """Sample files in memory: a tone per vector, its frequency and noise taken from the vector."""
-    e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").repartition(spark.sparkContext.defaultParallelism)  # few bytes, much work
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
+    e = spread(e, 1_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
