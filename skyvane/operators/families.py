@@ -19,13 +19,20 @@ def recurrence(spacings: DataFrame, tolerance: float = 50.0) -> DataFrame:
     """Fraction of each capture's events with a spacing within the tolerance of each centre, and the captures of its sensor.
 
     Centres are all observed spacings; a capture without such an event has no row for a centre, which stands for 0.
-    Events meet centres by an equality join on blocks of the tolerance's width (own and neighbouring).
+    An event with several spacings near a centre counts once: its spacings in order, each is counted for the centres that
+    the one before does not reach. So spacings of one distance to the one before are counted first, and only these counts
+    meet centres, by an equality join on blocks of the tolerance's width (own and neighbouring).
     """
     block = lambda c: F.floor(F.col(c) / tolerance)
     centres = spacings.select(F.col("spacing_hz").alias("centre")).distinct()
     near = centres.withColumn("b", F.explode(F.array(*[block("centre") + i for i in (-1, 0, 1)])))
-    per = spacings.select("sensor", "capture", "event", "spacing_hz").distinct().withColumn("b", block("spacing_hz"))
-    hits = per.join(near, "b").where(F.abs(F.col("spacing_hz") - F.col("centre")) <= tolerance).groupBy("sensor", "capture", "centre").agg(F.count_distinct("event").alias("hits"))
+    before = F.lag("spacing_hz").over(Window.partitionBy("sensor", "capture", "event").orderBy("spacing_hz"))
+    known = spacings.where("event is not null").select("sensor", "capture", "event", "spacing_hz").distinct().withColumn("before", before)
+    # One that lies too far below to reach any centre of this one is as good as none.
+    far = F.col("spacing_hz") - F.col("before") > 3 * tolerance
+    per = known.withColumn("before", F.when(~far, F.col("before"))).groupBy("sensor", "capture", "spacing_hz", "before").agg(F.count("*").alias("n")).withColumn("b", block("spacing_hz"))
+    new = F.col("before").isNull() | (F.abs(F.col("before") - F.col("centre")) > tolerance)
+    hits = per.join(near, "b").where((F.abs(F.col("spacing_hz") - F.col("centre")) <= tolerance) & new).groupBy("sensor", "capture", "centre").agg(F.sum("n").alias("hits"))
     events = spacings.groupBy("sensor", "capture").agg(F.count_distinct("event").alias("n"))
     events = events.join(events.groupBy("sensor").agg(F.count("*").alias("captures")), "sensor")
     return hits.join(events, ["sensor", "capture"]).select("sensor", "capture", "centre", "hits", (F.col("hits") / F.col("n")).alias("fraction"), "captures")
