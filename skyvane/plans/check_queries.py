@@ -192,9 +192,11 @@ def bundle_checks(spark: SparkSession, sf: str) -> DataFrame:
     """Every order as a capture of its lines, one episode each; some lack a file on disk, or differ between their lists."""
     k, n = F.col("k"), F.floor(F.col("size_bytes") / 16)
     of = lambda m: (k % m == 0) & (F.col("position") == 0)
-    item = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), "l_linenumber", F.sha2(F.concat_ws(" ", "l_partkey", "l_suppkey"), 256).alias("sha256"), ((F.col("l_partkey") + 1) * 16).alias("size_bytes"), "l_extendedprice")
-    place = F.row_number().over(Window.partitionBy("k").orderBy("l_linenumber", "sha256", "l_extendedprice")) - 1
-    f = item.withColumn("position", place).withColumn("capture", k.cast("string")).withColumn("path", F.concat_ws("/", "k", "position")).withColumn("episode", F.lit(1))
+    # Dealt by capture once, before hashes are made: all lists of a capture come from this one shuffle of a few numbers.
+    item = read(spark, sf, "lineitem").where("l_orderkey is not null").select(F.col("l_orderkey").alias("k"), F.col("l_orderkey").cast("string").alias("capture"), "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").repartition("capture")
+    item = item.withColumn("sha256", F.sha2(F.concat_ws(" ", "l_partkey", "l_suppkey"), 256)).withColumn("size_bytes", (F.col("l_partkey") + 1) * 16)
+    place = F.row_number().over(Window.partitionBy("capture").orderBy("l_linenumber", "sha256", "l_extendedprice")) - 1
+    f = item.withColumn("position", place).withColumn("path", F.concat_ws("/", "k", "position")).withColumn("episode", F.lit(1))
     formats = {s: s.upper() for s in bundles.SOURCES}
     per = f.groupBy("k", "capture").agg(F.count("*").alias("n"))
     head = lambda s, files, episodes, gap, rate: per.select("capture", F.lit(s).alias("source"), F.lit(formats[s]).alias("format"), F.col("capture").alias("capture_id"), files.cast("bigint").alias("file_count"), F.lit(episodes).cast("bigint").alias("episode_count"), F.lit(gap).cast("double").alias("gap_s"), F.lit(">").alias("comparison"), F.lit(rate).cast("int").alias("sample_rate_hz"), F.lit("complex128").alias("iq_dtype"))
