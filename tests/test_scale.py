@@ -1,10 +1,12 @@
 """Work that must not grow faster than the input, seen in plans and partitions, with the same results."""
 
 import random
+from collections import defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from skyvane.operators import report
+from skyvane.operators import association, families, report
 from skyvane.operators.bursts import decode_frames
 from skyvane.sources import logs
 from skyvane.sources.observations import spread
@@ -45,3 +47,23 @@ def test_widest_centroids_by_degrees(spark):
 
 def test_tasks_grow_with_rows(spark):
     assert [spread(spark.range(n), 100).rdd.getNumPartitions() for n in (10, 1000, 2001)] == [max(spark.sparkContext.defaultParallelism, k) for k in (1, 10, 21)]
+
+
+def test_spacings_meet_centres_as_counts(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice(["S1", "S2"]), rng.randrange(3), rng.choice([*range(40), None]), float(rng.randrange(0, 60))) for _ in range(600)]
+    df = families.recurrence(spark.createDataFrame(rows, "sensor string, capture int, event int, spacing_hz double"), 5.0)
+    want = defaultdict(set)
+    for s, c, e, d in rows:
+        for centre in {r[3] for r in rows}:
+            if e is not None and abs(d - centre) <= 5:
+                want[s, c, centre].add(e)
+    assert {(r.sensor, r.capture, r.centre): r.hits for r in df.collect()} == {k: len(v) for k, v in want.items()}
+    assert "distinct spacing" not in plan(df) and plan(df).count("count(distinct event") == 1  # of captures only
+
+
+def test_medians_of_tracks():
+    rng = random.Random(2)
+    for n in range(1, 9):
+        x = [rng.uniform(-3, 3) for _ in range(n)]
+        assert association.middle(x) == float(np.median(x))
