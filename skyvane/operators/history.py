@@ -67,20 +67,22 @@ def history_neighbours(rows: DataFrame, keys: list[str], order: str, features: l
     width = len(keys)
 
     def nearest(key: tuple, o: list, x: np.ndarray) -> list[tuple]:
-        """x has a row per order; scales come from running sums, and are zero only where all earlier values are equal."""
+        """x has a row per order; scales come from running means and squares about them, so no later or distant value blurs them."""
         known = ~np.isnan(x)
-        base = np.where(known.any(axis=0), np.nanmax(np.where(known, x, -np.inf), axis=0), 0.0)
-        z = np.where(known, x - base, 0.0)
-        n, s, s2 = (np.cumsum(v, axis=0) for v in (known, z, z * z))
-        low, high = np.minimum.accumulate(np.where(known, x, np.inf)), np.maximum.accumulate(np.where(known, x, -np.inf))
+        n = np.cumsum(known, axis=0)
+        squares, mean, total = np.empty_like(x), np.zeros(x.shape[1]), np.zeros(x.shape[1])
+        for i, v in enumerate(x):
+            d = np.where(known[i], v - mean, 0.0)
+            mean = mean + d / np.maximum(n[i], 1)
+            total = total + np.where(known[i], v - mean, 0.0) * d
+            squares[i] = total
         out, before = [], 0
         for i in range(1, len(o)):
             before = i if o[i] != o[i - 1] else before
             if not before:
                 continue
             e = before - 1
-            c = np.maximum(n[e], 1)
-            scale = np.where(high[e] > low[e], np.sqrt(np.maximum(s2[e] / c - (s[e] / c) ** 2, 0.0)), 0.0)
+            scale = np.sqrt(squares[e] / np.maximum(n[e], 1))
             use = known[:before] & known[i] & (scale > 0)
             d = np.where(use, (x[i] - np.where(use, x[:before], 0.0)) / np.where(scale > 0, scale, 1.0), 0.0)
             terms = use.sum(axis=1)

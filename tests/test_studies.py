@@ -154,3 +154,17 @@ def test_canonical_lines_sort_keys_at_every_depth(spark):
     got = [r.value for r in logs.canonical_jsonl(spark.createDataFrame(rows, schema)).collect()]
     assert got[0] == '{"a":{"c":[{"x":null,"y":"q"},{"x":5,"y":"r"}],"m":{"a":2,"k":1},"z":2},"b":1}' and got[1] == '{"a":null,"b":null}'
     assert all(json.dumps(json.loads(x), sort_keys=True, separators=(",", ":")) == x for x in got)
+
+
+def test_scales_of_early_rows_ignore_what_comes_later(spark):
+    from statistics import pstdev
+
+    from skyvane.operators.history import history_neighbours
+
+    values = [50.0, 50.01, 53.7, 50.02, 3e9, 50.03]
+    rows = [("k", i, v) for i, v in enumerate(values)]
+    got = {(r.target, r.prior): r.distance for r in history_neighbours(spark.createDataFrame(rows, "k string, o int, a double"), ["k"], "o", ["a"], 9).collect()}
+    for (i, j), d in got.items():
+        scale = pstdev(values[:i])
+        assert d is None if scale == 0 else d == pytest.approx(abs(values[i] - values[j]) / scale, rel=1e-9), (i, j)
+    assert len(got) == 15
