@@ -91,18 +91,27 @@ def on(topic: Topic) -> Callable[[Column], Column]:
     return test
 
 
-def may_be(topic: Topic, text: Column) -> Column:
-    """False only for texts without the first letters of any word of the topic, found by plain search: most texts end here."""
-    low = F.lower(text)
+def may_be(topic: Topic, low: Column) -> Column:
+    """False only for lowered texts without the first letters of any word of the topic, found by plain search: most texts end here."""
     has = [reduce(or_, [F.contains(low, F.lit(s)) for s in w.starts]) for w in (topic.says, topic.of) if w]
     return F.coalesce(reduce(and_, has), F.lit(False))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value made once a row however often it is used: inside lambdas and branches Spark makes it each time."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def topics(text: Column | str, of: tuple[Topic, ...] = CLAIMS) -> Column:
     """The names of the topics that some clause is on, each once, in the order of the rules. A null text has no clause."""
     own = F.col(text) if isinstance(text, str) else text
-    at = clauses(own)
-    return F.array_distinct(F.array_compact(F.array(*[F.when(may_be(t, own), F.when(F.exists(at, on(t)), F.lit(t.name))) for t in of])))
+    none = F.array().cast("array<string>")
+
+    def named(may: Column) -> Column:
+        at = lambda c: F.array_distinct(F.array_compact(F.array(*[F.when(may[i], F.when(F.exists(c, on(t)), F.lit(t.name))) for i, t in enumerate(of)])))
+        return F.when(F.array_contains(may, True), once(clauses(own), at)).otherwise(none)
+
+    return once(once(F.lower(own), lambda low: F.array(*[may_be(t, low) for t in of])), named)
 
 
 def flags(*pairs: tuple[Column, str]) -> Column:

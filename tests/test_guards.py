@@ -58,3 +58,8 @@ def test_reports(spark):
         (report("None.").replace("**", "").upper(), []), (report("None.").replace("**Evidence**", "Evidence so far"), ["missing heading: Evidence"]), ("", ["empty"]), (None, ["empty"]), ("Summary", [f"missing heading: {h}" for h in g.HEADINGS[1:]]),
     ]
     assert found(spark, [t for t, _ in cases], g.report_problems) == [p for _, p in cases]
+
+
+def test_clauses_and_lower_case_are_made_once_a_text(spark):
+    plan = spark.range(1).selectExpr("cast(id as string) as text").select(g.topics("text").alias("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and plan.count("lower(") == 1
