@@ -105,18 +105,28 @@ GUARD_CASES = [
     ("Its emitter stayed steady for a week.", [STEADY]), ("Trustworthy sources were heard at night.", [STEADY]), ("The source isn't reliable.", []), ("Stability of any device is unproven.", []), ("Burst counts were steady.", []),
     ("Members of cluster C3 are cars.", [CLUSTER]), ("C0 stands for a tyre sensor.", [CLUSTER]), ("C1 has nine members.", []), ("The emitter is stable, C2 is a vehicle.", [STEADY, CLUSTER]), ("It was not explained, but the device is the same.", [IDENTITY]),
 ]
+#: The sentences that stood here before those above, with what they claim.
+EARLIER_CASES = [
+    ("This identifies the transmitter.", [IDENTITY]), ("It does not establish device identity.", []), ("The device has been identified.", [IDENTITY]), ("A unique RF fingerprint was met.", [IDENTITY]), ("No evidence of a device fingerprint.", []),
+    ("Multipath caused the drift.", [CAUSE]), ("The spread reflects interference.", [CAUSE]), ("The drift is not due to multipath.", []), ("The change results from heating.", [CAUSE]), ("The values are plain.", []),
+    ("The directional accuracy is known.", [DIRECTION]), ("The bearing was not calibrated.", []), ("The true azimuth is 40.", [DIRECTION]), ("The bearing agrees with ground truth.", [DIRECTION]), ("The bearing spread is 4 degrees.", []),
+    ("Both features separate the classes.", [CLASSES]), ("The devices are distinguishable.", [CLASSES]), ("Do not claim discrimination.", []), ("Results confirm class separation.", [CLASSES]), ("Burst classifications were counted.", []),
+    ("The emitter remains stable.", [STEADY]), ("A reliable source was found.", [STEADY]), ("Reliability of the source is unsupported.", []), ("This never proves device stability.", []), ("Counts were stable.", []),
+    ("Cluster C1 represents a vehicle.", [CLUSTER]), ("C2 means interference.", [CLUSTER]), ("Cluster C0 has ten sessions.", []), ("The source is reliable, and C1 identifies a sensor.", [STEADY, CLUSTER]), ("It does not explain this but it is the device.", [IDENTITY]),
+]
+ALL_CASES = [*EARLIER_CASES, *GUARD_CASES]
 
 
 def claim_guard(spark: SparkSession, sf: str) -> DataFrame:
     """Claims in every document's whole text followed by one of the sentences."""
-    case = F.element_at(F.array(*[F.lit(t) for t, _ in GUARD_CASES]), (F.col("doc_id") % len(GUARD_CASES) + 1).cast("int"))
+    case = F.element_at(F.array(*[F.lit(t) for t, _ in ALL_CASES]), (F.col("doc_id") % len(ALL_CASES) + 1).cast("int"))
     d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.concat_ws("\n", F.coalesce("text", F.lit("")), case).alias("text"))
-    return d.select("doc_id", F.array_join(guards.topics("text"), "; ").alias("claims"))
+    return d.select("doc_id", F.array_join(guards.topics(guards.left_open("text"), guards.ALL_CLAIMS), "; ").alias("claims"))
 
 
-CASES_SQL = ", ".join("'" + t.replace("'", "''") + "'" for t, _ in GUARD_CASES)
-CLAIM_GUARD = f"""SELECT doc_id, {guards.topics_sql('text')} AS claims FROM (
-  SELECT doc_id, coalesce(text, '') || chr(10) || list_extract([{CASES_SQL}], (doc_id % {len(GUARD_CASES)} + 1)::INT) AS text FROM documents)"""
+CASES_SQL = ", ".join("'" + t.replace("'", "''") + "'" for t, _ in ALL_CASES)
+CLAIM_GUARD = f"""SELECT doc_id, {guards.topics_sql('text', guards.ALL_CLAIMS)} AS claims FROM (
+  SELECT doc_id, {guards.left_open_sql(f"coalesce(text, '') || chr(10) || list_extract([{CASES_SQL}], (doc_id % {len(ALL_CASES)} + 1)::INT)")} AS text FROM documents)"""
 
 QUERIES = {
     "tracker": tracker, "source_episodes": source_episodes, "track_policy": rejected_streak, "contiguous_edge": contiguous_edges, "iq_magnitude": kernel("magnitude", "samples", "rms", "mean", "median", "peak"),

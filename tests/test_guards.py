@@ -63,3 +63,15 @@ def test_reports(spark):
 def test_clauses_and_lower_case_are_made_once_a_text(spark):
     plan = spark.range(1).selectExpr("cast(id as string) as text").select(g.topics("text").alias("t"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") == 1 and plan.count("lower(") == 1
+
+
+def test_earlier_sentences_and_claims_in_so_many_words(spark):
+    from skyvane.plans.stateful_queries import ALL_CASES, EARLIER_CASES
+
+    assert len(EARLIER_CASES) == 30 and ("It does not explain this but it is the device.", [IDENTITY]) in EARLIER_CASES
+    cases = [*ALL_CASES, ("It is an emitter.", [IDENTITY]), ("This is not the device.", []), ("The signal matches device 7, and the source is steady.", [IDENTITY, STEADY]), ("Discriminative widths were kept.", [CLASSES]), ("The runs confirm their separation.", [CLASSES]),
+             ("One CANNOT rule out device identity.", [IDENTITY]), ("Rain doesn’t rule out multipath as its cause.", [CAUSE]), ("We rule out device identity, not power.", [IDENTITY]), ("It is not the device", []), ("", []), (None, [])]
+    assert found(spark, [t for t, _ in cases], lambda t: g.topics(g.left_open(t), g.ALL_CLAIMS)) == [c for _, c in cases]
+    c = duckdb.connect()
+    for t, names in cases:
+        assert c.execute(f"SELECT {g.topics_sql(g.left_open_sql('t'), g.ALL_CLAIMS)} FROM (SELECT ?::VARCHAR AS t)", [t]).fetchone()[0] == "; ".join(names), t
